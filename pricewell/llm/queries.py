@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import bpe, chat, langid, mixing, sharding, toxicity
-from pricewell.llm.common import env_path, fold, table
+from pricewell.llm import additive, bpe, chat, langid, mixing, sharding, threshold, toxicity
+from pricewell.llm.common import env_path, fold, stored, table
+from pricewell.llm.vectors import valid
 
 TOXIC_FROM = 0.7
 
@@ -38,6 +39,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(d, lang_model(docs))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(valid(table(spark, sf_dir, "embeddings"), zero=False), "vectors")
+    return additive.nearest(v, v.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), env_path("byte_bpe_50k.json"))
 
@@ -55,6 +61,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(threshold.integers(valid(table(spark, sf_dir, "embeddings"))), "vectors")
+    return threshold.top_k(v, v.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, mixing.cuts(docs))
