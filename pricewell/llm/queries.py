@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import additive, bpe, chat, langid, mixing, sharding, threshold, toxicity
+from pricewell.llm import additive, bpe, chat, jaccard, langid, mixing, sharding, threshold, toxicity
 from pricewell.llm.common import env_path, fold, stored, table
 from pricewell.llm.vectors import valid
 
 TOXIC_FROM = 0.7
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
