@@ -1,10 +1,64 @@
-"""The corpus pipeline: toxicity, language ID, near duplicates, mixing, token ids."""
+"""The corpus pipeline: toxicity, language ID, near duplicates, mixing to target weights, token ids.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps; the last gives their token ids.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricewell.llm import bpe, jaccard, langid, mixing, queries, toxicity
+from pricewell.llm.common import env_path, stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
+    return toxicity.clean(docs, queries.toxicity_model(docs, table(spark, sf_dir, "labels")), queries.TOXIC_FROM)
+
+
+def drop_unrecognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those of no clear language, go."""
+    return langid.recognised(docs, queries.lang_model(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id stays, once; rows without an id stay."""
+    known = jaccard.join(docs)
+    others = known.filter("component_id <> doc_id").select("doc_id").distinct()
+    repeated = known.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs, mixing.cuts(docs)).filter("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, n_tokens."""
+    made = bpe.encode(docs, env_path("byte_bpe_50k.json"), keep=["doc_id", "source"])
+    return made.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unrecognised),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+#: Neither the classifiers nor the encoder can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

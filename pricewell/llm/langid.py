@@ -135,3 +135,21 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x for x, _ in made], pa.string()), pa.array([y for _, y in made], pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
 
     return d.mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is predicted (not "und") with a score of `least` or more."""
+    spark = docs.sparkSession
+    importable(spark)
+    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams, model.longest, model.backoff))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                made = [m.predict(x) for x in part.column(at).to_pylist()]
+                yield part.filter(pa.array([x != "und" and y >= least for x, y in made], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

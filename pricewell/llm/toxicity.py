@@ -184,3 +184,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], [*part.schema.names[:-1], out])
 
     return d.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model, reject_from: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose whole text scores below reject_from."""
+    spark = docs.sparkSession
+    importable(spark)
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, cache = Model(*shared.value), {}
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array([m.score(x, cache) < reject_from for x in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
