@@ -2,10 +2,460 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricewell.functions import rules, text
+from pricewell.operators import matching, prices, quality, schedule, snapshots
+from pricewell.plans import feeds
+from pricewell.plans.views import AS_OF, oracle, view
+from pricewell.sources import catalogue, market, store_a, store_b, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The derived tables by name: t.cards, t.printings, ..."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+    def base(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(names: str = "", sql: str | None = None):
+    """Registers a query under its function's name; `names` are the views that its SQL uses."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            SQL[f.__name__] = oracle(names.split(), sql) if names else sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+LIVE = "in_stock AND price_type = 'sell'"
+TREND = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN NULL WHEN {0} > {1} * 1.01 THEN 'up' WHEN {0} < {1} * 0.99 THEN 'down' ELSE 'neutral' END"
+DBL = "CAST(price_aud AS DOUBLE)"
+#: Common table expressions of the search query, after the views.
+BEST = f"""live AS (SELECT printing_id, min(price_aud) AS min_price, quantile_cont({DBL}, 0.5) AS market_price FROM store_prices WHERE {LIVE} GROUP BY 1),
+ best AS (SELECT * FROM (SELECT p.card_id, l.*, row_number() OVER (PARTITION BY p.card_id ORDER BY l.min_price, l.printing_id) AS n FROM printings p JOIN live l ON l.printing_id = p.id) x WHERE n = 1),
+ lastday AS (SELECT printing_id, avg({DBL}) AS past_price FROM (SELECT *, max(recorded_at) OVER (PARTITION BY printing_id) AS last FROM price_history WHERE price_type = 'sell') h WHERE recorded_at = last GROUP BY 1)"""
+CURRENT = f"""cur AS (SELECT card_id, quantile_cont({DBL}, 0.5) AS current_price FROM store_prices s JOIN printings p ON p.id = s.printing_id WHERE {LIVE} GROUP BY 1),
+ past AS (SELECT card_id, avg({DBL}) AS past_price FROM (SELECT card_id, price_aud, recorded_at, max(recorded_at) OVER (PARTITION BY card_id) AS last FROM price_history h JOIN printings p ON p.id = h.printing_id WHERE price_type = 'sell') x WHERE recorded_at = last GROUP BY 1)"""
+SEARCH = f""", {BEST} SELECT c.id, c.name, c.type_line, (SELECT count(DISTINCT p.id) FROM printings p WHERE p.card_id = c.id)::INT AS printing_count, i.image_uri,
+ round(b.market_price, 4) AS market_price, {TREND.format("b.market_price", "h.past_price")} AS trend FROM cards c
+ LEFT JOIN (SELECT * FROM (SELECT card_id, image_uri, row_number() OVER (PARTITION BY card_id ORDER BY released_at DESC, id) AS n FROM printings WHERE image_uri IS NOT NULL AND NOT is_foil) x WHERE n = 1) i ON i.card_id = c.id
+ LEFT JOIN best b ON b.card_id = c.id LEFT JOIN lastday h ON h.printing_id = b.printing_id WHERE c.name ILIKE '%ring%'"""
+
+
+READ = "cards printings store_prices price_history"
+
+
+@query(READ, SEARCH)
+def qry1_card_search(t):
+    return prices.search(t.cards, t.printings, t.store_prices, t.price_history, "ring").withColumn("market_price", F.round("market_price", 4))
+
+
+@query(READ, SEARCH + " ORDER BY c.name, c.id LIMIT 20 OFFSET 20")
+def ord1_search_page(t):
+    return prices.page(qry1_card_search(t), 20)
+
+
+@query("cards", "SELECT count(*) AS n FROM cards WHERE name ILIKE '%ring%'")
+def agg6_search_count(t):
+    return prices.count_cards(t.cards, "ring")
+
+
+@query("cards", "SELECT id, name FROM cards WHERE name ILIKE '%r_d%t%'")
+def flt6_wildcards(t):
+    return prices.find_cards(t.cards, "r_d%t").select("id", "name")
+
+
+@query(READ, f", {CURRENT} SELECT c.id, round(current_price, 4) AS current_price, round(past_price, 4) AS past_price, {TREND.format('current_price', 'past_price')} AS trend FROM cards c LEFT JOIN cur ON cur.card_id = c.id LEFT JOIN past ON past.card_id = c.id")
+def qry2_card_trend(t):
+    return prices.card_trends(t.cards, t.printings, t.store_prices, t.price_history).withColumns({c: F.round(c, 4) for c in ("current_price", "past_price")})
+
+
+PRICED = "printings p LEFT JOIN store_prices sp ON sp.printing_id = p.id LEFT JOIN stores s ON s.id = sp.store_id"
+
+
+@query("printings store_prices stores", f"""SELECT p.id, p.card_id, count(CASE WHEN s.name IS NOT NULL AND price_aud IS NOT NULL THEN 1 END)::INT AS n_prices,
+ coalesce(string_agg(CASE WHEN s.name IS NOT NULL AND price_aud IS NOT NULL THEN price_aud::VARCHAR || '|' || s.name || '|' || coalesce(condition, '') || '|' || coalesce(in_stock, false)::VARCHAR END, ';' ORDER BY price_aud, s.name, condition NULLS FIRST, in_stock), '') AS prices,
+ min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low_price FROM {PRICED} GROUP BY 1, 2""")
+def qry3_printings_with_prices(t):
+    d = prices.printings_with_prices(t.printings, t.store_prices, t.stores)
+    line = lambda x: F.concat_ws("|", x["price_aud"].cast("string"), x["store_name"], F.coalesce(x["condition"], F.lit("")), x["in_stock"].cast("string"))
+    return d.select("id", "card_id", F.size("prices").alias("n_prices"), F.array_join(F.transform("prices", line), ";").alias("prices"), "low_price")
+
+
+@query("printings store_prices stores", f"SELECT p.card_id, count(*) AS printings, count(low) AS with_prices FROM (SELECT p.id, p.card_id, min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low FROM {PRICED} GROUP BY 1, 2) p GROUP BY 1")
+def agg18_priced_printings(t):
+    d = prices.printings_with_prices(t.printings, t.store_prices, t.stores)
+    return d.groupBy("card_id").agg(F.count("*").alias("printings"), F.count("low_price").alias("with_prices"))
+
+
+@query("printings store_prices stores", f"""SELECT card_id, image_uri FROM (SELECT card_id, image_uri, row_number() OVER (PARTITION BY card_id ORDER BY (image_uri IS NULL), is_foil, (low IS NULL), low, set_name, id) AS n
+ FROM (SELECT p.id, p.card_id, p.set_name, p.is_foil, p.image_uri, min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low FROM {PRICED} GROUP BY ALL) x) y WHERE n = 1""")
+def scl29_default_image(t):
+    return prices.default_images(prices.printings_with_prices(t.printings, t.store_prices, t.stores))
+
+
+DAILY = ", daily AS (SELECT p.card_id, p.id AS printing_id, p.set_name, p.set_code, p.is_foil, recorded_at AS day, min(price_aud) AS price FROM price_history h JOIN printings p ON p.id = h.printing_id WHERE price_type = 'sell' GROUP BY ALL)"
+TOP = ", top AS (SELECT * FROM (SELECT card_id, printing_id, count(*) AS days, row_number() OVER (PARTITION BY card_id ORDER BY count(*) DESC, printing_id) AS place FROM daily GROUP BY 1, 2 HAVING count(*) >= 2) x WHERE place <= 8)"
+
+
+@query("printings price_history", DAILY + " SELECT * FROM daily")
+def agg8_daily_prices(t):
+    return prices.daily_prices(t.printings, t.price_history)
+
+
+@query("printings price_history", DAILY + " SELECT card_id, day, min(price) AS price FROM daily GROUP BY 1, 2")
+def agg9_card_series(t):
+    return prices.card_series(prices.daily_prices(t.printings, t.price_history))
+
+
+@query("printings price_history", DAILY + """, a AS (SELECT card_id, string_agg(day::VARCHAR || '=' || price::VARCHAR, ';' ORDER BY day) AS aggregate FROM (SELECT card_id, day, min(price) AS price FROM daily GROUP BY 1, 2) x GROUP BY 1),
+ b AS (SELECT card_id, string_agg(printing_id || ':' || data, ' ' ORDER BY printing_id) AS by_printing FROM (SELECT card_id, printing_id, string_agg(day::VARCHAR || '=' || price::VARCHAR, ';' ORDER BY day) AS data FROM daily GROUP BY 1, 2 HAVING count(*) >= 2) x GROUP BY 1)
+ SELECT a.card_id, aggregate, coalesce(by_printing, '') AS by_printing FROM a LEFT JOIN b ON a.card_id = b.card_id""")
+def qry4_price_history(t):
+    d = prices.history_bundle(t.printings, t.price_history)
+    points = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["day"].cast("string"), F.lit("="), x["price"].cast("string"))), ";")
+    each = F.array_join(F.transform("by_printing", lambda p: F.concat(p["printing_id"], F.lit(":"), points(p["data"]))), " ")
+    return d.select("card_id", points(F.col("aggregate")).alias("aggregate"), F.coalesce(each, F.lit("")).alias("by_printing"))
+
+
+@query("printings price_history", DAILY + TOP + " SELECT card_id, printing_id, days, place::INT AS place FROM top")
+def win6_top_printings(t):
+    return prices.top_printings(prices.daily_prices(t.printings, t.price_history))
+
+
+@query("printings price_history", DAILY + TOP + " SELECT d.card_id, d.day, " + ", ".join(f"min(CASE WHEN place = {k} THEN price END) AS p{k}" for k in range(1, 9)) + " FROM daily d JOIN top ON top.printing_id = d.printing_id GROUP BY 1, 2")
+def set2_price_pivot(t):
+    return prices.price_pivot(prices.daily_prices(t.printings, t.price_history))
+
+
+@query("printings price_history", DAILY + """ SELECT card_id, round(greatest(0.0, a - pad), 4) AS low, round(b + pad, 4) AS high FROM (SELECT card_id, a, b, CASE WHEN b > a THEN (b - a) * 0.15 ELSE 1.0 END AS pad
+ FROM (SELECT card_id, min(price)::DOUBLE AS a, max(price)::DOUBLE AS b, count(*) AS n FROM (SELECT card_id, day, min(price) AS price FROM daily GROUP BY 1, 2) s GROUP BY 1) r WHERE n >= 2) q""")
+def agg24_chart_range(t):
+    d = prices.chart_ranges(prices.card_series(prices.daily_prices(t.printings, t.price_history)))
+    return d.withColumns({c: F.round(c, 4) for c in ("low", "high")})
+
+
+@query("printings store_prices", f"""SELECT card_id, low, high, round(median_price, 4) AS median_price, usd FROM (SELECT card_id, min(price_aud) AS low, max(price_aud) AS high, quantile_cont({DBL}, 0.5) AS median_price
+ FROM store_prices s JOIN printings p ON p.id = s.printing_id WHERE in_stock GROUP BY 1) a LEFT JOIN (SELECT card_id, min(CASE WHEN NOT is_foil THEN usd_price END) AS usd FROM printings GROUP BY 1) u USING (card_id)""")
+def qry5_card_snapshot(t):
+    return prices.snapshots(t.printings, t.store_prices).withColumn("median_price", F.round("median_price", 4))
+
+
+TIERED = f""", tiers AS (SELECT card_name, latest_released, max_usd, CASE WHEN latest_released >= DATE '{AS_OF}' - 30 THEN 'hot' WHEN latest_released >= DATE '{AS_OF}' - 90 OR max_usd >= 20 THEN 'active' WHEN max_usd >= 2 THEN 'longTail' ELSE 'skip' END AS tier
+ FROM (SELECT c.name AS card_name, max(released_at) AS latest_released, max(coalesce(usd_price, 0)) AS max_usd FROM cards c JOIN printings p ON p.card_id = c.id GROUP BY 1) x),
+ due AS (SELECT t.card_name, t.tier, CASE tier WHEN 'hot' THEN 1 WHEN 'active' THEN 2 ELSE 3 END AS tier_rank FROM tiers t LEFT JOIN search_log l ON l.card_name = t.card_name WHERE tier <> 'skip' AND (last_searched_at IS NULL
+ OR (last_result_count > 0 AND last_searched_at < DATE '{AS_OF}' - (CASE tier WHEN 'hot' THEN 1 WHEN 'active' THEN 3 ELSE 7 END)) OR (last_result_count = 0 AND last_searched_at < DATE '{AS_OF}' - (CASE tier WHEN 'hot' THEN 14 WHEN 'active' THEN 21 ELSE 30 END))))"""
+
+
+@query("cards printings", TIERED.split(",\n due")[0] + " SELECT card_name, latest_released, max_usd, tier FROM tiers")
+def scl24_card_tiers(t):
+    return schedule.card_tiers(t.cards, t.printings, AS_OF)
+
+
+@query("cards printings search_log", TIERED + " SELECT card_name, tier, tier_rank FROM due")
+def qry6_due_cards(t):
+    return schedule.due_order(schedule.due_cards(t.cards, t.printings, t.search_log, AS_OF))
+
+
+@query("cards printings search_log", TIERED + " SELECT tier, count(*) AS n FROM due GROUP BY 1")
+def agg13_due_counts(t):
+    return schedule.due_counts(schedule.due_cards(t.cards, t.printings, t.search_log, AS_OF))
+
+
+def _key(x: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _bare(x: str, rounds: int = 8) -> str:
+    for _ in range(rounds):
+        x = rf"trim(regexp_replace(regexp_replace({x}, '\s*\([^)]*\)\s*$', ''), '\s*\[[^\]]*\]\s*$', ''))"
+    return x
+
+
+def _grouped(name: str, keys: str) -> str:
+    return f"""{name} AS (SELECT {keys}, max(CASE WHEN a = 1 THEN id END) AS f, max(CASE WHEN b = 1 THEN id END) AS l, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY (num IS NULL), num, id) AS a,
+ row_number() OVER (PARTITION BY {keys} ORDER BY (num IS NOT NULL), num DESC, id) AS b FROM idx) x GROUP BY {keys})"""
+
+
+MATCH = rf""", idx AS (SELECT p.id, {_key('c.name')} AS k, set_code, set_name, collector_number, is_foil, TRY_CAST(nullif(regexp_extract(collector_number, '^\s*([+-]?\d+)', 1), '') AS BIGINT) AS num FROM printings p JOIN cards c ON c.id = p.card_id),
+ names AS (SELECT {_key('set_name')} AS sk, min(set_code) AS named FROM printings GROUP BY 1),
+ d AS (SELECT l.*, {_key(_bare('raw_name'))} AS k, named AS sc FROM listings l LEFT JOIN names ON sk = {_key('l.set_name')}),
+ l0 AS (SELECT set_code, collector_number, is_foil, max(id) AS id FROM idx GROUP BY ALL), {_grouped('l1', 'k, set_code, is_foil')}, {_grouped('l2', 'k, is_foil')}, {_grouped('l3', 'k')},
+ probes AS (SELECT DISTINCT d.k FROM d LEFT JOIN l0 ON l0.set_code = sc AND l0.collector_number = d.collector_number AND l0.is_foil = d.is_foil LEFT JOIN l3 ON l3.k = d.k WHERE l0.id IS NULL AND l3.k IS NULL),
+ near AS (SELECT k, near, dist FROM (SELECT p.k, l3.k AS near, levenshtein(p.k, l3.k) AS dist, row_number() OVER (PARTITION BY p.k ORDER BY levenshtein(p.k, l3.k), l3.k) AS n FROM probes p JOIN l3 ON levenshtein(p.k, l3.k) <= 2) x WHERE n = 1),
+ matched AS (SELECT d.listing_seq, d.raw_name, d.set_name, d.collector_number, d.is_foil, d.is_borderless, d.price, d.store_id,
+ CASE WHEN l0.id IS NOT NULL THEN l0.id WHEN l1.n IS NOT NULL THEN CASE WHEN d.is_borderless THEN l1.l ELSE l1.f END WHEN l2.n IS NOT NULL THEN CASE WHEN d.is_borderless THEN l2.l ELSE l2.f END
+ WHEN l3.n IS NOT NULL THEN CASE WHEN d.is_borderless THEN l3.l ELSE l3.f END ELSE coalesce(f2.f, f3.f) END AS printing_id,
+ CASE WHEN l0.id IS NOT NULL THEN 'set_collector' WHEN l1.n IS NOT NULL THEN 'exact' WHEN l2.n IS NOT NULL THEN 'name_foil' WHEN l3.n IS NOT NULL THEN 'name_only' WHEN near.k IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS match_type,
+ CAST(CASE WHEN l0.id IS NOT NULL THEN 1.0 WHEN l1.n IS NOT NULL THEN CASE WHEN l1.n = 1 THEN 1.0 ELSE 0.8 END WHEN l2.n IS NOT NULL THEN CASE WHEN l2.n = 1 THEN 0.85 ELSE 0.7 END
+ WHEN l3.n IS NOT NULL THEN CASE WHEN l3.n = 1 THEN 0.7 ELSE 0.6 END WHEN near.k IS NOT NULL THEN greatest(0.5, 1 - dist * 0.2) ELSE 0.0 END AS DOUBLE) AS confidence
+ FROM d LEFT JOIN l0 ON l0.set_code = sc AND l0.collector_number = d.collector_number AND l0.is_foil = d.is_foil LEFT JOIN l1 ON l1.k = d.k AND l1.set_code = sc AND l1.is_foil = d.is_foil
+ LEFT JOIN l2 ON l2.k = d.k AND l2.is_foil = d.is_foil LEFT JOIN l3 ON l3.k = d.k LEFT JOIN near ON near.k = d.k LEFT JOIN l2 f2 ON f2.k = near.near AND f2.is_foil = d.is_foil LEFT JOIN l3 f3 ON f3.k = near.near)"""
+MATCHING = "cards printings listings"
+
+
+def matched(t: Tables) -> DataFrame:
+    return matching.match_listings(t.listings, t.printings, t.cards)
+
+
+@query(MATCHING, MATCH + " SELECT * FROM matched")
+def qry7_match_listings(t):
+    return matched(t)
+
+
+@query("cards", rf"""SELECT probe, key, dist FROM (SELECT a.p AS probe, b.k AS key, levenshtein(a.p, b.k) AS dist FROM (SELECT DISTINCT replace({_key('name')}, 'a', '') AS p FROM cards) a JOIN (SELECT DISTINCT {_key('name')} AS k FROM cards) b ON abs(length(a.p) - length(b.k)) <= 2) x WHERE dist <= 2""")
+def jon7_near_keys(t):
+    keys = t.cards.select(text.name_key(F.col("name")).alias("key")).distinct()
+    return matching.near_keys(keys.select(F.replace("key", F.lit("a"), F.lit("")).alias("probe")).distinct(), keys).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+@query(MATCHING, MATCH + " SELECT match_type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM matched), 1)::DOUBLE AS percent FROM matched GROUP BY 1")
+def qry11_match_summary(t):
+    return quality.summary(matched(t))
+
+
+@query(MATCHING, MATCH + """ SELECT count(*) AS listings, count(*) FILTER (confidence >= 0.7) AS high_confidence, count(*) FILTER (is_borderless) AS borderless,
+ count(*) FILTER (printing_id IS NOT NULL AND confidence < 0.7 AND NOT is_borderless) AS low_confidence, count(*) FILTER (match_type = 'unmatched') AS unmatched FROM matched""")
+def agg15_match_totals(t):
+    return quality.totals(matched(t))
+
+
+@query(MATCHING, MATCH + " SELECT raw_name, set_name, count(*) AS n FROM matched WHERE match_type = 'unmatched' GROUP BY 1, 2")
+def agg22_unmatched_names(t):
+    return quality.unmatched(matched(t))
+
+
+ASKED = " SELECT m.*, p.set_code AS matched_set, p.collector_number AS matched_number FROM matched m LEFT JOIN printings p ON p.id = m.printing_id WHERE "
+
+
+@query(MATCHING, MATCH + ASKED + "is_borderless")
+def qry11_borderless(t):
+    return quality.borderless(matched(t), t.printings)
+
+
+@query(MATCHING, MATCH + ASKED + "m.printing_id IS NOT NULL AND confidence < 0.7 AND NOT is_borderless")
+def jon17_low_confidence(t):
+    return quality.low_confidence(matched(t), t.printings)
+
+
+FLAT = f"SELECT p.id, p.card_id, p.set_name, p.is_foil, p.released_at, sp.store_id, price_aud, condition, coalesce(in_stock, false) AS in_stock, s.name AS store_name FROM {PRICED} WHERE s.name IS NOT NULL AND price_aud IS NOT NULL"
+SHOWN = ["id", "card_id", "set_name", "is_foil", "released_at", "store_id", "price_aud", "condition", "in_stock", "store_name"]
+
+
+def flat(t: Tables) -> DataFrame:
+    return prices.priced_printings(t.printings, t.store_prices, t.stores)
+
+
+@query("printings store_prices stores", FLAT + " AND NOT is_foil AND coalesce(in_stock, false)")
+def qry12_price_table(t):
+    return prices.price_table(flat(t), foil=False, in_stock_only=True).select(*SHOWN)
+
+
+@query("printings store_prices stores", f"SELECT card_id, count(*) AS n, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM ({FLAT}) x GROUP BY 1")
+def ord6_table_pages(t):
+    return prices.table_pages(prices.price_table(flat(t)))
+
+
+@query("printings store_prices stores", FLAT + " ORDER BY released_at DESC NULLS LAST, p.id, sp.store_id LIMIT 10 OFFSET 10")
+def ord5_newest_page(t):
+    return prices.table_page(prices.price_table(flat(t)).select(*SHOWN), "newest", 1)
+
+
+@query("printings store_prices stores", f"SELECT DISTINCT card_id, store_name FROM ({FLAT}) x")
+def agg17_shop_facets(t):
+    return prices.shop_facets(flat(t))
+
+
+@query("printings", "SELECT card_id, set_name, max(released_at) AS released_at, row_number() OVER (PARTITION BY card_id ORDER BY max(released_at) DESC, set_name)::INT AS place FROM printings GROUP BY 1, 2")
+def agg17_set_facets(t):
+    return prices.set_facets(t.printings)
+
+
+@query("printings", "SELECT id, replace(image_uri, '/normal/', '/small/') AS thumbnail, TRY_CAST(nullif(regexp_extract(collector_number, '^([0-9]+)', 1), '') AS BIGINT) AS num FROM printings")
+def scl27_thumbnails(t):
+    return t.printings.select("id", prices.thumbnail(F.col("image_uri")).alias("thumbnail"), text.number_prefix(F.col("collector_number")).alias("num"))
+
+
+@query("", f"SELECT doc_id, md5({_key('text')}) AS key_md5 FROM documents")
+def scl1_name_keys(t):
+    return t.base("documents").select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_md5"))
+
+
+@query("listings", f"SELECT listing_seq, {_bare('raw_name')} AS bare FROM listings")
+def scl3_bare_names(t):
+    return t.listings.select("listing_seq", text.strip_variant(F.col("raw_name")).alias("bare"))
+
+
+@query("", r"""SELECT page_id, code, min(pos) - 1 AS pos FROM (SELECT page_id, unnest(h) AS code, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="/([a-z0-9]+)', 1) AS h FROM pages) x) y GROUP BY 1, 2""")
+def src5_page_codes(t):
+    return store_a.set_codes(t.base("pages"), pattern='href="/([a-z0-9]+)').withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _first(column: str, pairs: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_q(p)}, 'i') THEN {_q(v)}" for p, v in pairs) + " END"
+
+
+def _noise(column: str) -> str:
+    for p in rules.TITLE_NOISE:
+        column = f"regexp_replace({column}, {_q(p)}, ' ', 'gi')"
+    return rf"trim(regexp_replace({column}, '\s+', ' ', 'g'))"
+
+
+FIELD = "CASE " + " ".join(f"WHEN lower(coalesce(item_condition, '')) LIKE '%{k}%' THEN '{v}'" for k, v in rules.FIELD_CONDITIONS) + " END"
+MARKET = rf""", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM market_items) x WHERE n = 1),
+ titles AS (SELECT title, {_first('title', rules.TITLE_SETS)} AS set_name, {_first('title', rules.TITLE_CONDITIONS)} AS title_condition, regexp_matches(title, '\bfoil\b', 'i') AS is_foil, ({" OR ".join(f"regexp_matches(title, {_q(p)}, 'i')" for p in rules.SKIP_TITLES)}) AS skip FROM (SELECT DISTINCT title FROM firsts) x),
+ named AS (SELECT *, CASE WHEN set_name IS NULL THEN title ELSE regexp_replace(title, regexp_escape(set_name), '', 'gi') END AS rest FROM titles),
+ done AS (SELECT *, {_noise('rest')} AS raw_name FROM named),
+ judged AS (SELECT f.item_id, f.rank, f.title, raw_name, set_name, CASE WHEN currency = 'AUD' AND amount::DECIMAL(12,2) > 0 THEN amount::DECIMAL(12,2) END AS price, coalesce(title_condition, {FIELD}) AS condition, is_foil,
+ CASE WHEN lower(coalesce(item_condition, '')) LIKE '%sealed%' OR lower(coalesce(item_condition, '')) LIKE '%new/factory%' THEN 'sealed' WHEN skip THEN 'title' WHEN currency <> 'AUD' OR amount::DECIMAL(12,2) <= 0 THEN 'price'
+ WHEN NOT fixed THEN 'auction' WHEN length(raw_name) < 2 THEN 'name' END AS skip_reason FROM firsts f JOIN done ON done.title = f.title)"""
+
+
+def judged_items(t: Tables) -> DataFrame:
+    found = market.items(feeds.market_pages(t.spark, t.sf_dir))
+    return market.judged(market.first_seen(found, ["search_rank", "item_pos"]))
+
+
+@query("market_items", MARKET + " SELECT item_id, rank, title, raw_name, set_name, price, condition, is_foil, skip_reason FROM judged")
+def flt5_market_items(t):
+    return judged_items(t).select(F.col("itemId").alias("item_id"), F.col("search_rank").alias("rank"), "title", "raw_name", "set_name", "price", "condition", "is_foil", "skip_reason")
+
+
+@query("market_items", MARKET + " SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1")
+def agg14_market_reasons(t):
+    return judged_items(t).groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+CODES_A = "CASE lower(condition) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CONDITIONS_A.items()) + " ELSE condition END"
+
+
+@query("shop_a_entries", f"""SELECT name AS raw_name, nullif(set_code, '') AS set_code, nullif(set_name, '') AS set_name, nullif(split_part(split_part(link_path, '/', -1), ':', 1), '') AS collector_number, CAST(price / 100.0 AS DECIMAL(12,2)) AS price,
+ 'sell' AS price_type, {CODES_A} AS condition, finish = 'Foil' AS is_foil, quantity > 0 AS in_stock, '{store_a.BASE_URL}' || link_path AS source_url FROM shop_a_entries""")
+def prj4_shop_a_listings(t):
+    return store_a.listings(feeds.shop_a_payloads(t.spark, t.sf_dir)).drop("source", "listing_seq", "is_borderless")
+
+
+SHOP_B = f""", p AS (SELECT *, regexp_matches(title, '\\bborderless\\b', 'i') AS is_borderless, nullif(regexp_extract(title, '\\((\\d{{4}})\\)', 1), '') AS num,
+ trim(regexp_replace(regexp_replace(regexp_replace(title, '\\(\\d{{4}}\\)', ''), '\\bborderless\\b', '', 'i'), '\\s{{2,}}', ' ', 'g')) AS clean FROM shop_b_products WHERE NOT ({" OR ".join(f"contains(lower(title), '{k}')" for k in rules.SKIPPED_VARIANTS)})
+ AND NOT regexp_matches(lower(title), '\\b(token|emblem)\\b') AND NOT contains(title, '//') AND lower(product_type) <> 'token'),
+ q AS (SELECT *, CASE WHEN regexp_matches(clean, '^(.+?)\\s+[-–—]\\s+(.+)$') THEN trim(regexp_extract(clean, '^(.+?)\\s+[-–—]\\s+(.+)$', 1)) WHEN regexp_matches(clean, '^(.+?)\\s+[\\[(]([^\\])]*)[\\])]$') THEN trim(regexp_extract(clean, '^(.+?)\\s+[\\[(]([^\\])]*)[\\])]$', 1)) ELSE clean END AS n1,
+ CASE WHEN tagged THEN tag WHEN regexp_matches(clean, '^(.+?)\\s+[-–—]\\s+(.+)$') THEN trim(regexp_extract(clean, '^(.+?)\\s+[-–—]\\s+(.+)$', 2)) WHEN regexp_matches(clean, '^(.+?)\\s+[\\[(]([^\\])]*)[\\])]$') THEN trim(regexp_extract(clean, '^(.+?)\\s+[\\[(]([^\\])]*)[\\])]$', 2)) END AS s1 FROM p),
+ r AS (SELECT *, coalesce(instr(s1, ' [') > 0 AND length(trim(left(s1, instr(s1, ' [') - 1))) > 2 AND regexp_matches(trim(left(s1, instr(s1, ' [') - 1)), '^[A-Z]'), false) AS swap,
+ regexp_matches(option1, '\\s+foil$', 'i') AS is_foil, lower(trim(regexp_replace(option1, '\\s+foil$', '', 'i'))) AS cond FROM q)
+ SELECT CASE WHEN swap THEN trim(left(s1, instr(s1, ' [') - 1)) ELSE n1 END AS raw_name, CASE WHEN swap THEN nullif(trim(regexp_extract(substr(s1, instr(s1, ' [') + 2), '^(.*)\\]', 1)), '') ELSE s1 END AS set_name, CAST(CAST(num AS INT) AS VARCHAR) AS collector_number,
+ CAST(price AS DECIMAL(12,2)) AS price, 'NM' AS condition, is_foil, is_borderless, CASE WHEN has_flag THEN available ELSE inventory > 0 END AS in_stock, '{store_b.BASE_URL}/products/' || handle AS source_url FROM r WHERE CAST(price AS DECIMAL(12,2)) > 0 AND cond IN ('near mint', 'nm', 'mint', 'm')"""
+
+
+@query("shop_b_products", SHOP_B)
+def prj5_shop_b_listings(t):
+    return store_b.listings(feeds.shop_b_pages(t.spark, t.sf_dir)).select("raw_name", "set_name", "collector_number", "price", "condition", "is_foil", "is_borderless", "in_stock", "source_url")
+
+
+@query("shop_a_entries", "SELECT count(*) AS listings, count(*) FILTER (set_name <> '') AS with_set, count(*) FILTER (finish = 'Foil') AS foil, count(*) FILTER (quantity > 0) AS in_stock FROM shop_a_entries")
+def agg23_feed_quality(t):
+    return quality.feed_quality(store_a.listings(feeds.shop_a_payloads(t.spark, t.sf_dir)))
+
+
+KEPT = "SELECT * FROM catalogue_cards WHERE NOT digital AND lang = 'en' AND layout <> 'token' AND oracle_id <> ''"
+
+
+@query("catalogue_cards", f"SELECT oracle_id AS id, name, coalesce(type_line, 'Unknown') AS type_line FROM (SELECT *, row_number() OVER (PARTITION BY oracle_id ORDER BY pos) AS n FROM ({KEPT}) k) x WHERE n = 1")
+def qry10_catalogue_cards(t):
+    return catalogue.card_rows(catalogue.from_strings(feeds.catalogue_strings(t.spark, t.sf_dir))).select("id", "name", "type_line")
+
+
+@query("catalogue_cards", f"""SELECT id, card_id, set_code, set_name, released_at, collector_number, rarity, is_foil, image_uri, usd_price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC, k DESC) AS n FROM
+ (SELECT pos, k, CASE WHEN foil THEN id || '_foil' ELSE id END AS id, oracle_id AS card_id, set_code, set_name, coalesce(CAST(released_at AS DATE), DATE '1993-01-01') AS released_at, collector_number, rarity, foil AS is_foil,
+ coalesce(nullif(image, ''), nullif(face_image, '')) AS image_uri, CAST(CASE WHEN foil THEN usd_foil ELSE usd END AS DECIMAL(12,2)) AS usd_price
+ FROM (SELECT *, 0 AS k, finish_kind = 1 AS foil FROM ({KEPT}) a UNION ALL SELECT *, 1 AS k, true AS foil FROM ({KEPT}) b WHERE finish_kind < 2) f) y) z WHERE n = 1""")
+def qry10_catalogue_printings(t):
+    return catalogue.printing_rows(catalogue.from_strings(feeds.catalogue_strings(t.spark, t.sf_dir))).drop("scryfall_uri")
+
+
+@query("store_prices stores", "SELECT * FROM store_prices WHERE store_id NOT IN (SELECT id FROM stores WHERE scraper_enabled) UNION ALL SELECT printing_id, store_id, CAST(price_aud * 2 AS DECIMAL(12,2)) AS price_aud, price_type, condition, in_stock FROM store_prices WHERE store_id IN (SELECT id FROM stores WHERE scraper_enabled) AND price_type = 'sell'")
+def snk1_replace_stores(t):
+    ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
+    new = t.store_prices.join(ran, "store_id", "left_semi").filter("price_type = 'sell'").withColumn("price_aud", (F.col("price_aud") * 2).cast("decimal(12,2)"))
+    return snapshots.replace_store(t.store_prices, new, ran)
+
+
+BATCH = f"SELECT CAST(l_partkey AS VARCHAR) AS printing_id, CAST(l_suppkey AS VARCHAR) AS store_id, 'sell' AS price_type, CAST(date_trunc('year', l_shipdate) AS DATE) AS recorded_at, CAST(l_extendedprice AS DECIMAL(12,2)) AS price_aud, l_orderkey * 10 + l_linenumber AS listing_seq FROM lineitem"
+
+
+@query("price_history", f"""SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM price_history UNION ALL SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM (SELECT *, row_number() OVER (PARTITION BY printing_id, store_id, price_type, recorded_at ORDER BY listing_seq, price_aud) AS n FROM ({BATCH}) b) x
+ WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM price_history h WHERE h.printing_id = x.printing_id AND h.store_id = x.store_id AND h.price_type = x.price_type AND h.recorded_at = x.recorded_at)""")
+def snk2_append_history(t):
+    batch = t.base("lineitem").select(F.col("l_partkey").cast("string").alias("printing_id"), F.col("l_suppkey").cast("string").alias("store_id"), F.lit("sell").alias("price_type"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("recorded_at"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price_aud"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_seq"))
+    return snapshots.append_history(t.price_history, batch)
+
+
+@query(MATCHING, MATCH + " SELECT store_id, raw_name, set_name AS raw_set_name, price AS raw_price FROM matched WHERE printing_id IS NULL")
+def snk3_unmatched_rows(t):
+    d = matched(t).withColumns({"price_type": F.lit("sell"), "condition": F.lit("NM"), "in_stock": F.lit(True), "source_url": F.lit("")})
+    return matching.split_matches(d, AS_OF)[2].drop("source_url")
+
+
+@query("printings", """SELECT id, card_id, set_code, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN CAST(9.99 AS DECIMAL(12,2)) ELSE usd_price END AS usd_price FROM printings UNION ALL SELECT 'n' || id, card_id, 'new', CAST(9.99 AS DECIMAL(12,2)) FROM printings WHERE CAST(id AS BIGINT) % 10 = 0""")
+def snk4_upsert_printings(t):
+    old = t.printings.select("id", "card_id", "set_code", "usd_price")
+    price = F.lit("9.99").cast("decimal(12,2)").alias("usd_price")
+    known = old.filter(F.col("id").cast("bigint") % 2 == 0).select("id", "card_id", F.lit("new").alias("set_code"), price)
+    fresh = old.filter(F.col("id").cast("bigint") % 10 == 0).select(F.concat(F.lit("n"), "id").alias("id"), "card_id", F.lit("new").alias("set_code"), price)
+    return snapshots.upsert(old, known.unionByName(fresh), ["id"], snapshots.PRINTING_REFRESH)
+
+
+@query("cards printings store_prices search_log", "SELECT * FROM store_prices WHERE NOT (store_id = '7' AND printing_id IN (SELECT p.id FROM printings p JOIN cards c ON c.id = p.card_id WHERE c.name IN (SELECT card_name FROM search_log)))")
+def snk5_clear_cards(t):
+    return snapshots.clear_cards(t.store_prices, t.printings, t.cards, t.search_log, "7").select("printing_id", "store_id", "price_aud", "price_type", "condition", "in_stock")
+
+
+@query("price_history", f"SELECT printing_id, store_id, price_type, recorded_at, price_aud, strftime(recorded_at, '%Y-%m') AS recorded_month FROM price_history WHERE recorded_at >= DATE '{AS_OF}' - INTERVAL 24 MONTH")
+def snk6_retained_history(t):
+    return snapshots.retained(t.price_history, AS_OF)
+
+
+CHECKS = [
+    ("cards", "duplicate key", "SELECT id FROM cards GROUP BY 1 HAVING count(*) > 1"), ("printings", "duplicate key", "SELECT id FROM printings GROUP BY 1 HAVING count(*) > 1"), ("stores", "duplicate key", "SELECT id FROM stores GROUP BY 1 HAVING count(*) > 1"),
+    ("price_history", "duplicate key", "SELECT printing_id FROM price_history GROUP BY printing_id, store_id, price_type, recorded_at HAVING count(*) > 1"),
+    *[(c, f"orphan {k}", f"SELECT 1 FROM {c} WHERE {k} NOT IN (SELECT id FROM {p})") for c, k, p in (("printings", "card_id", "cards"), ("store_prices", "printing_id", "printings"), ("store_prices", "store_id", "stores"), ("price_history", "printing_id", "printings"), ("price_history", "store_id", "stores"))],
+    *[(c, f"null {k}", f"SELECT 1 FROM {c} WHERE {k} IS NULL") for c, ks in (("cards", "id name type_line"), ("printings", "id card_id set_code released_at"), ("store_prices", "printing_id store_id price_aud price_type")) for k in ks.split()],
+]
+
+
+@query("cards printings stores store_prices price_history", " UNION ALL ".join(f"SELECT '{a}' AS \"table\", '{b}' AS rule, (SELECT count(*) FROM ({c}) x) AS n" for a, b, c in CHECKS))
+def snk7_integrity(t):
+    return snapshots.integrity(t.cards, t.printings, t.stores, t.store_prices, t.price_history)
+
+
+@query("stores", "SELECT id, name, id IN ('1', '2', '3', '5') AS registered FROM stores WHERE scraper_enabled")
+def flt12_runnable_stores(t):
+    registered = t.spark.createDataFrame([(k,) for k in "1235"], "id STRING")
+    ok, missing = tables.runnable_stores(t.stores, registered)
+    return ok.select("id", "name", F.lit(True).alias("registered")).unionByName(missing.select("id", "name", F.lit(False).alias("registered")))
