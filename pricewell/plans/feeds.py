@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +63,19 @@ def shop_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.to_json(F.struct(F.array(product).alias("products"))).alias("body"))
 
 
-def catalogue_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
+    """The place of the catalogue landed as JSON lines, each with its `pos`."""
     d = view(spark, sf_dir, "catalogue_cards")
     finishes = F.when(F.col("finish_kind") == 0, F.array(F.lit("nonfoil"), F.lit("foil"))).when(F.col("finish_kind") == 1, F.array(F.lit("foil"), F.lit("etched"))).otherwise(F.array(F.lit("nonfoil")))
-    card = F.struct("id", "oracle_id", "name", "lang", "layout", "digital", "type_line", F.col("set_code").alias("set"), "set_name", "released_at", "collector_number", "rarity", finishes.alias("finishes"), F.struct(F.col("image").alias("normal")).alias("image_uris"), F.array(F.struct(F.struct(F.col("face_image").alias("normal")).alias("image_uris"))).alias("card_faces"), F.struct("usd", "usd_foil").alias("prices"))
-    return d.select("pos", F.to_json(card).alias("body"))
+    path = f"{landing_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    d.select("pos", "id", "oracle_id", "name", "lang", "layout", "digital", "type_line", F.col("set_code").alias("set"), "set_name", "released_at", "collector_number", "rarity", finishes.alias("finishes"), F.struct(F.col("image").alias("normal")).alias("image_uris"), F.array(F.struct(F.struct(F.col("face_image").alias("normal")).alias("image_uris"))).alias("card_faces"), F.struct("usd", "usd_foil").alias("prices")).write.json(path)
+    return path
+
+
+def landing_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; where the cluster names none, as in tests, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="pricewell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

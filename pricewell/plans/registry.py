@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import rules, text
 from pricewell.operators import matching, prices, quality, schedule, snapshots
-from pricewell.plans import feeds
+from pricewell.plans import feeds, jobs
 from pricewell.plans.views import AS_OF, oracle, view
 from pricewell.sources import catalogue, market, store_a, store_b, tables
+from pricewell.sources.schemas import TABLES
+from pricewell.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -388,7 +392,7 @@ KEPT = "SELECT * FROM catalogue_cards WHERE NOT digital AND lang = 'en' AND layo
 
 @query("catalogue_cards", f"SELECT oracle_id AS id, name, coalesce(type_line, 'Unknown') AS type_line FROM (SELECT *, row_number() OVER (PARTITION BY oracle_id ORDER BY pos) AS n FROM ({KEPT}) k) x WHERE n = 1")
 def qry10_catalogue_cards(t):
-    return catalogue.card_rows(catalogue.from_strings(feeds.catalogue_strings(t.spark, t.sf_dir))).select("id", "name", "type_line")
+    return catalogue.card_rows(catalogue.read_catalogue(t.spark, feeds.catalogue_file(t.spark, t.sf_dir), lines=True, pos="pos")).select("id", "name", "type_line")
 
 
 @query("catalogue_cards", f"""SELECT id, card_id, set_code, set_name, released_at, collector_number, rarity, is_foil, image_uri, usd_price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC, k DESC) AS n FROM
@@ -396,7 +400,7 @@ def qry10_catalogue_cards(t):
  coalesce(nullif(image, ''), nullif(face_image, '')) AS image_uri, CAST(CASE WHEN foil THEN usd_foil ELSE usd END AS DECIMAL(12,2)) AS usd_price
  FROM (SELECT *, 0 AS k, finish_kind = 1 AS foil FROM ({KEPT}) a UNION ALL SELECT *, 1 AS k, true AS foil FROM ({KEPT}) b WHERE finish_kind < 2) f) y) z WHERE n = 1""")
 def qry10_catalogue_printings(t):
-    return catalogue.printing_rows(catalogue.from_strings(feeds.catalogue_strings(t.spark, t.sf_dir))).drop("scryfall_uri")
+    return catalogue.printing_rows(catalogue.read_catalogue(t.spark, feeds.catalogue_file(t.spark, t.sf_dir), lines=True, pos="pos")).drop("scryfall_uri")
 
 
 @query("store_prices stores", "SELECT * FROM store_prices WHERE store_id NOT IN (SELECT id FROM stores WHERE scraper_enabled) UNION ALL SELECT printing_id, store_id, CAST(price_aud * 2 AS DECIMAL(12,2)) AS price_aud, price_type, condition, in_stock FROM store_prices WHERE store_id IN (SELECT id FROM stores WHERE scraper_enabled) AND price_type = 'sell'")
@@ -459,3 +463,42 @@ def flt12_runnable_stores(t):
     registered = t.spark.createDataFrame([(k,) for k in "1235"], "id STRING")
     ok, missing = tables.runnable_stores(t.stores, registered)
     return ok.select("id", "name", F.lit(True).alias("registered")).unionByName(missing.select("id", "name", F.lit(False).alias("registered")))
+
+
+@query(MATCHING + " stores store_prices", MATCH + """ SELECT store_id, count(*) AS n, sum(price_aud) AS total FROM (SELECT store_id, price_aud FROM store_prices WHERE store_id NOT IN (SELECT id FROM stores WHERE scraper_enabled)
+ UNION ALL SELECT store_id, price AS price_aud FROM matched WHERE printing_id IS NOT NULL AND store_id IN (SELECT id FROM stores WHERE scraper_enabled)) x GROUP BY 1""")
+def qry8_store_refresh(t):
+    ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
+    new = t.listings.join(ran, "store_id", "left_semi").withColumns({"price_type": F.lit("sell"), "condition": F.lit("NM"), "in_stock": F.lit(True), "source_url": F.lit("")})
+    old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"])}
+    made = jobs.refresh_stores(new, old, ran, AS_OF)["store_prices"]
+    return made.groupBy("store_id").agg(F.count("*").alias("n"), F.sum("price_aud").alias("total"))
+
+
+@query("cards market_items search_log", f"""SELECT card_name, CASE WHEN s THEN DATE '{AS_OF}' ELSE last_searched_at END AS last_searched_at, CASE WHEN s THEN n ELSE last_result_count END AS last_result_count FROM (
+ SELECT coalesce(c.name, l.card_name) AS card_name, c.name IS NOT NULL AS s, l.*, (SELECT count(*) FROM market_items m WHERE m.rank % 10 < 4 AND starts_with(m.title, c.name))::INT AS n
+ FROM (SELECT name FROM cards WHERE name LIKE 's%') c FULL JOIN (SELECT card_name AS card, * FROM search_log) l ON l.card = c.name) x""")
+def qry9_market_refresh_log(t):
+    """Searches of the cards whose name starts with s; each found the items whose title starts with its name."""
+    searched = t.cards.filter("name like 's%'").select(F.col("name").alias("card_name"), F.lit("ok").alias("status"))
+    names = t.cards.select(F.col("name").alias("card_name"))
+    pages = feeds.market_pages(t.spark, t.sf_dir).filter("search_rank % 10 < 4")
+    title = F.get_json_object("body", "$.itemSummaries[0].title")
+    word = F.array_join(F.slice(F.split(title, " "), 1, 3), " ")
+    pages = pages.withColumn("card_name", word).join(names, "card_name", "left_semi")
+    old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices.withColumn("url", F.lit("")), "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"]), "search_log": t.search_log}
+    return jobs.refresh_market(pages, searched, old, AS_OF)["search_log"]
+
+
+@query("", "SELECT event_type, count(*) AS n, sum(value) AS total FROM (SELECT event_type, round(value, 2)::DECIMAL(12,2) AS value FROM events) x GROUP BY 1")
+def str1_event_ingest(t):
+    """The events as arriving items: new files only, once per item, written by foreachBatch until none is left."""
+    root = feeds.landing_dir(t.spark)
+    out, state = f"{root}/str1-{uuid.uuid4().hex}", f"{root}/str1-state-{uuid.uuid4().hex}"
+    schema = t.base("events").schema
+    source = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet*")
+    seen = ingest.items_once(source.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "400 days")
+    run = seen.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    d = t.spark.read.parquet(out)
+    return d.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round("value", 2).cast("decimal(12,2)")).alias("total"))

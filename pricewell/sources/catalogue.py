@@ -10,10 +10,13 @@ from pricewell.functions.rules import SKIPPED_LAYOUTS
 from pricewell.sources.schemas import CATALOGUE_CARD
 
 
-def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Card objects of a JSON array, or of JSON lines, which many tasks can read; `pos` is the order of arrival."""
-    raw = spark.read.schema(CATALOGUE_CARD).option("multiLine", not lines).json(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id())
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False, pos: str | None = None) -> DataFrame:
+    """Card objects of a JSON array, or of JSON lines, which many tasks can read.
+
+    `pos` orders them by arrival: a field of that name where the landed objects carry one, else their place in the files.
+    """
+    reader = spark.read.schema(CATALOGUE_CARD + (f", {pos} BIGINT" if pos else "")).option("multiLine", not lines)
+    return reader.json(path).withColumnRenamed(pos, "pos") if pos else reader.json(path).withColumn("pos", F.monotonically_increasing_id())
 
 
 def importable_card() -> Column:
@@ -50,8 +53,3 @@ def printing_rows(catalogue: DataFrame) -> DataFrame:
     )
     last = F.row_number().over(W.partitionBy("id").orderBy(F.desc("pos"), F.desc("finish_pos")))
     return rows.withColumn("_n", last).filter("_n = 1").drop("_n", "pos", "finish_pos")
-
-
-def from_strings(cards: DataFrame, body: str = "body", pos: str = "pos") -> DataFrame:
-    """Card objects held as JSON strings, one a row, with their order of arrival."""
-    return cards.select(F.from_json(F.col(body), CATALOGUE_CARD).alias("c"), F.col(pos).alias("pos")).select("c.*", "pos")
