@@ -196,6 +196,13 @@ def _may_link(a: str, b: str, threshold: int):
     return (F.col(f"n{a}") + F.col(f"n{b}")) * threshold <= F.least(F.col(f"m{a}"), F.col(f"m{b}")) * (100 + threshold)
 
 
+def _early(a: str, b: str, threshold: int):
+    """Only places (from 0) that one of a linked pair's first l common shingles can have count: of an overlap of T or more,
+    the l-th common one has T - l others after it on both sides."""
+    least = F.ceil((F.col(f"n{a}") + F.col(f"n{b}")) * threshold / (100 + threshold)) - F.least(f"l{a}", f"l{b}")
+    return (F.col(f"i{a}") < F.col(f"m{a}") - least) & (F.col(f"i{b}") < F.col(f"m{b}") - least)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (x, y) whose sets reach the threshold, with their overlap."""
     x = nodes.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("kept").alias("sx"))
@@ -229,7 +236,7 @@ def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
 
     Within a component not every link is listed; between components there is none.
     """
-    post = stored(nodes.select(F.col("key").alias("k"), "n", "m", "l", F.explode("prefix").alias("s")), "postings")
+    post = stored(nodes.select(F.col("key").alias("k"), "n", "m", "l", F.posexplode("prefix").alias("i", "s")), "postings")
     found = comps = None
 
     def labelled() -> DataFrame:
@@ -240,7 +247,7 @@ def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
     for _ in range(stars):
         p = stored(labelled(), "labelled")
         centre = p.groupBy("s").agg(F.min_by(F.struct("k", "n", "m", "c"), F.struct((F.col("n") - F.col("m")) / F.col("n"), "k")).alias("to"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("s", "to.*").withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "c": "c2"})
-        near = p.withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "c": "c1"}).join(centre, "s").filter((F.col("c1") != F.col("c2")) & _may_link("1", "2", threshold))
+        near = p.drop("i").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "c": "c1"}).join(centre, "s").filter((F.col("c1") != F.col("c2")) & _may_link("1", "2", threshold))
         votes = near.groupBy("k1", "k2").agg(F.count("*").alias("v")).groupBy("k1").agg(F.max_by("k2", F.struct("v", "k2")).alias("k2"))
         got = stored(verified(votes.select(F.col("k1").alias("x"), F.col("k2").alias("y")), nodes, threshold), "star-links")
         found = got if found is None else found.unionByName(got)
@@ -250,9 +257,9 @@ def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
     sizes = p.groupBy("s", "c").agg(F.count("*").alias("v"))
     main = sizes.groupBy("s").agg(F.max_by("c", F.struct("v", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1")
     p = stored(p.join(main, "s").drop("cs"), "labelled")
-    right = p.withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "l": "l2", "c": "c2"}).drop("main")
-    left = p.filter("c <> main").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "l": "l1", "c": "c1"})
-    cross = left.join(right, "s").filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("k1") < F.col("k2"))) & _may_link("1", "2", threshold))
+    right = p.withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "l": "l2", "c": "c2", "i": "i2"}).drop("main")
+    left = p.filter("c <> main").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "l": "l1", "c": "c1", "i": "i1"})
+    cross = left.join(right, "s").filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("k1") < F.col("k2"))) & _may_link("1", "2", threshold) & _early("1", "2", threshold))
     pairs = cross.groupBy(F.least("k1", "k2").alias("x"), F.greatest("k1", "k2").alias("y")).agg(F.count("*").alias("v"), F.first(F.least("l1", "l2")).alias("l")).filter("v >= l")
     return found.unionByName(verified(pairs, nodes, threshold))
 
