@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import additive, bpe, chat, jaccard, langid, mixing, sharding, threshold, toxicity
+from pricewell.llm import additive, bpe, chat, jaccard, langid, mixing, sharding, threshold, toxicity, warc
 from pricewell.llm.common import env_path, fold, stored, table
 from pricewell.llm.vectors import valid
 
@@ -52,6 +52,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), env_path("byte_bpe_50k.json"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the pages' WARC layout with what the audit of a damaged replica finds of it.
+
+    In the replica every 53rd page from 7 on has a changed byte, and every 59th from 11 on is lost.
+    """
+    pages = table(spark, sf_dir, "pages")
+    kept = stored(warc.layout(pages), "warc")
+    damaged = F.col("page_id") % 53 == 7
+    changed = pages.filter(damaged).select("page_id", F.sha2(F.overlay(warc.record(F.col("page_id"), F.col("url"), F.col("html")), F.lit("#"), F.lit(1)), 256).alias("_other"))
+    replica = kept.filter("page_id % 59 <> 11").join(changed, "page_id", "left").select("file", "offset", F.coalesce("_other", "sha256").alias("sha256"))
+    found = warc.audit(kept, stored(replica, "warc-replica"))
+    d = kept.join(found, ["file", "offset"], "left")
+    return d.select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("ok")).alias("status"), "found_sha256")
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from labelled rows outside the held-out fold; repeated labels of a document count once, the largest."""
     marks = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -85,5 +100,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+RECORD = "'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || url || crlf || 'Content-Length: ' || strlen(html) || crlf || crlf || html || crlf || crlf"
+OP6_SQL = f"""WITH r AS (SELECT page_id, url, {RECORD} AS rec FROM (SELECT *, chr(13) || chr(10) AS crlf FROM pages) p),
+ m AS (SELECT page_id, rec, CAST(('0x' || substr(md5(page_id || '|' || url), 1, 8))::UBIGINT % (SELECT greatest(1, ceil(count(*) / 1000.0))::UBIGINT FROM pages) AS INT) AS file, strlen(rec) AS length, sha256(rec) AS sha256 FROM r)
+ SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, sha256,
+ CASE WHEN page_id % 59 = 11 THEN 'missing' WHEN page_id % 53 = 7 THEN 'changed' ELSE 'ok' END AS status, CASE WHEN page_id % 59 <> 11 AND page_id % 53 = 7 THEN sha256('#' || substr(rec, 2)) END AS found_sha256 FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_fixity": OP6_SQL}
