@@ -136,8 +136,8 @@ def train(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swapped: tuple[np.
     d_sign = np.concatenate([np.ones(int(mine.sum())), -np.ones(swapped[0].size)])
     df = np.bincount(cells, minlength=dims)
     use = df >= 3
-    w, bias, v, v_bias, t = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(dims), 0.0, 1.0
-    v_bias = bias
+    # the bias stays at the log odds of label 1: a text without known features gets the base rate, however short it is
+    w, bias, v, t = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(dims), 1.0
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / y.size
     # a step per feature that bounds the curvature: by Cauchy's inequality with shares 1/sqrt(df), largest for rare ones
     share = 1 / np.sqrt(df + 1.0)
@@ -145,9 +145,8 @@ def train(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swapped: tuple[np.
     if k:
         bend += 2 * swap_weight / y.size * np.bincount(d_cells, np.bincount(d_rows, share[d_cells], k)[d_rows], dims)
     rate = share / np.maximum(bend, 1e-12)
-    bias_rate = 1 / (weight / 4 * (np.bincount(row_of, share[cells], y.size) + 1)).sum()
     for _ in range(epochs):
-        z = np.bincount(row_of, v[cells], y.size) + v_bias
+        z = np.bincount(row_of, v[cells], y.size) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         g_row = weight * (p - y)
         g = np.bincount(cells, g_row[row_of], dims)
@@ -156,14 +155,13 @@ def train(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swapped: tuple[np.
             g += 2 * swap_weight / y.size * np.bincount(d_cells, gap[d_rows] * d_sign, dims)
         new = v - rate * g
         new = np.where(use, np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0), 0)
-        new_bias = v_bias - bias_rate * g_row.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if (new - w) @ (v - new) > 0:  # restart the momentum where it points uphill
             t_new = 1.0
-        v, v_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
-        w, bias, t = new, new_bias, t_new
+        v = new + (t - 1) / t_new * (new - w)
+        w, t = new, t_new
     gap = float(np.abs(np.bincount(d_rows, w[d_cells] * d_sign, k)).mean()) if k else 0.0
-    return Model({int(i): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, float(bias), gap)
+    return Model({int(i): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, bias, gap)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
