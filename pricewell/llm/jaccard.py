@@ -183,8 +183,10 @@ def prefixes(nodes: DataFrame, threshold: int = 75) -> DataFrame:
     df = tokens.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     kept = tokens.join(df, "s").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ranked"))
     d = nodes.select("key", F.size("shingles").alias("n")).join(kept, "key").withColumn("m", F.size("ranked")).withColumn("t", _least(F.col("n"), threshold)).filter(F.col("m") >= F.col("t"))
-    # cost of l: postings met, plus a verification (about n) for each of the candidates left, a quarter for each match more
-    met = lambda k: F.aggregate(F.slice("ranked", F.lit(1), F.col("m") - F.col("t") + k), F.lit(0.0), lambda a, x: a + x["df"] - 1)
+    # cost of l against sets of the same size: postings met, plus a verification (about n) for each of the candidates left,
+    # a quarter for each match more
+    same = F.ceil(F.col("n") * 2 * threshold / (100 + threshold)).cast("int")
+    met = lambda k: F.aggregate(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("m") - same + k)), F.lit(0.0), lambda a, x: a + x["df"] - 1)
     costs = F.array(*[F.struct((met(F.lit(k)) * (1 + F.col("n") * 0.25 ** (k - 1))).alias("cost"), F.lit(k).alias("l")) for k in (1, 2, 4, LONGEST)])
     fits = F.filter(costs, lambda c: c["l"] <= F.col("t"))
     d = d.withColumn("l", F.array_min(fits)["l"])
