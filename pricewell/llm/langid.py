@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import log
 
 import numpy as np
@@ -28,6 +28,10 @@ LETTERS_JVM, LETTERS = r"\p{L}+", re.compile(r"[^\W\d_]+")
 WORDS_FOR_POSTERIOR = 40
 
 
+#: Words that one Python worker keeps the scores of; when full, at a text's start, they are made anew.
+CACHE = 600_000
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -35,44 +39,59 @@ class Model:
     grams: dict[str, tuple[float, ...]]
     longest: int = 4
     backoff: float = 0.5
-    cache: dict[str, tuple] = field(default_factory=dict)
-
-    def word(self, w: str) -> tuple[float, ...]:
-        """Log-frequency scores of a word, one for each language."""
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        x, total, n = f"^{w}$", [0.0] * len(self.langs), 0
-        for i in range(len(x) - 1):
-            for k in range(min(self.longest, len(x) - i), 0, -1):
-                g = self.grams.get(x[i : i + k])
-                if g is not None:
-                    total = [a + b for a, b in zip(total, g, strict=True)]
-                    n += 1
-                    break
-        return tuple(self.backoff * a / n for a in total) if n else tuple(total)
+
+    def __post_init__(self):
+        self.gram_at = {g: k for k, g in enumerate(self.grams)}
+        self.gram_scores = np.array(list(self.grams.values()), np.float64).reshape(len(self.grams), len(self.langs))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.langs)))
+        self.used = 1  # row 0 is for what is no word
+
+    def _learn(self, new: list[str]) -> None:
+        """Gives each new word its row: a known word's own scores, else the mean over its longest known n-grams."""
+        rows, flat, counts, got = [], [], [], self.gram_at.get
+        for w in new:
+            if not any(map(str.isalpha, w)):
+                self.at[w] = 0
+                continue
+            self.at[w] = row = self.used
+            self.used += 1
+            known = self.words.get(w)
+            if row >= len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            if known is not None:
+                self.scores[row] = known
+                continue
+            x, before = f"^{w}$", len(flat)
+            for i in range(len(x) - 1):
+                for k in range(self.longest, 0, -1):
+                    if (g := got(x[i : i + k])) is not None:
+                        flat.append(g)
+                        break
+            if len(flat) > before:
+                rows.append(row)
+                counts.append(len(flat) - before)
+        if rows:
+            n = np.array(counts)
+            self.scores[rows] = self.backoff * np.add.reduceat(self.gram_scores[flat], np.cumsum(n) - n) / n[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior of it); ("und", 0.0) for null and for texts without a letter."""
-        if not text:
+        if not text or not self.langs:
             return "und", 0.0
+        if self.used > CACHE:
+            self._clear()
         found = LETTERS.findall(text.lower())
-        if not found or not self.langs:
-            return "und", 0.0
-        cache, rows = self.cache, []
-        for w in found:
-            v = cache.get(w)
-            if v is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                v = cache[w] = self.word(w) if any(c.isalpha() for c in w) else ()
-            if v:
-                rows.append(v)
-        if not rows:
+        if new := [w for w in dict.fromkeys(found) if w not in self.at]:
+            self._learn(new)
+        rows = np.array(list(map(self.at.__getitem__, found)), np.int64)
+        n = int(np.count_nonzero(rows))
+        if not n:
             return "und", 0.0
-        n = len(rows)
-        total = np.array(rows).sum(axis=0)
-        logits = total / n * min(n, WORDS_FOR_POSTERIOR)
+        logits = self.scores[rows].sum(axis=0) / n * min(n, WORDS_FOR_POSTERIOR)
         best = int(np.argmax(logits))  # ties: the first by name
         return self.langs[best], float(1.0 / np.exp(logits - logits[best]).sum())
 
@@ -123,11 +142,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     importable(spark)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     d = docs.select(*keep, F.col(text).alias("_text"))
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams, model.longest, model.backoff))
+    shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([f for f in d.schema.fields if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = shared.value  # one per Python worker, which keeps its words' scores
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -141,10 +160,10 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.5, text: str = "t
     """The rows of docs, all columns as they are, whose language is predicted (not "und") with a score of `least` or more."""
     spark = docs.sparkSession
     importable(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams, model.longest, model.backoff))
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = shared.value  # one per Python worker, which keeps its words' scores
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for i in range(0, batch.num_rows, 512):
