@@ -94,7 +94,7 @@ def train(x: np.ndarray, books: int, size: int, beam: int = 4, rounds: int = 6,
     return out
 
 
-def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 6_000, beam: int = 4) -> Codebooks | None:
+def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 16_000, beam: int = 4) -> Codebooks | None:
     """Codebooks from at most max_rows rows of valid(), the smallest by hash; None of an empty table."""
     got = vectors.select("vec").orderBy(mixed(F.col("vec_id")), "vec").limit(max_rows).toArrow()
     return train(matrix(got.column("vec")), books, size, beam) if got.num_rows else None
@@ -116,7 +116,7 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
     return vectors.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec array<double>, codes binary, norm float")
 
 
-def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, metric: str = "ip", rerank: float = 0.03) -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, metric: str = "ip", rerank: float = 0.06) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found, its own id left out.
 
     metric "ip" scores by inner product, "l2" by negative squared distance (which uses the stored norms). In each block
