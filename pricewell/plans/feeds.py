@@ -40,14 +40,18 @@ VIEWS |= {
         CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat(CAST(p_size AS STRING), '.25') END AS usd, concat(CAST(p_size AS STRING), '.75') AS usd_foil FROM {{part}}""",
 }
 
+#: The market items with the card whose search found each; an order's lines can share l_linenumber, so rank numbers them.
+VIEWS["market_finds"] = VIEWS["market_items"].replace("l_orderkey * 10 + l_linenumber AS rank", f"""(l_orderkey * 10 + l_linenumber) * 1000
+        + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rank, {FULL_NAME} AS card_name""")
 
-def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """card_name, search_rank, body: a page of one item each."""
-    d = view(spark, sf_dir, "market_items")
+
+def market_pages(spark: SparkSession, sf_dir: str, name: str = "market_items") -> DataFrame:
+    """search_rank, body: a page of one item each; card_name too where the view has it."""
+    d = view(spark, sf_dir, name)
     offer = F.struct(F.col("amount").alias("value"), "currency")
     none = F.lit(None).cast("struct<value:string,currency:string>")
     item = F.struct(F.col("item_id").alias("itemId"), "title", F.when(F.col("as_bid"), none).otherwise(offer).alias("price"), F.col("item_condition").alias("condition"), F.concat(F.lit("https://m.test/"), "item_id").alias("itemWebUrl"), F.array(F.when(F.col("fixed"), "FIXED_PRICE").otherwise("AUCTION")).alias("buyingOptions"), F.when(F.col("as_bid"), offer).otherwise(none).alias("currentBidPrice"))
-    return d.select(F.col("rank").alias("search_rank"), F.to_json(F.struct(F.array(item).alias("itemSummaries"))).alias("body"))
+    return d.select(*[c for c in d.columns if c == "card_name"], F.col("rank").alias("search_rank"), F.to_json(F.struct(F.array(item).alias("itemSummaries"))).alias("body"))
 
 
 def shop_a_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

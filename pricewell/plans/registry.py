@@ -490,6 +490,43 @@ def qry9_market_refresh_log(t):
     return jobs.refresh_market(pages, searched, old, AS_OF)["search_log"]
 
 
+FINDS = MARKET.replace("FROM market_items", "FROM market_finds") + f""", listings AS (SELECT rank * 1000000 AS listing_seq, raw_name, set_name, CAST(NULL AS VARCHAR) AS collector_number, is_foil, false AS is_borderless, price,
+ '{rules.MARKET_STORE}' AS store_id FROM judged WHERE skip_reason IS NULL)""" + MATCH
+MARKET_JOB = "cards printings market_finds"
+
+
+def market_refresh(t: Tables) -> dict[str, DataFrame]:
+    """The whole job: every card searched, every page judged, kept once per item and matched. Store 7 plays the market's old prices."""
+    searched = t.cards.select(F.col("name").alias("card_name"), F.lit("ok").alias("status"))
+    prices_then = t.store_prices.withColumns({"store_id": F.when(F.col("store_id") == "7", rules.MARKET_STORE).otherwise(F.col("store_id")), "url": F.lit("")})
+    old = {"cards": t.cards, "printings": t.printings, "store_prices": prices_then, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"]), "search_log": t.search_log}
+    return jobs.refresh_market(feeds.market_pages(t.spark, t.sf_dir, "market_finds"), searched, old, AS_OF)
+
+
+@query("cards market_finds search_log", f"""SELECT coalesce(c.name, l.card_name) AS card_name, CASE WHEN c.name IS NULL THEN last_searched_at ELSE DATE '{AS_OF}' END AS last_searched_at, CASE WHEN c.name IS NULL THEN last_result_count ELSE coalesce(n, 0)::INT END AS last_result_count
+ FROM cards c FULL JOIN search_log l ON l.card_name = c.name LEFT JOIN (SELECT card_name AS found, count(*) AS n FROM market_finds GROUP BY 1) f ON f.found = c.name""")
+def qry9_market_log(t):
+    return market_refresh(t)["search_log"]
+
+
+@query(MARKET_JOB + " store_prices", FINDS + f""" SELECT *, '' AS url FROM store_prices WHERE store_id <> '7' UNION ALL SELECT printing_id, store_id, m.price AS price_aud, 'sell' AS price_type, j.condition, true AS in_stock, 'https://m.test/' || item_id AS url
+ FROM matched m JOIN judged j ON j.rank * 1000000 = m.listing_seq WHERE printing_id IS NOT NULL""")
+def qry9_market_prices(t):
+    return market_refresh(t)["store_prices"]
+
+
+@query(MARKET_JOB + " price_history", FINDS + f""" SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM price_history UNION ALL SELECT printing_id, store_id, 'sell' AS price_type, DATE '{AS_OF}' AS recorded_at, price AS price_aud
+ FROM (SELECT *, row_number() OVER (PARTITION BY printing_id, store_id ORDER BY listing_seq, price) AS n FROM matched WHERE printing_id IS NOT NULL) x
+ WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM price_history h WHERE h.printing_id = x.printing_id AND h.store_id = x.store_id AND h.price_type = 'sell' AND h.recorded_at = DATE '{AS_OF}')""")
+def qry9_market_history(t):
+    return market_refresh(t)["price_history"]
+
+
+@query(MARKET_JOB, FINDS + """ SELECT store_id, m.raw_name, m.set_name AS raw_set_name, m.price AS raw_price, 'https://m.test/' || item_id AS source_url FROM matched m JOIN judged j ON j.rank * 1000000 = m.listing_seq WHERE printing_id IS NULL""")
+def qry9_market_unmatched(t):
+    return market_refresh(t)["unmatched_cards"].drop("scraped_at")
+
+
 @query("", "SELECT event_type, count(*) AS n, sum(value) AS total FROM (SELECT event_type, round(value, 2)::DECIMAL(12,2) AS value FROM events) x GROUP BY 1")
 def str1_event_ingest(t):
     """The events as arriving items: new files only, once per item, written by foreachBatch until none is left."""
