@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps; th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewell.llm import bpe, jaccard, langid, mixing, queries, toxicity
@@ -23,15 +24,20 @@ def drop_unrecognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays, once; rows without an id stay."""
-    known = jaccard.join(docs)
+    """Of each group of linked rows, one with the smallest doc_id stays; rows without an id stay.
+
+    Texts that share an id without a link are judged apart. Rows of one id and one set are told apart by their columns, in order.
+    """
+    known = jaccard.members(docs)
     others = known.filter("component_id <> doc_id").select("doc_id").distinct()
-    repeated = known.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = known.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(repeated, "doc_id", "left_anti").join(others, "doc_id", "left_anti").select(*docs.columns)
+    chosen = known.join(repeated, "doc_id", "left_semi").filter("component_id = doc_id").groupBy("doc_id", "comp").agg(F.min("key").alias("_key"))
+    again = jaccard.keyed(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(chosen, ["doc_id", "_key"], "left_semi")
+    n = F.row_number().over(W.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    return single.unionByName(again.withColumn("_n", n).filter("_n = 1").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.llm.common import importable, stored
 from pricewell.llm.shingles import U, in_chunks, set_keys, sets
@@ -266,11 +267,10 @@ def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
     return found.unionByName(verified(pairs, nodes, threshold))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
-    """doc_id, n_shingles (long), component_id (the smallest doc_id reachable by links) of every row.
+def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
+    """doc_id, key (a hash of the set), n, comp, component_id (the smallest doc_id of comp) of every row with an id.
 
-    Null and empty texts have no shingles and no links. A text of fewer than 5 words has one shingle, all its words. A row
-    with null id takes no part; its component_id is null. Rows that share an id each keep a row of their own.
+    comp tells components apart where ids repeat; it is null for texts without shingles, whose component_id is their own id.
     """
     importable(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -282,8 +282,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     comps = components(links(ready, threshold))
     labels = known.join(comps, known["key"] == comps["node"], "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
     first = labels.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = labels.join(first, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = d.filter("doc_id is null")
+    return labels.join(first, "comp", "left").select("doc_id", "key", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _key, the key that members() gives the row's text."""
+    importable(docs.sparkSession)
+
+    def run(batches):
+        for part in in_chunks(batches):
+            keys = set_keys(*sets(part.column(part.schema.get_field_index(text))))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*part.schema.names, "_key"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
+    """doc_id, n_shingles (long), component_id (the smallest doc_id reachable by links) of every row.
+
+    Null and empty texts have no shingles and no links. A text of fewer than 5 words has one shingle, all its words. A row
+    with null id takes no part; its component_id is null. Rows that share an id each keep a row of their own.
+    """
+    out = members(docs, doc_id, text, threshold).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    nameless = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is null")
     return out.unionByName(nameless.select("doc_id", _n_shingles(nameless).alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
