@@ -17,10 +17,11 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.common import importable
+from pricewell.llm.common import importable, stored
 
 #: Runs of letters, as Java and as Python say it.
 LETTERS_JVM, LETTERS = r"\p{L}+", re.compile(r"[^\W\d_]+")
@@ -107,22 +108,77 @@ def _log_table(counts: dict[str, list[int]], totals: list[int], add: float) -> d
     return out
 
 
+#: A language with fewer words than this seen often enough brings rarer ones too, up to this number.
+RARE_UNTIL = 1_000
+
+
+def _share(sizes: dict[str, int], most: int) -> int:
+    """The largest q for which the languages' sizes, each cut at q, sum to `most` at most, and 1 at least."""
+    left, rest = most, sorted(sizes.values())
+    while rest and rest[0] * len(rest) <= left:
+        left -= rest.pop(0)
+    return max(1, left // len(rest)) if rest else max(sizes.values(), default=0)
+
+
+def _first(d: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` rows of each language l; first within 16 parts, so that no task meets all rows of a language."""
+    d = d.withColumn("_part", F.pmod(F.xxhash64(*[c for c in order if isinstance(c, str)]), F.lit(16)))
+    for by in (["l", "_part"], ["l"]):
+        d = d.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    return d.drop("_part")
+
+
+def _each(entries: DataFrame, name: str) -> DataFrame:
+    return entries.select(name, "n", F.explode("by").alias("l", "c"))
+
+
+def _of_langs(words: DataFrame, name: str, least: int) -> DataFrame:
+    """The words seen `least` times, and of a language with fewer than RARE_UNTIL such words its next ones."""
+    words = stored(words, "lang-counts")
+    often = {r["l"]: r["count"] for r in _each(words.filter(F.col("n") >= least), name).groupBy("l").count().collect()}
+    langs = [r["l"] for r in words.select(F.explode(F.map_keys("by")).alias("l")).distinct().collect()]
+    poor = [x for x in langs if often.get(x, 0) < RARE_UNTIL]
+    if not poor:
+        return words.filter(F.col("n") >= least)
+    first = _first(_each(words, name).filter(F.col("l").isin(poor)), [(F.col("n") < least), F.desc("c"), name], RARE_UNTIL)
+    rare = first.filter(F.col("n") < least).select(name).distinct()
+    return words.filter(F.col("n") >= least).unionByName(words.join(rare, name, "left_semi").select(*words.columns))
+
+
+def _top(entries: DataFrame, name: str, most: int) -> list:
+    """(entry, counts by language) of at most `most` stored entries, each language's own most frequent."""
+    sizes = {r["l"]: r["count"] for r in _each(entries, name).groupBy("l").count().collect()}
+    if entries.count() <= most:
+        return entries.select(name, "by").orderBy(name).collect()
+    first = stored(_first(_each(entries, name), [F.desc("c"), name], _share(sizes, most)).select(name).distinct(), "lang-first")
+    got = entries.join(first, name, "left_semi").select(name, "by").orderBy(name).limit(most).collect()
+    # languages share entries; the places left go to the most frequent of the others
+    more = entries.join(first, name, "left_anti").orderBy(F.desc("n"), name).limit(most - len(got))
+    return got + more.select(name, "by").collect()
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, least: int = 3) -> Model:
     """A model from at most max_docs rows (the smallest by hash of the key) with text and language.
 
-    The word and n-gram counts are Spark aggregations; the driver receives only the max_words and max_grams most
-    frequent entries, those seen `least` times at least. Null texts and languages don't count. Without rows, the model
-    has no language and predicts "und".
+    The word and n-gram counts are Spark aggregations; the driver receives only max_words and max_grams entries. All three
+    bounds are shared out evenly over the languages, and what one doesn't use goes to the others: each language brings its
+    own most frequent entries, of words those seen `least` times at least, and rarer ones only while it has fewer than
+    RARE_UNTIL. Null texts and languages don't count. Without rows, the model has no language and predicts "und".
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
-    n = rows.count()
-    if n > max_docs:  # a hash cut that keeps about max_docs rows, then the exact bound
-        rows = rows.filter(F.pmod("h", F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * max_docs / n))).orderBy("h").limit(max_docs)
-    words = rows.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS_JVM), F.lit(0))).alias("w")).filter(F.length("w") <= 64).groupBy("w", "l").count().groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"), F.sum("count").alias("n")).filter(F.col("n") >= least)
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    if sum(sizes.values()) > max_docs:  # a hash cut per language that keeps its share and some more, then the exact bound
+        share = _share(sizes, max_docs)
+        cuts = [(x, int((1 << 20) * min(1.0, (1.2 * share + 4 * share**0.5 + 10) / m))) for x, m in sorted(sizes.items())]
+        known = F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, cut long"))
+        near = rows.join(known, "l").filter(F.pmod("h", F.lit(1 << 20)) <= F.col("cut")).select("t", "l", "h")
+        rows = _first(near, ["h"], share).orderBy("h").limit(max_docs)
+    words = rows.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS_JVM), F.lit(0))).alias("w")).filter(F.length("w") <= 64).groupBy("w", "l").count().groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"), F.sum("count").alias("n"))
+    words = stored(_of_langs(words, "w", least), "lang-words")
     padded = words.withColumn("x", F.concat(F.lit("^"), "w", F.lit("$")))
     grams = padded.select("by", F.explode(F.flatten(F.array(*[F.expr(f"transform(sequence(1, length(x) - {k - 1}), i -> substring(x, i, {k}))") if k == 1 else F.expr(f"if(length(x) >= {k}, transform(sequence(1, length(x) - {k - 1}), i -> substring(x, i, {k})), array())") for k in (1, 2, 3, 4)]))).alias("g")).select("g", F.explode("by").alias("l", "c")).groupBy("g", "l").agg(F.sum("c").alias("c")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"), F.sum("c").alias("n"))
-    top_words = words.orderBy(F.desc("n"), "w").limit(max_words).select("w", "by").collect()
-    top_grams = grams.orderBy(F.desc("n"), "g").limit(max_grams).select("g", "by").collect()
+    grams = stored(grams, "lang-grams")
+    top_words, top_grams = _top(words, "w", max_words), _top(grams, "g", max_grams)
     langs = sorted({x for r in top_words for x in r["by"]} | {x for r in top_grams for x in r["by"]})
 
     def counted(got):

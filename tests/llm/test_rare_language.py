@@ -1,0 +1,22 @@
+"""A rare language keeps its rows and words beside a dominant one."""
+
+import random
+
+from pricewell.llm import langid
+
+
+def test_rare_language(spark):
+    r = random.Random(1)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    big, small = [word("abcdefgh") for _ in range(800)], [word("opqrstuv") for _ in range(60)]
+    rows = [(k, " ".join(r.choice(big) for _ in range(40)), "big") for k in range(3_000)] + [(9_000 + k, " ".join(small[12 * k : 12 * k + 12]), "rare") for k in range(5)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), max_docs=300, max_words=200, max_grams=200)
+    assert m.langs == ["big", "rare"]
+    assert set(small) <= set(m.words) and len(m.words) <= 200 and len(m.grams) <= 200
+    assert all(m.predict(w)[0] == "rare" for w in small) and m.predict(" ".join(big[:30]))[0] == "big"
+
+
+def test_share():
+    assert langid._share({"a": 5, "b": 100, "c": 100}, 65) == 30
+    assert langid._share({"a": 5, "b": 7}, 100) == 7
+    assert langid._share({}, 9) == 0
