@@ -539,3 +539,48 @@ def str1_event_ingest(t):
     run.awaitTermination()
     d = t.spark.read.parquet(out)
     return d.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round("value", 2).cast("decimal(12,2)")).alias("total"))
+
+
+RAN = "(SELECT id FROM stores WHERE scraper_enabled)"
+FIRST_HIT = f"""SELECT printing_id, store_id, 'sell' AS price_type, DATE '{AS_OF}' AS recorded_at, price AS price_aud FROM (SELECT *, row_number() OVER (PARTITION BY printing_id, store_id ORDER BY listing_seq, price) AS n FROM matched WHERE printing_id IS NOT NULL) x WHERE n = 1"""
+
+
+def arriving(t: Tables) -> DataFrame:
+    return t.listings.withColumns({"price_type": F.lit("sell"), "condition": F.lit("NM"), "in_stock": F.lit(True), "source_url": F.lit("")})
+
+
+def store_refresh(t: Tables) -> dict[str, DataFrame]:
+    ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
+    old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"])}
+    return jobs.refresh_stores(arriving(t).join(ran, "store_id", "left_semi"), old, ran, AS_OF)
+
+
+@query(MATCHING + " stores store_prices", MATCH + f""" SELECT * FROM store_prices WHERE store_id NOT IN {RAN}
+ UNION ALL SELECT printing_id, store_id, price AS price_aud, 'sell' AS price_type, 'NM' AS condition, true AS in_stock FROM matched WHERE printing_id IS NOT NULL AND store_id IN {RAN}""")
+def qry8_store_prices(t):
+    return store_refresh(t)["store_prices"].drop("url")
+
+
+@query(MATCHING + " stores price_history", MATCH + f""" SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM price_history UNION ALL SELECT * FROM ({FIRST_HIT} AND store_id IN {RAN}) y
+ WHERE NOT EXISTS (SELECT 1 FROM price_history h WHERE h.printing_id = y.printing_id AND h.store_id = y.store_id AND h.price_type = y.price_type AND h.recorded_at = y.recorded_at)""")
+def qry8_store_history(t):
+    return store_refresh(t)["price_history"]
+
+
+@query(MATCHING + " stores", MATCH + f" SELECT store_id, raw_name, set_name AS raw_set_name, price AS raw_price FROM matched WHERE printing_id IS NULL AND store_id IN {RAN}")
+def qry8_store_unmatched(t):
+    return store_refresh(t)["unmatched_cards"].drop("source_url", "scraped_at")
+
+
+@query(MATCHING, MATCH + " " + FIRST_HIT)
+def str1_listing_history(t):
+    """The listings as arriving items, matched and appended to an empty history until none is left."""
+    root = feeds.landing_dir(t.spark)
+    landed, out, state = (f"{root}/str1-{k}-{uuid.uuid4().hex}" for k in ("listings", "history", "state"))
+    d = t.listings
+    item = F.md5(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}))
+    arriving(t).withColumns({"item_id": item, "ts": F.lit(AS_OF).cast("timestamp")}).write.parquet(landed)
+    snapshots.write_history(t.spark.createDataFrame([], TABLES["price_history"]), out)
+    stream = ingest.items_once(ingest.read_stream(t.spark, landed, t.spark.read.parquet(landed).schema))
+    ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF).awaitTermination()
+    return t.spark.read.schema(TABLES["price_history"]).parquet(out).select(*snapshots.HISTORY_KEY, "price_aud")

@@ -25,3 +25,9 @@ def test_market_refresh_takes_every_card_and_page(spark):
     assert {r[0] for r in history.select("printing_id").collect()} == {r[0] for r in prices.select("printing_id").collect()}
     judged = registry.market.judged(registry.market.first_seen(registry.market.items(registry.feeds.market_pages(spark, SF, "market_finds")), ["search_rank", "item_pos"]))
     assert prices.count() + run(spark, "qry9_market_unmatched").count() == judged.filter("skip_reason is null").count()
+
+
+def test_store_refresh_and_stream_give_their_rows(spark):
+    prices, history = run(spark, "qry8_store_prices"), run(spark, "str1_listing_history")
+    assert "printing_id" in prices.columns and history.columns == ["printing_id", "store_id", "price_type", "recorded_at", "price_aud"]
+    assert history.count() == history.select("printing_id", "store_id").distinct().count() > 0
