@@ -54,11 +54,16 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    """weights by feature id (only those that aren't zero) and the bias."""
+    """weights by feature id (only those that aren't zero) and the bias.
+
+    swap_gap is the mean change of the logit under swaps over the `pairs` training texts that had a counterfactual; with
+    no pairs it is 0 and says nothing about bias.
+    """
 
     weights: dict[int, float]
     bias: float
     swap_gap: float = 0.0
+    pairs: int = 0
 
     def score(self, text: str | None, cache: dict[str, float] | None = None) -> float:
         if not self.weights:
@@ -161,7 +166,7 @@ def train(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swapped: tuple[np.
         v = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
     gap = float(np.abs(np.bincount(d_rows, w[d_cells] * d_sign, k)).mean()) if k else 0.0
-    return Model({int(i): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, bias, gap)
+    return Model({int(i): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, bias, gap, int(k))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
