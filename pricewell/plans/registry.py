@@ -230,6 +230,11 @@ def qry7_match_listings(t):
     return matched(t)
 
 
+@query("cards printings all_listings", MATCH.replace("FROM listings l", "FROM all_listings l") + " SELECT * FROM matched")
+def qry7_match_all_listings(t):
+    return matching.match_listings(t.all_listings, t.printings, t.cards)
+
+
 @query("cards", rf"""SELECT probe, key, dist FROM (SELECT a.p AS probe, b.k AS key, levenshtein(a.p, b.k) AS dist FROM (SELECT DISTINCT replace({_key('name')}, 'a', '') AS p FROM cards) a JOIN (SELECT DISTINCT {_key('name')} AS k FROM cards) b ON abs(length(a.p) - length(b.k)) <= 2) x WHERE dist <= 2""")
 def jon7_near_keys(t):
     keys = t.cards.select(text.name_key(F.col("name")).alias("key")).distinct()

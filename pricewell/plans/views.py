@@ -41,6 +41,13 @@ VIEWS = {
         FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE l_linenumber = 1""",
 }
 
+#: The listings of all lines. Lines can share order and line number, so listing_seq numbers them.
+VIEWS["all_listings"] = (
+    VIEWS["listings"]
+    .replace(" WHERE l_linenumber = 1", "")
+    .replace("l_orderkey * 10 + l_linenumber AS", "(l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS")
+)
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]

@@ -31,3 +31,8 @@ def test_store_refresh_and_stream_give_their_rows(spark):
     prices, history = run(spark, "qry8_store_prices"), run(spark, "str1_listing_history")
     assert "printing_id" in prices.columns and history.columns == ["printing_id", "store_id", "price_type", "recorded_at", "price_aud"]
     assert history.count() == history.select("printing_id", "store_id").distinct().count() > 0
+
+
+def test_matching_takes_every_line(spark):
+    got = run(spark, "qry7_match_all_listings")
+    assert got.count() == got.select("listing_seq").distinct().count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
