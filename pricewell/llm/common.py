@@ -5,14 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word: a run of characters other than the ASCII white space of these six codes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than this share of the rows is joined by itself, so at most 1 / HOT keys are.
+HOT = 0.001
 
 
 def importable(spark: SparkSession) -> None:
@@ -24,20 +28,63 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own in local mode, whose driver and executors are one process; an error elsewhere.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pricewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _filed(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet to the shared folder and read back, which cuts the lineage."""
+    """The rows written once as Parquet to the shared folder and read back, which cuts the lineage.
+
+    The table goes when the driver ends; one that no result reads goes sooner under scratch().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _filed(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the tables that stored() wrote; others and None are left alone."""
+    for d in tables:
+        if path := getattr(d, "_stored_at", None):
+            files, where = _filed(d.sparkSession, path)
+            files.delete(where, True)
+            d._stored_at = None
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A stored() whose tables go at the end of the block: for what the block's result doesn't read any more."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    try:
+        yield put
+    finally:
+        dropped(*made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +106,36 @@ def mixed(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 2)
 
 
-def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """The columns `keys` are alike in both, nulls too."""
+    out = a[keys[0]].eqNullSafe(b[keys[0]])
+    for k in keys[1:]:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def looked_up(rows: DataFrame, by: DataFrame, key: str, weight: str, total: int, values: list[str]) -> DataFrame:
+    """rows with the `values` of `by` for their key (null if it isn't there). by: one row per key, `weight` rows of `rows` each.
+
+    Keys with more than HOT of all `total` rows are at most 1 / HOT and are broadcast; the others are joined by a shuffle in
+    which no key has more rows than that. Null keys have no values.
+    """
+    own = [F.col(c) for c in rows.columns]
+    is_hot = F.col(weight) > HOT * total
+    hot = F.broadcast(by.filter(is_hot).select(F.col(key).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]))
+    d = rows.join(hot, rows[key] == hot["_hot"], "left")
+    cold = by.filter(~is_hot & F.col(key).isNotNull()).select(F.col(key).alias("_cold"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    easy = d.filter(F.col("_hot").isNotNull() | F.col(key).isNull()).select(*own, *[F.col(f"_hot_{v}").alias(v) for v in values])
+    hard = d.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*own)
+    return easy.unionByName(hard.join(cold, hard[key] == cold["_cold"], "left").select(*own, *[F.col(f"_cold_{v}").alias(v) for v in values]))
+
+
+def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, rows_per_bucket: int = 2_000) -> DataFrame:
     """Adds `out`: the inclusive running sum of `value` within `group` in the order of (key, ties).
 
-    key is a hash from mixed(). The hash range is cut into equal buckets, about rows_per_bucket rows each, so that a
-    group with any share of the rows is dealt over many tasks: bucket totals give each bucket's offset, and only the
-    rows of one bucket are summed by one task. Reads df three times; pass a stored table.
+    key is a hash from mixed(), which few rows share. The hash range is cut into equal buckets, about rows_per_bucket rows
+    each, so that a group with any share of the rows is dealt over many tasks: bucket totals give each bucket's offset, and
+    only the rows of one bucket are summed by one task. Reads df three times; pass a stored table.
     """
     n = df.count()
     buckets = 1
@@ -74,21 +145,30 @@ def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], valu
     d = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)).cast("int")) if buckets > 1 else df.withColumn("_bucket", F.lit(0))
     keys = [*group, "_bucket"]
     totals = d.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    from pyspark.sql import Window as W
-
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     within = W.partitionBy(*keys).orderBy(key, *ties).rowsBetween(W.unboundedPreceding, 0)
     running = d.withColumn("_within", F.sum(value).over(within))
-    same = [running[k].eqNullSafe(offsets[k]) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return running.join(offsets, on).select(*[running[c] for c in df.columns], (running["_within"] + offsets["_offset"]).alias(out))
+    return running.join(offsets, same(running, offsets, keys)).select(*[running[c] for c in df.columns], (running["_within"] + offsets["_offset"]).alias(out))
 
 
-def struct_of(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+def copies(df: DataFrame, key: str, out: str = "_copy") -> DataFrame:
+    """The rows of a stored table with `out`: a number from 0 on, without gaps, among the rows of one key.
+
+    The table needs a column _part, spark_partition_id() as it was written. Rows alone with their key take part in one count
+    and get 0; the others are numbered within each part of the table that holds them, beyond the numbers of the parts
+    before, so that a key with any share of the rows is dealt over as many tasks as the table was.
+    """
+    sizes = df.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    repeated = sizes.groupBy(key).agg(F.sum("_n").alias("_all")).filter("_all > 1")
+    if repeated.isEmpty():
+        return df.withColumn(out, F.lit(0).cast("long"))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = [c for c in df.columns if c not in (key, "_part")]
+    n = F.row_number().over(W.partitionBy(key, "_part").orderBy(*own)).cast("long") if own else F.row_number().over(W.partitionBy(key, "_part").orderBy(key)).cast("long")
+    d = df.withColumn("_n", n - 1)
+    return d.join(offsets.drop("_n"), same(d, offsets, [key, "_part"])).select(*[d[c] for c in df.columns], (F.col("_n") + F.col("_before")).alias(out))
 
 
 def env_path(name: str) -> str:
