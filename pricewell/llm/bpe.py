@@ -171,7 +171,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
     A null text counts as empty and gives an empty array. `path` must be readable by the executors.
     """
     importable(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, out)]
     d = df.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([f for f in d.schema.fields if f.name != "_text"] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -199,10 +199,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` plus n_tokens, ids_sha256 and decoded_sha256: digests of encode() and of decode() of its ids.
 
-    One pass, so that neither ids nor decoded texts travel between the JVM and Python.
+    One pass, so that neither ids nor decoded texts travel between the JVM and Python. A null text counts as empty; a long
+    one is encoded whole, by one task, in memory of some 30 times its size. Columns of df of those three names are replaced.
     """
     importable(df.sparkSession)
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
     d = df.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([f for f in d.schema.fields if f.name != "_text"] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 

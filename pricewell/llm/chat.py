@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 END = "</turn>\n"
 #: A written turn: its role and its text, both still escaped.
-TURN = r"(?s)### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<]|<(?!/turn>))*+)</turn>\n"
+TURN = r"(?s)### ((?:\\.|[^\\:])*+): ((?:\\.|[^\\<]|<(?!/turn>))*+)</turn>\n"
 
 
 def escape(text: Column, role: bool = False) -> Column:

@@ -65,3 +65,36 @@ def test_chat_round_trip(spark):
             role, text = want[x["n_turns"] - 1]
             assert x["reply"] == (text if role == "assistant" else None)
     assert chat.format_conversations(d.limit(0)).count() == 0
+
+
+def test_round_trip_replaces_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "Hello world", "x", "y")], "doc_id long, text string, n_tokens string, ids_sha256 string")
+    got = bpe.round_trip(d, PATH)
+    assert sorted(got.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"] and got.first()["n_tokens"] == 2
+
+
+def test_long_roles_and_texts(spark):
+    big = 1_000_000
+    rows = [(1, 0, "r" * big, "t"), (1, 1, "assistant", "\\<" * (big // 2)), (2, 0, ":" * 3_000, "a"), (2, 1, "assistant", "x" * big)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(d).filter("n_turns = 2").select("conv_id", chat.parse(F.col("text")).alias("turns"), chat.trained_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("reply")).collect()
+    for r in made:
+        want = [(ro, te) for c, _, ro, te in rows if c == r["conv_id"]]
+        assert [(x["role"], x["text"]) for x in r["turns"]] == want and r["reply"] == want[1][1]
+
+
+def test_query_digests(spark):
+    from pricewell.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, k, r, SAID[0]) for k, r in enumerate(("user", "assistant"))]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for c in {r[0] for r in rows}:
+        turns = [(ro, te or "") for _, _, ro, te in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        loss = "".join(te for ro, te in turns if ro == "assistant")
+        want[c] = (len(turns), sha("".join(f"{ro}\n{te}\n" for ro, te in turns)), len(loss), sha(loss))
+    got = queries.op2_chat_formatting(spark, sf).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == want
+    assert all(r["formatted_chars"] > r["loss_chars"] for r in got)
