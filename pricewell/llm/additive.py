@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import importable, mixed, stored
+from pricewell.llm.common import importable, stored
 from pricewell.llm.vectors import best, matrix, searched
 
 
@@ -94,32 +94,52 @@ def train(x: np.ndarray, books: int, size: int, beam: int = 4, rounds: int = 6,
     return out
 
 
-def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 16_000, beam: int = 4) -> Codebooks | None:
-    """Codebooks from at most max_rows rows of valid(), the smallest by hash; None of an empty table."""
-    got = vectors.select("vec").orderBy(mixed(F.col("vec_id")), "vec").limit(max_rows).toArrow()
-    return train(matrix(got.column("vec")), books, size, beam) if got.num_rows else None
+#: Vectors of a length that fewer rows share are compared exactly, without codes.
+LEAST_ROWS = 512
 
 
-def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """vec_id, vec, codes (binary, a byte per codebook) and norm of every row."""
+def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 16_000, beam: int = 4) -> dict[int, Codebooks]:
+    """Codebooks by vector length, each from about max_rows rows of valid() at most, taken by the hash of the row.
+
+    Lengths of fewer than LEAST_ROWS rows have none; an empty table gives none.
+    """
+    out = {}
+    for r in vectors.groupBy("n").count().filter(F.col("count") >= LEAST_ROWS).orderBy("n").collect():
+        share = min(1.0, max_rows / r["count"])
+        mine = vectors.filter((F.col("n") == r["n"]) & (F.pmod(F.col("row"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        got = mine.select("row", "vec").toArrow().sort_by("row")
+        if got.num_rows:
+            out[r["n"]] = train(matrix(got.column("vec")), books, size, beam)
+    return out
+
+
+def index(vectors: DataFrame, books: dict[int, Codebooks]) -> DataFrame:
+    """The rows of valid() with codes (binary, a byte per codebook) and norm; null where their length has no codebooks."""
     spark = vectors.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(books)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                codes, norms = shared.value.encode(matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "vec", "codes", "norm"])
-
-    return vectors.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec array<double>, codes binary, norm float")
+    rest = vectors.filter(~F.col("n").isin(list(books))) if books else vectors
+    out = rest.select("vec_id", "vec", "n", "row", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+    for n in books:
+
+        def run(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    part = batch.slice(i, 1024)
+                    codes, norms = shared.value[n].encode(matrix(part.column(1)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], [*part.schema.names, "codes", "norm"])
+
+        mine = vectors.filter(F.col("n") == n).select("vec_id", "vec", "n", "row")
+        out = out.unionByName(mine.mapInArrow(run, "vec_id long, vec array<double>, n int, row long, codes binary, norm float"))
+    return out
 
 
-def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20, metric: str = "ip", rerank: float = 0.06) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest found, its own id left out.
+def search(indexed: DataFrame, queries: DataFrame, books: dict[int, Codebooks], k: int = 20, metric: str = "ip", rerank: float = 0.06) -> DataFrame:
+    """query_id, rank, vec_id, score, query_row of each query's k nearest found.
 
-    metric "ip" scores by inner product, "l2" by negative squared distance (which uses the stored norms). In each block
+    queries: rows of valid(). A query's own row is left out; other rows of its id are candidates. Queries that share an id
+    have a ranking each, told apart by query_row. A vector meets those of its length, as others have no inner product with
+    it. metric "ip" scores by inner product, "l2" by negative squared distance (which uses the stored norms). In each block
     of candidates the best max(8 k, rerank * rows) by table lookup are scored exactly; `rerank` is the search's depth, the
     one knob between speed and recall.
     """
@@ -128,40 +148,41 @@ def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 20
     shared = spark.sparkContext.broadcast(books)
 
     def one(c: pa.Table, q: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not c.num_rows or not q.num_rows:
             return schema.empty_table()
-        b = shared.value
         x, y = matrix(c.column("vec")), matrix(q.column("vec"))
-        ids, asked = c.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
-        codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(c.num_rows, -1)
-        norms = c.column("norm").to_numpy()
-        depth = min(c.num_rows, max(8 * k, int(np.ceil(rerank * c.num_rows))) + 1)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids, own, asked, asking = (t.column(name).to_numpy() for t, name in ((c, "vec_id"), (c, "row"), (q, "vec_id"), (q, "row")))
+        b = shared.value.get(x.shape[1])
+        depth = c.num_rows
+        if b is not None:
+            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(c.num_rows, -1)
+            norms = c.column("norm").to_numpy()
+            depth = min(c.num_rows, max(8 * k, int(np.ceil(rerank * c.num_rows))) + 1)
+        out: list[tuple[np.ndarray, ...]] = []
         for i in range(0, len(y), 128):
             some = y[i : i + 128]
-            tables = b.tables(some)
-            near = np.zeros((len(ids), len(some)), np.float32)
-            for m in range(len(tables)):
-                near += tables[m][codes[:, m]]
-            if metric == "l2":
-                near = 2 * near - norms[:, None]
-            near = np.ascontiguousarray(near.T)
+            if b is not None:
+                tables = b.tables(some)
+                near = np.zeros((len(ids), len(some)), np.float32)
+                for m in range(len(tables)):
+                    near += tables[m][codes[:, m]]
+                if metric == "l2":
+                    near = 2 * near - norms[:, None]
+                near = np.ascontiguousarray(near.T)
             for j, query in enumerate(some):
                 at = np.argpartition(near[j], len(ids) - depth)[len(ids) - depth :] if depth < len(ids) else np.arange(len(ids))
-                at = at[ids[at] != asked[i + j]]
+                at = at[own[at] != asking[i + j]]
                 exact = np.einsum("nd,d->n", x[at], query) if metric == "ip" else -((x[at] - query) ** 2).sum(1)
                 top = np.lexsort((ids[at], -exact))[:k]
-                out.append((np.full(top.size, asked[i + j]), ids[at][top], exact[top]))
-        return pa.Table.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in range(3)], schema=schema)
+                out.append((np.full(top.size, asked[i + j]), np.full(top.size, asking[i + j]), ids[at][top], exact[top]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in range(4)], schema=schema)
 
-    found = searched(indexed, queries.select("vec_id", "vec"), one, "query_id long, vec_id long, score double")
-    return best(found, k).select("query_id", "rank", "vec_id", "score")
+    found = searched(indexed, queries.select("vec_id", "vec", "n", "row"), one, "query_id long, query_row long, vec_id long, score double")
+    return best(found, k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, **knobs) -> DataFrame:
-    """fit(), index() and search() in one; an empty table gives no rows. Both inputs come from valid()."""
+    """fit(), index() and search() in one; an empty table gives no rows. Both inputs are rows of valid()."""
     books = fit(vectors, **knobs)
-    if books is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return search(stored(index(vectors, books), "aq-index"), queries, books, k)

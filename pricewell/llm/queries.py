@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = stored(valid(table(spark, sf_dir, "embeddings"), zero=False), "vectors")
+    v = valid(table(spark, sf_dir, "embeddings"), zero=False)
     return additive.nearest(v, v.filter(F.col("vec_id") % 20 == 0), 20)
 
 
@@ -55,14 +55,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages' WARC layout with what the audit of a damaged replica finds of it.
 
-    In the replica every 53rd page from 7 on has a changed byte, and every 59th from 11 on is lost.
+    In the replica every 53rd page from 7 on has a changed byte, and every 59th from 11 on is lost; pages without id are whole.
     """
-    pages = table(spark, sf_dir, "pages")
-    kept = stored(warc.layout(pages), "warc")
-    damaged = F.col("page_id") % 53 == 7
-    changed = pages.filter(damaged).select("page_id", F.sha2(F.overlay(warc.record(F.col("page_id"), F.col("url"), F.col("html")), F.lit("#"), F.lit(1)), 256).alias("_other"))
-    replica = kept.filter("page_id % 59 <> 11").join(changed, "page_id", "left").select("file", "offset", F.coalesce("_other", "sha256").alias("sha256"))
-    found = warc.audit(kept, stored(replica, "warc-replica"))
+    whole = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
+    damaged = F.when(F.col("page_id") % 53 == 7, F.sha2(F.overlay(whole, F.lit("#"), F.lit(1)), 256))
+    kept = stored(warc.layout(table(spark, sf_dir, "pages"), also={"_damaged": damaged}), "warc")
+    there = ~F.coalesce(F.col("page_id") % 59 == 11, F.lit(False))
+    replica = kept.filter(there).select("file", "offset", F.coalesce("_damaged", "sha256").alias("sha256"))
+    found = warc.audit(kept, replica)
     d = kept.join(found, ["file", "offset"], "left")
     return d.select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("ok")).alias("status"), "found_sha256")
 
@@ -81,7 +81,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = stored(threshold.integers(valid(table(spark, sf_dir, "embeddings"))), "vectors")
+    v = threshold.integers(valid(table(spark, sf_dir, "embeddings")))
     return threshold.top_k(v, v.filter(F.col("vec_id") % 50 == 0), 5)
 
 
@@ -100,10 +100,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
-RECORD = "'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || url || crlf || 'Content-Length: ' || strlen(html) || crlf || crlf || html || crlf || crlf"
-OP6_SQL = f"""WITH r AS (SELECT page_id, url, {RECORD} AS rec FROM (SELECT *, chr(13) || chr(10) AS crlf FROM pages) p),
- m AS (SELECT page_id, rec, CAST(('0x' || substr(md5(page_id || '|' || url), 1, 8))::UBIGINT % (SELECT greatest(1, ceil(count(*) / 1000.0))::UBIGINT FROM pages) AS INT) AS file, strlen(rec) AS length, sha256(rec) AS sha256 FROM r)
- SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, sha256,
+RECORD = "'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || id || '>' || crlf || 'WARC-Target-URI: ' || url || crlf || 'Content-Length: ' || strlen(html) || crlf || crlf || html || crlf || crlf"
+OP6_SQL = f"""WITH r AS (SELECT page_id, id, url, {RECORD} AS rec FROM (SELECT page_id, coalesce(page_id::VARCHAR, '') AS id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS crlf FROM pages) p),
+ m AS (SELECT page_id, rec, CAST(('0x' || substr(md5(id || '|' || url), 1, 8))::UBIGINT % (SELECT greatest(1, ceil(count(*) / 1000.0))::UBIGINT FROM pages) AS INT) AS file, strlen(rec) AS length, sha256(rec) AS sha256 FROM r)
+ SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, sha256,
  CASE WHEN page_id % 59 = 11 THEN 'missing' WHEN page_id % 53 = 7 THEN 'changed' ELSE 'ok' END AS status, CASE WHEN page_id % 59 <> 11 AND page_id % 53 = 7 THEN sha256('#' || substr(rec, 2)) END AS found_sha256 FROM m"""
 
 

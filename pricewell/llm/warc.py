@@ -9,35 +9,97 @@ its neighbours' branches as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import stored
+from pricewell.llm.common import importable, stored
 
 RANGE, FANOUT, PER_FILE = 1 << 16, 16, 1_000
+#: What a record ends with.
+END = "\r\n\r\n"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
     """A page as the text of a WARC record; nulls count as empty."""
     body = F.coalesce(html, F.lit(""))
     head = [F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")]
-    return F.concat(*head, body, F.lit("\r\n\r\n"))
+    return F.concat(*head, body, F.lit(END))
 
 
-def layout(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """file, page_id, offset, length, sha256 of every page's record.
+def layout(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", also: dict[str, Column] | None = None) -> DataFrame:
+    """file, page_id, offset, length, sha256 of every page's record, and the columns of `also`, made from the page.
 
-    Files take about PER_FILE records by a hash of id and address; within a file records are ordered by id, then hash.
-    Only the hash and the length of a record are shuffled.
+    Files take about PER_FILE records by a hash of id and address; within a file records are ordered by id, null first, then
+    hash. Nulls count as empty; repeated pages have a record each; other columns of pages are left out; an empty table gives
+    no rows. Only hashes, lengths and `also` are shuffled.
     """
     n = max(1, -(-pages.count() // PER_FILE))
     whole = record(F.col(page_id), F.col(url), F.col(html))
-    d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("_url"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha256"))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("_url", F.lit(""))))
-    d = d.withColumn("file", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n).cast("int"))
+    d = pages.select(F.col(page_id).cast("long").alias("page_id"), _file(F.col(page_id), F.col(url), n).alias("file"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha256"), *[c.alias(k) for k, c in (also or {}).items()])
     before = W.partitionBy("file").orderBy(F.asc_nulls_first("page_id"), "sha256").rowsBetween(W.unboundedPreceding, -1)
-    return d.select("file", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256")
+    return d.select("file", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256", *(also or {}))
+
+
+def _file(page_id: Column, url: Column, files: int) -> Column:
+    key = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("long").cast("string"), F.lit("")), F.coalesce(url, F.lit(""))))
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % files).cast("int")
+
+
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Writes the pages as the WARC files of layout(): path/file=N/part-*.txt holds file N's records, byte for byte.
+
+    A task writes whole files, of about PER_FILE records each, so that a record's place is the one in the layout.
+    """
+    n = max(1, -(-pages.count() // PER_FILE))
+    whole = record(F.col(page_id), F.col(url), F.col(html))
+    d = pages.select(_file(F.col(page_id), F.col(url), n).alias("file"), F.col(page_id).cast("long").alias("_id"), F.sha2(whole, 256).alias("_sha"), whole.alias("value"))
+    # the writer ends each value with END, so the record goes without its own
+    d = d.repartition("file").sortWithinPartitions("file", F.asc_nulls_first("_id"), "_sha").select("file", F.expr(f"left(value, length(value) - {len(END)})").alias("value"))
+    d.write.partitionBy("file").option("lineSep", END).text(path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, length, sha256 of every record in the WARC files under path, one row per record.
+
+    A record goes from its "WARC/" line to the end that its Content-Length gives. What isn't such a record (a damaged
+    header) makes one row from there to the next place that starts like a record, or to the end of the file.
+    """
+    importable(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer().to_pybytes()
+                spans = list(records(data))
+                rows = [[file] * len(spans), [a for a, _ in spans], [b - a for a, b in spans], [hashlib.sha256(data[a:b]).hexdigest() for a, b in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "offset", "length", "sha256"])
+
+    return named.mapInArrow(run, "file int, offset long, length long, sha256 string")
+
+
+HEAD = re.compile(rb"WARC/\d+\.\d+\r\n(?:[^\r\n]+\r\n)*?Content-Length: *(\d+)\r\n(?:[^\r\n]+\r\n)*\r\n")
+NEXT = re.compile(rb"\r\n\r\n(?=WARC/\d+\.\d+\r\n)")
+
+
+def records(data: bytes) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the records of a WARC file."""
+    at = 0
+    while at < len(data):
+        head = HEAD.match(data, at)
+        end = head.end() + int(head[1]) + len(END) if head else 0
+        if not head or end > len(data) or data[end - len(END) : end] != END.encode():
+            found = NEXT.search(data, at)
+            end = found.end() if found else len(data)
+        yield at, end
+        at = end
 
 
 def levels_for(manifest: DataFrame, *others: DataFrame) -> int:

@@ -45,3 +45,39 @@ def test_edges(spark):
     assert warc.layout(d.limit(0)).count() == 0
     assert warc.audit(warc.layout(d.limit(0)), warc.layout(d.limit(0))).count() == 0
     assert warc.audit(warc.layout(d), warc.layout(d.filter(F.col("page_id") == 2))).count() >= 1
+
+
+def pages(spark):
+    rows = [(k, f"u{k % 7}", "x" * (k * 37 % 900)) for k in range(200)] + [(None, "u", "n"), (None, None, None), (7, None, ""), (7, None, ""), (7, "v", "é"), (11, "u", "lost"), (60, "u", "w")]
+    return spark.createDataFrame([(*x, "x") for x in rows], "page_id long, url string, html string, offset string")
+
+
+def test_query_with_nulls_and_repeated_pages(spark, tmp_path):
+    pages(spark).drop("offset").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(queries.OP6_SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(repr([r[k] for k in sorted(range(len(names)), key=names.__getitem__)]) for r in cur.fetchall())
+    df = queries.op6_warc_fixity(spark, str(tmp_path))
+    got = sorted(repr([r[c] for c in sorted(names)]) for r in df.collect())
+    assert got == want and len(got) == pages(spark).count()
+    assert {r["status"] for r in df.filter("page_id is null").collect()} == {"ok"}
+
+
+def test_files_hold_the_layout_and_show_damage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PER_FILE", 50)
+    path, kept = str(tmp_path / "warc"), warc.layout(pages(spark)).cache()
+    warc.write(pages(spark), path)
+    rows = lambda d: sorted((r["file"], r["offset"], r["length"], r["sha256"]) for r in d.collect())
+    assert rows(warc.manifest(spark, path)) == rows(kept)
+    hit = kept.filter("page_id = 100").first()
+    [file] = (tmp_path / "warc" / f"file={hit['file']}").glob("part-*")
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    data = bytearray(file.read_bytes())
+    data[hit["offset"] + hit["length"] - 6] ^= 1
+    data[hit["offset"]] ^= 1  # and its header
+    file.write_bytes(bytes(data))
+    found = warc.audit(kept, warc.manifest(spark, path)).collect()
+    assert [(r["file"], r["offset"], r["status"]) for r in found] == [(hit["file"], hit["offset"], "changed")]
