@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.common import importable, stored
+from pricewell.llm.common import dropped, importable, looked_up, scratch, stored
 from pricewell.llm.shingles import U, in_chunks, set_keys, sets
 
 #: Shingles that a task gathers before it deals them out, and documents (whose numbers fit 16 bits).
@@ -66,10 +66,10 @@ def _deal(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         rows = [row(-1 - origin, origin, np.concatenate(ids), keys, per_doc.astype(np.int32), local.astype(np.int32))]
         one, who = t[begins], np.where(several, NOBODY, doc[begins]).astype(np.uint16)
         low = ((one << U(bits)) >> U(32)).astype(np.uint32)
-        cut = np.searchsorted(one >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else [0, len(one)]
-        for k in range(1 << bits):
-            if cut[k + 1] > cut[k]:
-                rows.append(row(k, origin, low[cut[k] : cut[k + 1]], who[cut[k] : cut[k + 1]]))
+        bucket = (one >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            rows.append(row(int(bucket[a]), origin, low[a:b], who[a:b]))
         for i in range(0, len(rows), 64):
             cols = list(zip(*rows[i : i + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names)
@@ -130,9 +130,10 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the set), n (its size), shared (how many of its shingles other documents have too).
 
     docs: doc_id long, text. Buckets of shingles hold about 2,000 documents' worth each, and a shingle sends a bucket one
-    occurrence for each group of some thousand documents, however frequent it is.
+    occurrence for each group of some thousand documents, however frequent it is. Within a bucket 32 bits tell shingles
+    apart; two that meet count as shared, which leaves more candidates and loses none.
     """
-    bits = min(16, max(0, (docs.count() // 2_000).bit_length()))
+    bits = max(0, (docs.count() // 2_000).bit_length())
     dealt = docs.mapInArrow(lambda it: _deal(it, bits), DEALT)
     return dealt.groupBy("bucket").applyInArrow(_shared, DEALT).groupBy("origin").applyInArrow(_counted, "doc_id long, key long, n int, shared int")
 
@@ -224,14 +225,19 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         hook = stored(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("comp")), "hooks")
+        before, old = edges, to
         if to is None:
-            to = hook
+            to = stored(hook, "comps")
         else:
             h = hook.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
             to = stored(to.join(h, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "comps")
         a, b = hook.select(F.col("node").alias("x"), F.col("comp").alias("cx")), hook.select(F.col("node").alias("y"), F.col("comp").alias("cy"))
         edges = stored(edges.join(a, "x").join(b, "y").filter("cx <> cy").select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).distinct(), "edges")
-    return to if to is not None else edges.select(F.col("x").alias("node"), F.col("y").alias("comp"))
+        dropped(before, old, hook)
+    if to is None:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("comp"))
+    dropped(edges)
+    return to
 
 
 def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
@@ -239,54 +245,70 @@ def links(nodes: DataFrame, threshold: int = 75, stars: int = 2) -> DataFrame:
 
     Within a component not every link is listed; between components there is none.
     """
-    post = stored(nodes.select(F.col("key").alias("k"), "n", "m", "l", F.posexplode("prefix").alias("i", "s")), "postings")
-    found = comps = None
-
-    def labelled() -> DataFrame:
-        if comps is None:
-            return post.withColumn("c", F.col("k"))
-        return post.join(comps, post["k"] == comps["node"], "left").select(*post.columns, F.coalesce("comp", "k").alias("c"))
-
-    for _ in range(stars):
-        p = stored(labelled(), "labelled")
-        centre = p.groupBy("s").agg(F.min_by(F.struct("k", "n", "m", "c"), F.struct((F.col("n") - F.col("m")) / F.col("n"), "k")).alias("to"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("s", "to.*").withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "c": "c2"})
-        near = p.drop("i").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "c": "c1"}).join(centre, "s").filter((F.col("c1") != F.col("c2")) & _may_link("1", "2", threshold))
-        votes = near.groupBy("k1", "k2").agg(F.count("*").alias("v")).groupBy("k1").agg(F.max_by("k2", F.struct("v", "k2")).alias("k2"))
-        got = stored(verified(votes.select(F.col("k1").alias("x"), F.col("k2").alias("y")), nodes, threshold), "star-links")
-        found = got if found is None else found.unionByName(got)
-        comps = components(found)
-    p = stored(labelled(), "labelled")
-    # the most frequent component of each shingle's documents meets the others only, not itself
-    sizes = p.groupBy("s", "c").agg(F.count("*").alias("v"))
-    main = sizes.groupBy("s").agg(F.max_by("c", F.struct("v", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1")
-    p = stored(p.join(main, "s").drop("cs"), "labelled")
-    right = p.withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "l": "l2", "c": "c2", "i": "i2"}).drop("main")
-    left = p.filter("c <> main").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "l": "l1", "c": "c1", "i": "i1"})
-    cross = left.join(right, "s").filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("k1") < F.col("k2"))) & _may_link("1", "2", threshold) & _early("1", "2", threshold))
-    pairs = cross.groupBy(F.least("k1", "k2").alias("x"), F.greatest("k1", "k2").alias("y")).agg(F.count("*").alias("v"), F.first(F.least("l1", "l2")).alias("l")).filter("v >= l")
-    return found.unionByName(verified(pairs, nodes, threshold))
+    with scratch(nodes.sparkSession) as kept:
+        post = kept(nodes.select(F.col("key").alias("k"), "n", "m", "l", F.posexplode("prefix").alias("i", "s")), "postings")
+        found = comps = None
+
+        def labelled() -> DataFrame:
+            if comps is None:
+                return post.withColumn("c", F.col("k"))
+            return post.join(comps, post["k"] == comps["node"], "left").select(*post.columns, F.coalesce("comp", "k").alias("c"))
+
+        for _ in range(stars):
+            p = kept(labelled(), "labelled")
+            centre = p.groupBy("s").agg(F.min_by(F.struct("k", "n", "m", "c"), F.struct((F.col("n") - F.col("m")) / F.col("n"), "k")).alias("to"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("s", "to.*").withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "c": "c2"})
+            near = p.drop("i").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "c": "c1"}).join(centre, "s").filter((F.col("c1") != F.col("c2")) & _may_link("1", "2", threshold))
+            votes = near.groupBy("k1", "k2").agg(F.count("*").alias("v")).groupBy("k1").agg(F.max_by("k2", F.struct("v", "k2")).alias("k2"))
+            got = stored(verified(votes.select(F.col("k1").alias("x"), F.col("k2").alias("y")), nodes, threshold), "star-links")
+            found = got if found is None else found.unionByName(got)
+            old, comps = comps, components(found)
+            dropped(p, old)
+        p = kept(labelled(), "labelled")
+        # the most frequent component of each shingle's documents meets the others only, not itself
+        sizes = p.groupBy("s", "c").agg(F.count("*").alias("v"))
+        main = sizes.groupBy("s").agg(F.max_by("c", F.struct("v", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1")
+        p = kept(p.join(main, "s").drop("cs"), "labelled")
+        right = p.withColumnsRenamed({"k": "k2", "n": "n2", "m": "m2", "l": "l2", "c": "c2", "i": "i2"}).drop("main")
+        left = p.filter("c <> main").withColumnsRenamed({"k": "k1", "n": "n1", "m": "m1", "l": "l1", "c": "c1", "i": "i1"})
+        cross = left.join(right, "s").filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("k1") < F.col("k2"))) & _may_link("1", "2", threshold) & _early("1", "2", threshold))
+        pairs = cross.groupBy(F.least("k1", "k2").alias("x"), F.greatest("k1", "k2").alias("y")).agg(F.count("*").alias("v"), F.first(F.least("l1", "l2")).alias("l")).filter("v >= l")
+        last = stored(verified(pairs, nodes, threshold), "cross-links")
+        dropped(comps)
+    return found.unionByName(last)
 
 
 def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
-    """doc_id, key (a hash of the set), n, comp, component_id (the smallest doc_id of comp) of every row with an id.
+    """doc_id, key (a hash of the set, 0 of an empty one), n, comp, component_id (the smallest doc_id of comp) of every row with an id.
 
     comp tells components apart where ids repeat; it is null for texts without shingles, whose component_id is their own id.
+    Labels are found for sets first, and reach the rows by look-ups that take sets and components of many rows by themselves.
     """
-    importable(docs.sparkSession)
+    spark = docs.sparkSession
+    importable(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = stored(shared_counts(d.filter("doc_id is not null")), "shared")
-    nodes = known.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.count("*").alias("copies"))
-    open_nodes = stored(nodes.filter(F.col("shared") >= _least(F.col("n"), threshold)).select("key"), "nodes")
-    full = stored(node_sets(d.filter("doc_id is not null"), open_nodes), "sets")
-    ready = stored(prefixes(full, threshold), "prefixes")
-    comps = components(links(ready, threshold))
-    labels = known.join(comps, known["key"] == comps["node"], "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
-    first = labels.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labels.join(first, "comp", "left").select("doc_id", "key", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = stored(shared_counts(d.filter("doc_id is not null")).withColumn("key", F.nullif("key", F.lit(0).cast("long"))), "shared")
+    with scratch(spark) as kept:
+        nodes = kept(known.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.count("*").alias("copies"), F.min("doc_id").alias("first")), "nodes")
+        open_nodes = kept(nodes.filter(F.col("shared") >= _least(F.col("n"), threshold)).select("key"), "open-nodes")
+        full = kept(node_sets(d.filter("doc_id is not null"), open_nodes), "sets")
+        ready = kept(prefixes(full, threshold), "prefixes")
+        dropped(full)
+        found = links(ready, threshold)
+        comps = components(found)
+        dropped(ready)
+        own = nodes.join(comps, nodes["key"] == comps["node"], "left").select("key", "copies", "first", "comp")
+        linked = kept(own.filter("comp is not null"), "linked")
+        firsts = kept(linked.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "firsts")
+        alone = own.filter("comp is null").select("key", "copies", F.col("key").alias("comp"), F.col("first").alias("component_id"))
+        named = looked_up(linked.select("key", "copies", "comp"), firsts, "comp", "size", linked.count(), ["component_id"])
+        labels = stored(alone.unionByName(named), "labels")
+        dropped(comps)
+    out = looked_up(known.select("doc_id", "key", "n"), labels, "key", "copies", known.count(), ["comp", "component_id"])
+    return out.select("doc_id", F.coalesce("key", F.lit(0).cast("long")).alias("key"), "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _key, the key that members() gives the row's text."""
+    """docs with _key, the key that members() gives the row's text; 0 for texts without shingles."""
     importable(docs.sparkSession)
 
     def run(batches):

@@ -5,111 +5,103 @@ character n-grams: at each position the longest known n-gram that starts there (
 "^...$") gives the log frequencies, and the mean over the positions, weighed down as a guess, is the word's score.
 A text's score is the sum over its words; the posterior is taken from the mean per word times min(words, 40), so that it
 says how clear a text is and not only how long.
+
+Words and n-grams are held as 64-bit hashes in rising arrays, with a row of scores each: every word and n-gram of the
+training sample is there, at some 24 bytes, and a worker keeps nothing else.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import log
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pricewell.llm.common import importable, stored
+from pricewell.llm.common import importable, scratch
+from pricewell.llm.letters import Words, find, gram_hash, words_of
+from pricewell.llm.shingles import U
 
-#: Runs of letters, as Java and as Python say it.
-LETTERS_JVM, LETTERS = r"\p{L}+", re.compile(r"[^\W\d_]+")
 #: Words that count towards a posterior.
 WORDS_FOR_POSTERIOR = 40
+LONGEST = 4
+UNKNOWN = "und"
 
 
-#: Words that one Python worker keeps the scores of; when full, at a text's start, they are made anew.
-CACHE = 600_000
+def grams_of(words: Words, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the n-grams of k characters, the place each starts at, the word of each) of the padded words `at`."""
+    codes, size = words.padded(at)
+    ends = np.cumsum(size)
+    word = np.repeat(np.arange(len(at)), size)
+    place = np.arange(len(codes))
+    place = place[place + k <= ends[word]]
+    return gram_hash(codes, place, k), place, word[place]
 
 
 @dataclass
 class Model:
+    """Rising hashes of words and of n-grams, each with a row of log frequencies by language, less their mean."""
+
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    longest: int = 4
+    word_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    gram_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     backoff: float = 0.5
 
-    def __post_init__(self):
-        self.gram_at = {g: k for k, g in enumerate(self.grams)}
-        self.gram_scores = np.array(list(self.grams.values()), np.float64).reshape(len(self.grams), len(self.langs))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs)))
-        self.used = 1  # row 0 is for what is no word
-
-    def _learn(self, new: list[str]) -> None:
-        """Gives each new word its row: a known word's own scores, else the mean over its longest known n-grams."""
-        rows, flat, counts, got = [], [], [], self.gram_at.get
-        for w in new:
-            if not any(map(str.isalpha, w)):
-                self.at[w] = 0
-                continue
-            self.at[w] = row = self.used
-            self.used += 1
-            known = self.words.get(w)
-            if row >= len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            if known is not None:
-                self.scores[row] = known
+    def guessed(self, words: Words, at: np.ndarray) -> np.ndarray:
+        """A row of scores for each unseen word."""
+        codes, size = words.padded(at)
+        begin, ends = np.cumsum(size) - size, np.cumsum(size)
+        word = np.repeat(np.arange(len(at)), size)
+        place = np.arange(len(codes))
+        open_ = place != ends[word] - 1  # no n-gram starts at the "$"
+        got = np.full(len(codes), -1)
+        for k in range(LONGEST, 0, -1):
+            asked = np.flatnonzero(open_ & (place + k <= ends[word]))
+            got[asked] = find(self.gram_keys, gram_hash(codes, asked, k))
+            open_ &= got < 0
+        known = np.flatnonzero(got >= 0)
+        n = np.add.reduceat((got >= 0).astype(np.int64), begin)
+        out = np.zeros((len(at), len(self.langs)))
+        for j in range(len(self.langs)):
+            out[:, j] = np.bincount(word[known], self.gram_scores[got[known], j].astype(np.float64), len(at))
+        return self.backoff * out / np.maximum(n, 1)[:, None]
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the words' scores by language, number of words) of each text."""
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for w in words_of(texts):
+            if not len(w.first):
                 continue
-            x, before = f"^{w}$", len(flat)
-            for i in range(len(x) - 1):
-                for k in range(self.longest, 0, -1):
-                    if (g := got(x[i : i + k])) is not None:
-                        flat.append(g)
-                        break
-            if len(flat) > before:
-                rows.append(row)
-                counts.append(len(flat) - before)
-        if rows:
-            n = np.array(counts)
-            self.scores[rows] = self.backoff * np.add.reduceat(self.gram_scores[flat], np.cumsum(n) - n) / n[:, None]
+            keys, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            place = find(self.word_keys, keys)
+            rows = np.zeros((len(keys), len(self.langs)))
+            seen = place >= 0
+            rows[seen] = self.word_scores[place[seen]]
+            if not seen.all():
+                rows[~seen] = self.guessed(w, first[~seen])
+            for j in range(len(self.langs)):
+                total[:, j] += np.bincount(w.doc, rows[back, j], len(texts))
+            n += np.bincount(w.doc, minlength=len(texts))
+        return total, n
+
+    def predictions(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, posterior) of each text; UNKNOWN with 0.0 for null and for texts without a letter."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        total, n = self.sums(texts)
+        logits = total / np.maximum(n, 1)[:, None] * np.minimum(n, WORDS_FOR_POSTERIOR)[:, None]
+        best = np.argmax(logits, axis=1)  # ties: the first by name
+        top = logits[np.arange(len(n)), best]
+        score = 1.0 / np.exp(logits - top[:, None]).sum(axis=1)
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior of it); ("und", 0.0) for null and for texts without a letter."""
-        if not text or not self.langs:
-            return "und", 0.0
-        if self.used > CACHE:
-            self._clear()
-        found = LETTERS.findall(text.lower())
-        if new := [w for w in dict.fromkeys(found) if w not in self.at]:
-            self._learn(new)
-        rows = np.array(list(map(self.at.__getitem__, found)), np.int64)
-        n = int(np.count_nonzero(rows))
-        if not n:
-            return "und", 0.0
-        logits = self.scores[rows].sum(axis=0) / n * min(n, WORDS_FOR_POSTERIOR)
-        best = int(np.argmax(logits))  # ties: the first by name
-        return self.langs[best], float(1.0 / np.exp(logits - logits[best]).sum())
-
-
-def _log_table(counts: dict[str, list[int]], totals: list[int], add: float) -> dict[str, tuple[float, ...]]:
-    """Per language log((count + add) / (total + add * entries)), less the mean over the languages."""
-    size = max(1, len(counts))
-    out = {}
-    for w, c in counts.items():
-        v = [log((x + add) / (t + add * size)) for x, t in zip(c, totals, strict=True)]
-        mean = sum(v) / len(v)
-        out[w] = tuple(x - mean for x in v)
-    return out
-
-
-#: A language with fewer words than this seen often enough brings rarer ones too, up to this number.
-RARE_UNTIL = 1_000
+        lang, score = self.predictions([text])
+        return lang[0], float(score[0])
 
 
 def _share(sizes: dict[str, int], most: int) -> int:
@@ -120,111 +112,98 @@ def _share(sizes: dict[str, int], most: int) -> int:
     return max(1, left // len(rest)) if rest else max(sizes.values(), default=0)
 
 
-def _first(d: DataFrame, order: list, most: int) -> DataFrame:
-    """The first `most` rows of each language l; first within 16 parts, so that no task meets all rows of a language."""
-    d = d.withColumn("_part", F.pmod(F.xxhash64(*[c for c in order if isinstance(c, str)]), F.lit(16)))
-    for by in (["l", "_part"], ["l"]):
-        d = d.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
-    return d.drop("_part")
-
-
-def _each(entries: DataFrame, name: str) -> DataFrame:
-    return entries.select(name, "n", F.explode("by").alias("l", "c"))
-
-
-def _of_langs(words: DataFrame, name: str, least: int) -> DataFrame:
-    """The words seen `least` times, and of a language with fewer than RARE_UNTIL such words its next ones."""
-    words = stored(words, "lang-counts")
-    often = {r["l"]: r["count"] for r in _each(words.filter(F.col("n") >= least), name).groupBy("l").count().collect()}
-    langs = [r["l"] for r in words.select(F.explode(F.map_keys("by")).alias("l")).distinct().collect()]
-    poor = [x for x in langs if often.get(x, 0) < RARE_UNTIL]
-    if not poor:
-        return words.filter(F.col("n") >= least)
-    first = _first(_each(words, name).filter(F.col("l").isin(poor)), [(F.col("n") < least), F.desc("c"), name], RARE_UNTIL)
-    rare = first.filter(F.col("n") < least).select(name).distinct()
-    return words.filter(F.col("n") >= least).unionByName(words.join(rare, name, "left_semi").select(*words.columns))
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 20_000, max_chars: int = 16_000_000) -> Model:
+    """A model from about max_docs rows and max_chars characters at most of the rows with text and language.
 
-
-def _top(entries: DataFrame, name: str, most: int) -> list:
-    """(entry, counts by language) of at most `most` stored entries, each language's own most frequent."""
-    sizes = {r["l"]: r["count"] for r in _each(entries, name).groupBy("l").count().collect()}
-    if entries.count() <= most:
-        return entries.select(name, "by").orderBy(name).collect()
-    first = stored(_first(_each(entries, name), [F.desc("c"), name], _share(sizes, most)).select(name).distinct(), "lang-first")
-    got = entries.join(first, name, "left_semi").select(name, "by").orderBy(name).limit(most).collect()
-    # languages share entries; the places left go to the most frequent of the others
-    more = entries.join(first, name, "left_anti").orderBy(F.desc("n"), name).limit(most - len(got))
-    return got + more.select(name, "by").collect()
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, least: int = 3) -> Model:
-    """A model from at most max_docs rows (the smallest by hash of the key) with text and language.
-
-    The word and n-gram counts are Spark aggregations; the driver receives only max_words and max_grams entries. All three
-    bounds are shared out evenly over the languages, and what one doesn't use goes to the others: each language brings its
-    own most frequent entries, of words those seen `least` times at least, and rarer ones only while it has fewer than
-    RARE_UNTIL. Null texts and languages don't count. Without rows, the model has no language and predicts "und".
+    Both bounds are shared out evenly over the languages, and what one doesn't use goes to the others; of a language with
+    more, each row is taken by a hash of its key and text, with the chance that meets its share. Every word and n-gram of
+    the rows taken is learned. Tasks count them, Spark adds the counts up, and the driver receives one row per entry and
+    language, fewer than the characters. Null texts and languages don't count. Without rows, the model has no language and
+    predicts UNKNOWN. The result doesn't depend on how rows are dealt.
     """
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if sum(sizes.values()) > max_docs:  # a hash cut per language that keeps its share and some more, then the exact bound
-        share = _share(sizes, max_docs)
-        cuts = [(x, int((1 << 20) * min(1.0, (1.2 * share + 4 * share**0.5 + 10) / m))) for x, m in sorted(sizes.items())]
-        known = F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, cut long"))
-        near = rows.join(known, "l").filter(F.pmod("h", F.lit(1 << 20)) <= F.col("cut")).select("t", "l", "h")
-        rows = _first(near, ["h"], share).orderBy("h").limit(max_docs)
-    words = rows.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS_JVM), F.lit(0))).alias("w")).filter(F.length("w") <= 64).groupBy("w", "l").count().groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"), F.sum("count").alias("n"))
-    words = stored(_of_langs(words, "w", least), "lang-words")
-    padded = words.withColumn("x", F.concat(F.lit("^"), "w", F.lit("$")))
-    grams = padded.select("by", F.explode(F.flatten(F.array(*[F.expr(f"transform(sequence(1, length(x) - {k - 1}), i -> substring(x, i, {k}))") if k == 1 else F.expr(f"if(length(x) >= {k}, transform(sequence(1, length(x) - {k - 1}), i -> substring(x, i, {k})), array())") for k in (1, 2, 3, 4)]))).alias("g")).select("g", F.explode("by").alias("l", "c")).groupBy("g", "l").agg(F.sum("c").alias("c")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"), F.sum("c").alias("n"))
-    grams = stored(grams, "lang-grams")
-    top_words, top_grams = _top(words, "w", max_words), _top(grams, "g", max_grams)
-    langs = sorted({x for r in top_words for x in r["by"]} | {x for r in top_grams for x in r["by"]})
-
-    def counted(got):
-        return {r[0]: [r["by"].get(x, 0) for x in langs] for r in got}
-
-    w, g = counted(top_words), counted(top_grams)
-    tables = []
-    for c in (w, g):
-        totals = [sum(v[k] for v in c.values()) for k in range(len(langs))]
-        tables.append(_log_table(c, totals, 0.5))
-    return Model(langs, *tables)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """predict() that returns only the columns `keep` beside its own, so that texts don't return from Python."""
     spark = docs.sparkSession
     importable(spark)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    d = docs.select(*keep, F.col(text).alias("_text"))
-    shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in d.schema.fields if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 40))
+    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), h.alias("h"))
+    sizes = {r["l"]: r for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([])
+    docs_each, chars_each = _share({x: r["n"] for x, r in sizes.items()}, max_docs), _share({x: r["c"] for x, r in sizes.items()}, max_chars)
+    cuts = [(x, k, int((1 << 40) * min(1.0, docs_each / r["n"], chars_each / max(1, r["c"])))) for k, (x, r) in enumerate(sorted(sizes.items()))]
+    known = F.broadcast(spark.createDataFrame(cuts, "l string, k int, cut long"))  # a row per language
+    taken = rows.join(known, "l").filter(F.col("h") < F.col("cut")).select("t", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value  # one per Python worker, which keeps its words' scores
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                made = [m.predict(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x for x, _ in made], pa.string()), pa.array([y for _, y in made], pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+                lang_of = part.column(1).to_numpy()
+                for w in words_of(part.column(0).to_pylist()):
+                    of = lang_of[w.doc]
+                    for k in np.unique(of):
+                        keys, first, back = np.unique(w.hashes()[of == k], return_index=True, return_inverse=True)
+                        at, n = np.flatnonzero(of == k)[first], np.bincount(back)
+                        yield _counted(0, k, keys, n)
+                        for size in range(1, LONGEST + 1):
+                            hashes, _, word = grams_of(w, at, size)
+                            found, inverse = np.unique(hashes, return_inverse=True)
+                            yield _counted(1, k, found, np.bincount(inverse, n[word]).astype(np.int64))
+
+    with scratch(spark) as kept:
+        counts = kept(taken.mapInArrow(run, "gram int, k int, h long, n long").groupBy("gram", "h", "k").agg(F.sum("n").alias("n")), "lang-counts")
+        got = counts.toArrow()
+    gram, hashes, k, n = (got.column(c).to_numpy() for c in ("gram", "h", "k", "n"))
+    tables = []
+    for kind in (0, 1):
+        mine = gram == kind
+        keys, row = np.unique(hashes[mine].view(U), return_inverse=True)
+        count = np.zeros((len(keys), len(langs)))
+        count[row, k[mine]] = n[mine]
+        tables += [keys, _log_table(count)]
+    return Model(langs, *tables)
 
-    return d.mapInArrow(run, schema)
 
+def _counted(gram: int, k: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    size = len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, gram, np.int32)), pa.array(np.full(size, k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "k", "h", "n"])
 
-def recognised(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is predicted (not "und") with a score of `least` or more."""
+
+def _log_table(counts: np.ndarray, add: float = 0.5) -> np.ndarray:
+    """Per language log((count + add) / (total + add * entries)), less the mean over the languages."""
+    v = np.log((counts + add) / (counts.sum(axis=0) + add * max(1, len(counts))))
+    return (v - v.mean(axis=1, keepdims=True)).astype(np.float32)
+
+
+def predictor(docs: DataFrame, model: Model, text: Column) -> Column:
+    """Column expression of a struct (lang_pred, score): only texts go to Python, and only predictions come back."""
     spark = docs.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value  # one per Python worker, which keeps its words' scores
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                made = [m.predict(x) for x in part.column(at).to_pylist()]
-                yield part.filter(pa.array([x != "und" and y >= least for x, y in made], pa.bool_()))
+            made = [m.predictions(batch.slice(i, 512).to_pylist()) for i in range(0, len(batch), 512)]
+            lang, score = [x for a, _ in made for x in a], np.concatenate([np.zeros(0), *(b for _, b in made)])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return predicted(text)
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all but the text) plus lang_pred and score of every whole text.
 
-    return docs.mapInArrow(run, docs.schema)
+    A null text and one without a letter give UNKNOWN and 0. Repeated rows each keep a row. Columns of docs that are named
+    lang_pred or score are replaced. An empty table gives no rows.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "lang_pred", "score")]
+    made = docs.select(*keep, predictor(docs, model, docs[text]).alias("_made"))
+    return made.select(*keep, "_made.lang_pred", "_made.score")
+
+
+def recognised(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is predicted (not UNKNOWN) with a score of `least` or more."""
+    made = predictor(docs, model, docs[text])
+    return docs.filter((made["lang_pred"] != UNKNOWN) & (made["score"] >= least))

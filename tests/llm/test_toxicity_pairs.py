@@ -23,11 +23,17 @@ def fixture():
 def test_pairs_are_counted_and_neutral_mentions_fare_no_worse(spark):
     rows, neutral = fixture()
     m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-    named = sum(not toxicity.words_of(t).isdisjoint(toxicity.SWAP) for _, t, _ in rows)
-    assert m.pairs == named > 0
+    named = sum(toxicity.swapped(t) is not None for _, t, _ in rows)
+    assert m.pairs == len(rows) and m.built == len(rows) - named > 0  # fewer than least_pairs name a group
     free = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), swap_weight=0.0)
     wrong, wrong_free, bare = (sum(x.score(t) >= 0.7 for t in texts) for x, texts in ((m, neutral), (free, neutral), (m, [t.rsplit(" ", 1)[0] for t in neutral])))
     print("false positives on neutral mentions", wrong, "without swaps", wrong_free, "without the group's word", bare, "of", len(neutral), "pairs", m.pairs)
     assert wrong <= wrong_free
-    without = [(k, t, y) for k, t, y in rows if toxicity.words_of(t).isdisjoint(toxicity.SWAP)]
-    assert toxicity.fit(spark.createDataFrame(without, "doc_id long, text string, label int")).pairs == 0
+    assert m.swap_gap < free.swap_gap
+    few = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), least_pairs=0)
+    assert few.pairs == named and few.built == 0
+
+
+def test_swaps():
+    assert toxicity.swapped("The Women, muslims!") == "the men, christians!"
+    assert toxicity.swapped("womenfolk and mankind") is None
