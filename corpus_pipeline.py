@@ -1,12 +1,13 @@
 """The corpus pipeline: toxicity, language ID, near duplicates, mixing to target weights, token ids.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps; the last gives their token ids.
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps; the last gives their token ids. Nulls in any
+column, empty and very long texts, repeated rows and ids, and further columns of any name are handled by every stage as
+its docstring says; an empty table gives an empty one. Decisions are made on whole texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewell.llm import bpe, jaccard, langid, mixing, queries, toxicity
@@ -14,19 +15,20 @@ from pricewell.llm.common import env_path, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go. A null text is scored as an empty one; rows alike go or stay together."""
     return toxicity.clean(docs, queries.toxicity_model(docs, table(spark, sf_dir, "labels")), queries.TOXIC_FROM)
 
 
 def drop_unrecognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those of no clear language, go."""
+    """Documents without a letter (null texts too), and those of no clear language, go; rows alike go or stay together."""
     return langid.recognised(docs, queries.lang_model(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows, one with the smallest doc_id stays; rows without an id stay.
 
-    Texts that share an id without a link are judged apart. Rows of one id and one set are told apart by their columns, in order.
+    Texts that share an id without a link are judged apart. Of rows of one id and one set, the first by its columns, in
+    order, stays, one of those alike. A text without words (null too) is linked with nothing but its own id's.
     """
     known = jaccard.members(docs)
     others = known.filter("component_id <> doc_id").select("doc_id").distinct()
@@ -36,18 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     single = docs.join(repeated, "doc_id", "left_anti").join(others, "doc_id", "left_anti").select(*docs.columns)
     chosen = known.join(repeated, "doc_id", "left_semi").filter("component_id = doc_id").groupBy("doc_id", "comp").agg(F.min("key").alias("_key"))
     again = jaccard.keyed(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(chosen, ["doc_id", "_key"], "left_semi")
-    n = F.row_number().over(W.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    return single.unionByName(again.withColumn("_n", n).filter("_n = 1").select(*docs.columns))
+    one = again.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))  # within tasks first: no hot id meets in one
+    return single.unionByName(one.select("_row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, mixing.cuts(docs)).filter("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, 0 to 3 times; null sources are a source, null texts have no words.
+
+    Rows alike are taken one by one, so that a source of copies of one row meets its target too.
+    """
+    return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens."""
+    """doc_id, source, ids, n_tokens of every row; a null text has no ids."""
     made = bpe.encode(docs, env_path("byte_bpe_50k.json"), keep=["doc_id", "source"])
     return made.withColumn("n_tokens", F.size("ids").cast("long"))
 
