@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -53,13 +54,34 @@ def number_prefix(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("bigint")
 
 
-def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
+def stem(pattern: str) -> str | None:
+    """The longest run of letters and digits that every match of a pattern holds, in lower case; None if there is none."""
+    p = pattern
+    while "(" in p:
+        p, before = re.sub(r"\([^()]*\)[?*+]?", "\0", p), p
+        if p == before:
+            return None
+    p = re.sub(r"\[[^\]]*\][?*+]?|\\\W|\\\w[?*+]?|.[?*]", "\0", p)
+    runs = [] if "|" in p else re.findall("[a-z0-9]{2,}", p)
+    return max(runs, key=len, default=None)
+
+
+def found(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the pattern is found; low, the lower-cased text, is searched for the pattern's stem first."""
+    hit, part = text.rlike(ascii_words(pattern)), stem(pattern)
+    return hit if low is None or part is None else low.contains(part) & hit
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], low: Column | None = None) -> Column:
     """The value of the first pattern found in the text, or null."""
-    return F.coalesce(*[F.when(text.rlike(ascii_words(p)), F.lit(v)) for p, v in rules])
+    return F.coalesce(*[F.when(found(text, p, low), F.lit(v)) for p, v in rules])
 
 
-def found_any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(f"(?:{ascii_words(p)})" for p in patterns))
+def found_any(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | found(text, p, low)
+    return out
 
 
 def by_name(name: Column, names: dict[str, str], otherwise: Column) -> Column:

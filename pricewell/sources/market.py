@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions.rules import FIELD_CONDITIONS, FOIL_WORD, SKIP_TITLES, TITLE_CONDITIONS, TITLE_NOISE, TITLE_SETS, ascii_words
 from pricewell.functions.text import first_match, found_any, money, plain_spaces
+from pricewell.functions.text import found as found_text
 from pricewell.sources.schemas import MARKET_PAGE
 
 
@@ -18,27 +19,14 @@ def items(pages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def first_seen(found: DataFrame, order: list[str]) -> DataFrame:
-    """One row per item id, the first in the given order."""
-    n = F.row_number().over(W.partitionBy("itemId").orderBy(*order))
-    return found.withColumn("_n", n).filter("_n = 1").drop("_n")
-
-
-def skip_title(title: Column) -> Column:
-    return found_any(title, SKIP_TITLES)
-
-
-def foil_title(title: Column) -> Column:
-    return title.rlike(ascii_words(FOIL_WORD))
-
-
-def condition(title: Column, field: Column) -> Column:
-    """By the title, else by the shop's own field, else null."""
-    low = F.lower(field)
-    return F.coalesce(first_match(title, TITLE_CONDITIONS), *[F.when(low.contains(k), F.lit(v)) for k, v in FIELD_CONDITIONS])
+    """One row per item id, the first in the given order.
 
-
-def title_set(title: Column) -> Column:
-    return first_match(title, TITLE_SETS)
+    The number of partitions is given, so that they stay as many: an item is small, but its title's patterns take time.
+    """
+    spark = found.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = F.row_number().over(W.partitionBy("itemId").orderBy(*order))
+    return found.repartition(parts, "itemId").withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
 def title_name(title: Column, set_name: Column) -> Column:
@@ -57,25 +45,25 @@ def price(offer: Column, bid: Column) -> Column:
     return F.when((p["currency"] == "AUD") & (value > 0), value)
 
 
-def parsed_titles(found: DataFrame) -> DataFrame:
-    """title, raw_name, title_set, title_condition, title_foil, title_skip of each distinct title: the patterns run once each."""
-    t = found.select("title").distinct().withColumn("_t", plain_spaces(F.coalesce("title", F.lit(""))))
-    t = t.withColumn("title_set", title_set(F.col("_t")))
-    return t.select("title", title_name(F.col("_t"), F.col("title_set")).alias("raw_name"), "title_set", first_match(F.col("_t"), TITLE_CONDITIONS).alias("title_condition"), foil_title(F.col("_t")).alias("title_foil"), skip_title(F.col("_t")).alias("title_skip"))
-
-
 def judged(found: DataFrame) -> DataFrame:
     """The items with listing columns and skip_reason, the first guard that refuses an item, null if none does."""
-    d = found.join(parsed_titles(found).withColumnRenamed("title", "_title"), F.col("title").eqNullSafe(F.col("_title"))).drop("_title")
-    low = F.lower(F.coalesce("condition", F.lit("")))
-    d = d.withColumn("_price", price(F.col("price"), F.col("currentBidPrice")))
-    field = F.coalesce(*[F.when(low.contains(k), F.lit(v)) for k, v in FIELD_CONDITIONS])
-    reason = F.when(low.contains("sealed") | low.contains("new/factory"), "sealed").when(F.col("title_skip"), "title").when(F.col("_price").isNull(), "price").when(~F.coalesce(F.array_contains("buyingOptions", "FIXED_PRICE"), F.lit(False)), "auction").when(F.length("raw_name") < 2, "name")
     kept = [c for c in found.columns if c not in ("price", "currentBidPrice", "condition", "title", "buyingOptions", "itemWebUrl")]
-    return d.select(*kept, "title", "raw_name", F.col("title_set").alias("set_name"), F.col("_price").alias("price"), F.coalesce("title_condition", field).alias("condition"), F.col("title_foil").alias("is_foil"), F.col("itemWebUrl").alias("source_url"), reason.alias("skip_reason"))
+    t = plain_spaces(F.coalesce("title", F.lit("")))
+    d = found.withColumns({"_t": t, "_low": F.lower(t), "_field": F.lower(F.coalesce("condition", F.lit(""))), "_price": price(F.col("price"), F.col("currentBidPrice"))})
+    title, low = F.col("_t"), F.col("_low")
+    d = d.withColumns({"_set": first_match(title, TITLE_SETS, low), "_condition": first_match(title, TITLE_CONDITIONS, low), "_skip": found_any(title, SKIP_TITLES, low), "_foil": found_text(title, FOIL_WORD, low)})
+    d = d.withColumn("_name", title_name(title, F.col("_set")))
+    field = F.col("_field")
+    reason = F.when(field.contains("sealed") | field.contains("new/factory"), "sealed").when(F.col("_skip"), "title").when(F.col("_price").isNull(), "price").when(~F.coalesce(F.array_contains("buyingOptions", "FIXED_PRICE"), F.lit(False)), "auction").when(F.length("_name") < 2, "name")
+    condition_code = F.coalesce("_condition", *[F.when(field.contains(k), F.lit(v)) for k, v in FIELD_CONDITIONS])
+    return d.select(*kept, "title", F.col("_name").alias("raw_name"), F.col("_set").alias("set_name"), F.col("_price").alias("price"), condition_code.alias("condition"), F.col("_foil").alias("is_foil"), F.col("itemWebUrl").alias("source_url"), reason.alias("skip_reason"))
+
+
+def kept(judged_items: DataFrame) -> DataFrame:
+    """The judged items that no guard refuses, as listings; items that are listed are in stock."""
+    none = F.lit(None).cast("string")
+    return judged_items.filter("skip_reason is null").withColumns({"set_code": none, "collector_number": none, "price_type": F.lit("sell"), "in_stock": F.lit(True), "is_borderless": F.lit(False)}).drop("skip_reason")
 
 
 def listings(found: DataFrame) -> DataFrame:
-    """The items that no guard refuses, as listings; items that are listed are in stock."""
-    none = F.lit(None).cast("string")
-    return judged(found).filter("skip_reason is null").withColumns({"set_code": none, "collector_number": none, "price_type": F.lit("sell"), "in_stock": F.lit(True), "is_borderless": F.lit(False)}).drop("skip_reason")
+    return kept(judged(found))
