@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewell.functions.rules import SET_ALIASES
@@ -16,14 +15,18 @@ def index_source(printings: DataFrame, cards: DataFrame) -> DataFrame:
     return printings.join(c, "card_id").select(F.col("id").alias("printing_id"), "key", "set_code", "set_name", "collector_number", "is_foil", number_prefix(F.col("collector_number")).alias("num"))
 
 
-def first_printing() -> Column:
-    """Lowest number first, non-numeric last."""
-    return F.min_by("printing_id", F.struct(F.col("num").isNull(), "num", "printing_id"))
+def first_printing(only: Column | None = None) -> Column:
+    """Lowest number first, non-numeric last; of the printings that `only` admits."""
+    return _chosen(F.struct(F.col("num").isNull(), "num", "printing_id"), only)
 
 
-def last_printing() -> Column:
+def last_printing(only: Column | None = None) -> Column:
     """Non-numeric first, then the highest number: for borderless listings."""
-    return F.min_by("printing_id", F.struct(F.col("num").isNotNull(), -F.col("num"), "printing_id"))
+    return _chosen(F.struct(F.col("num").isNotNull(), -F.col("num"), "printing_id"), only)
+
+
+def _chosen(order: Column, only: Column | None) -> Column:
+    return F.min_by("printing_id", order if only is None else F.when(only, order))
 
 
 def grouped(index: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -31,6 +34,18 @@ def grouped(index: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return index.groupBy(*keys).agg(first_printing().alias(f"{prefix}_first"), last_printing().alias(f"{prefix}_last"), F.count("*").alias(f"{prefix}_n"))
 
 
+#: What by_key() has for each name: the foil, the other and all printings.
+KINDS = ("foil", "plain", "all")
+
+
+def by_key(index: DataFrame) -> DataFrame:
+    """One row per name key with the choices among its foil, its other and all its printings."""
+    aggs = []
+    for kind, only in zip(KINDS, (F.col("is_foil"), ~F.col("is_foil"), F.lit(True)), strict=True):
+        aggs += [first_printing(only).alias(f"{kind}_first"), last_printing(only).alias(f"{kind}_last"), F.count_if(only).alias(f"{kind}_n")]
+    return index.groupBy(F.col("key").alias("_key")).agg(*aggs)
+
+
 def set_names(printings: DataFrame, aliases: bool = False) -> DataFrame:
     """set_key -> set code, the smallest where several share a name; optionally the alias table for names not there."""
     out = printings.groupBy(set_key(F.col("set_name")).alias("set_key")).agg(F.min("set_code").alias("named_code"))
@@ -69,42 +84,53 @@ def near_keys(probes: DataFrame, keys: DataFrame, most: int = 2) -> DataFrame:
     return both.withColumn("dist", F.levenshtein("probe", "key", most)).filter("dist >= 0")
 
 
+def nearest_keys(probes: DataFrame, keys: DataFrame) -> DataFrame:
+    """probe, near, dist: the nearest key of each probe within distance 2, ties to the smaller key."""
+    best = near_keys(probes, keys).groupBy("probe").agg(F.min(F.struct("dist", "key")).alias("b"))
+    return best.select("probe", F.col("b.key").alias("near"), F.col("b.dist").alias("dist"))
+
+
+def _or_nothing(key: Column, spread: Column) -> Column:
+    """The key; where it is null, one of a thousand values that no index holds, so that such rows don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(spread), F.lit(1_000)).cast("string")))
+
+
 def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame, min_confidence: float = 0.0, aliases: bool = False) -> DataFrame:
     """The listings plus printing_id, match_type and confidence.
 
     Levels in order: set_collector, exact, name_foil, name_only, fuzzy, unmatched; the first that hits decides. Matches
-    under min_confidence count as unmatched.
+    under min_confidence count as unmatched. Name keys that the catalogue lacks are resolved once each, to the nearest key
+    that it has, so that a listing meets all levels of its name in one join.
     """
     index = index_source(printings, cards)
     have = set(listings.columns)
     d = listings if "set_code" in have else listings.withColumn("set_code", F.lit(None).cast("string"))
-    d = d.withColumn("_id", F.monotonically_increasing_id()) if "listing_seq" not in have else d.withColumn("_id", F.col("listing_seq"))
-    d = d.withColumn("_set_key", F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name")))).withColumn("_key", name_key(strip_variant(F.col("raw_name"))))
-    names = set_names(printings, aliases).withColumnsRenamed({"set_key": "_set_key"})
-    d = d.join(names, "_set_key", "left").withColumn("_set", F.coalesce(F.nullif("set_code", F.lit("")), "named_code"))
+    d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": name_key(strip_variant(F.col("raw_name"))), "_foil": F.col("is_foil")})
+
+    names = by_key(index)
+    unknown = d.filter("_key is not null").select("_key").distinct().join(names.select("_key"), "_key", "left_anti")
+    near = nearest_keys(unknown.select(F.col("_key").alias("probe")), names.select(F.col("_key").alias("key")))
+    guessed = near.join(names.withColumnRenamed("_key", "near"), "near").withColumnRenamed("probe", "_key").drop("near")
+    known = names.withColumn("dist", F.lit(None).cast("int")).unionByName(guessed)
 
+    sets = set_names(printings, aliases).withColumnRenamed("set_key", "_set_key")
+    d = d.withColumn("_set_key", _or_nothing(F.col("_set_key"), F.col("raw_name"))).join(sets, "_set_key", "left")
+    d = d.withColumn("_set", _or_nothing(F.coalesce(F.nullif("set_code", F.lit("")), "named_code"), F.col("raw_name"))).withColumn("_number", _or_nothing(F.nullif("collector_number", F.lit("")), F.col("raw_name")))
     by_number = index.groupBy(F.col("set_code").alias("_set"), F.col("collector_number").alias("_number"), F.col("is_foil").alias("_foil")).agg(F.max("printing_id").alias("l0"))
     exact = grouped(index.withColumnsRenamed({"set_code": "_set", "is_foil": "_foil", "key": "_key"}), ["_key", "_set", "_foil"], "l1")
-    foil = grouped(index.withColumnsRenamed({"is_foil": "_foil", "key": "_key"}), ["_key", "_foil"], "l2")
-    plain = grouped(index.withColumnsRenamed({"key": "_key"}), ["_key"], "l3")
-    d = d.withColumn("_foil", F.col("is_foil")).withColumn("_number", F.nullif("collector_number", F.lit("")))
-    d = d.join(by_number, ["_set", "_number", "_foil"], "left").join(exact, ["_key", "_set", "_foil"], "left").join(foil, ["_key", "_foil"], "left").join(plain, ["_key"], "left")
-
-    rest = d.filter("l0 is null and l1_n is null and l2_n is null and l3_n is null").select(F.col("_key").alias("probe")).distinct()
-    best = near_keys(rest, plain.select(F.col("_key").alias("key"))).groupBy("probe").agg(F.min(F.struct("dist", "key")).alias("b")).select(F.col("probe").alias("_key"), F.col("b.dist").alias("dist"), F.col("b.key").alias("near"))
-    f_foil = foil.select(F.col("_key").alias("near"), "_foil", F.col("l2_first").alias("f2"))
-    f_plain = plain.select(F.col("_key").alias("near"), F.col("l3_first").alias("f3"))
-    d = d.join(best, "_key", "left").join(f_foil, ["near", "_foil"], "left").join(f_plain, "near", "left")
+    d = d.join(by_number, ["_set", "_number", "_foil"], "left").join(exact, ["_key", "_set", "_foil"], "left").join(known, "_key", "left")
 
     wide = F.coalesce("is_borderless", F.lit(False)) if "is_borderless" in have else F.lit(False)
-    pick = lambda level: F.when(wide, F.col(f"{level}_last")).otherwise(F.col(f"{level}_first"))
-    several = lambda level, one, more: F.when(F.col(f"{level}_n") == 1, one).otherwise(more)
+    of_kind = lambda what: F.when(F.col("_foil"), F.col(f"foil_{what}")).when(~F.col("_foil"), F.col(f"plain_{what}"))
+    pick = lambda get: F.when(wide, get("last")).otherwise(get("first"))
+    several = lambda n, one, more: F.when(n == 1, one).otherwise(more)
+    own, any_kind, exactly = F.col("dist").isNull(), lambda what: F.col(f"all_{what}"), lambda what: F.col(f"l1_{what}")
     levels = [
         (F.col("l0").isNotNull(), F.col("l0"), "set_collector", F.lit(1.0)),
-        (F.col("l1_n").isNotNull(), pick("l1"), "exact", several("l1", 1.0, 0.8)),
-        (F.col("l2_n").isNotNull(), pick("l2"), "name_foil", several("l2", 0.85, 0.7)),
-        (F.col("l3_n").isNotNull(), pick("l3"), "name_only", several("l3", 0.7, 0.6)),
-        (F.col("near").isNotNull(), F.coalesce("f2", "f3"), "fuzzy", F.greatest(F.lit(0.5), F.round(1 - F.col("dist") * 0.2, 2))),
+        (F.col("l1_n").isNotNull(), pick(exactly), "exact", several(F.col("l1_n"), 1.0, 0.8)),
+        (own & (of_kind("n") > 0), pick(of_kind), "name_foil", several(of_kind("n"), 0.85, 0.7)),
+        (own & (F.col("all_n") > 0), pick(any_kind), "name_only", several(F.col("all_n"), 0.7, 0.6)),
+        (F.col("dist").isNotNull(), F.coalesce(of_kind("first"), "all_first"), "fuzzy", F.greatest(F.lit(0.5), F.round(1 - F.col("dist") * 0.2, 2))),
     ]
     chain = lambda k: F.coalesce(*[F.when(level[0], F.lit(level[k]) if k == 2 else level[k]) for level in levels])
     d = d.withColumn("_c", F.coalesce(chain(3), F.lit(0.0))).withColumn("_t", chain(2)).withColumn("_p", chain(1))
@@ -119,8 +145,3 @@ def split_matches(matched: DataFrame, day: str) -> tuple[DataFrame, DataFrame, D
     history = hit.select("printing_id", "store_id", F.col("price").alias("price_aud"), "price_type", F.lit(day).cast("date").alias("recorded_at"), "listing_seq")
     unmatched = miss.select("store_id", "raw_name", F.col("set_name").alias("raw_set_name"), F.col("price").alias("raw_price"), "source_url")
     return prices, history, unmatched
-
-
-def numbered(listings: DataFrame, order: list[str]) -> DataFrame:
-    """listing_seq within a store, from arrival order."""
-    return listings.withColumn("listing_seq", F.row_number().over(W.partitionBy("store_id").orderBy(*order)).cast("bigint"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LOW_CONFIDENCE = 0.7
@@ -29,10 +30,11 @@ def unmatched(matched: DataFrame) -> DataFrame:
 
 
 def summary(matched: DataFrame) -> DataFrame:
-    """match_type, n, percent (1 decimal)."""
+    """match_type, n, percent (1 decimal), place: most frequent first. The total is summed over the few grouped rows."""
     d = matched.groupBy("match_type").agg(F.count("*").alias("n"))
-    total = matched.agg(F.count("*").alias("total"))
-    return d.join(F.broadcast(total)).select("match_type", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).cast("double").alias("percent"))
+    percent = F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 1).cast("double")
+    place = F.row_number().over(W.orderBy(F.desc("n"), "match_type"))
+    return d.select("match_type", "n", percent.alias("percent"), place.alias("place")).orderBy("place")
 
 
 def totals(matched: DataFrame) -> DataFrame:
@@ -46,10 +48,15 @@ def feed_quality(listings: DataFrame) -> DataFrame:
 
 def run_statistics(found: DataFrame, judged: DataFrame, matched: DataFrame, searched: DataFrame) -> DataFrame:
     """One row: fetched, duplicates, skipped, matched, unmatched, match_percent ('0' if none), searches, empty_searches."""
-    f = found.agg(F.count("*").alias("fetched"), F.count_distinct("itemId").alias("_distinct"))
-    j = judged.agg(F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))
-    m = matched.agg(F.count_if(F.col("printing_id").isNotNull()).alias("matched"), F.count_if(F.col("printing_id").isNull()).alias("unmatched"))
-    s = searched.agg(F.count("*").alias("searches"), F.count_if(F.col("n") == 0).alias("empty_searches"))
-    d = f.join(j).join(m).join(s)
+    parts = [
+        found.agg(F.count("*").alias("fetched"), F.count_distinct("itemId").alias("_distinct")),
+        judged.agg(F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")),
+        matched.agg(F.count_if(F.col("printing_id").isNotNull()).alias("matched"), F.count_if(F.col("printing_id").isNull()).alias("unmatched")),
+        searched.agg(F.count("*").alias("searches"), F.count_if(F.col("n") == 0).alias("empty_searches")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    d = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     all_of = F.col("matched") + F.col("unmatched")
     return d.select("fetched", (F.col("fetched") - F.col("_distinct")).alias("duplicates"), "skipped", "matched", "unmatched", F.when(all_of > 0, F.format_number(F.col("matched") * 100.0 / all_of, 1)).otherwise("0").alias("match_percent"), "searches", "empty_searches")
