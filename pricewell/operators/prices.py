@@ -40,8 +40,8 @@ def find_cards(cards: DataFrame, query: str, literal: bool = False) -> DataFrame
     return cards.limit(0) if by is None else cards.filter(by)
 
 
-def count_cards(cards: DataFrame, query: str) -> DataFrame:
-    return find_cards(cards, query).agg(F.count("*").alias("n"))
+def count_cards(cards: DataFrame, query: str, literal: bool = False) -> DataFrame:
+    return find_cards(cards, query, literal).agg(F.count("*").alias("n"))
 
 
 def get_card(cards: DataFrame, card_id: str) -> DataFrame:
@@ -63,21 +63,24 @@ def newest_images(printings: DataFrame) -> DataFrame:
 def cheapest_printings(printings: DataFrame, store_prices: DataFrame) -> DataFrame:
     """card_id, printing_id, min_price, market_price (median) of each card's cheapest live printing.
 
-    One aggregation by printing gives both the minimum and the median, so the prices are shuffled once.
+    Prices meet the given printings before they are aggregated, so those of other printings go no further; one aggregation
+    gives both the minimum and the median.
     """
-    live = store_prices.filter(live_sell()).groupBy("printing_id").agg(F.min("price_aud").alias("min_price"), median("price_aud").alias("market_price"))
-    d = printings.select(F.col("id").alias("printing_id"), "card_id").join(live, "printing_id")
+    d = store_prices.filter(live_sell()).select("printing_id", "price_aud").join(printings.select(F.col("id").alias("printing_id"), "card_id"), "printing_id")
+    live = d.groupBy("card_id", "printing_id").agg(F.min("price_aud").alias("min_price"), median("price_aud").alias("market_price"))
     best = F.min_by(F.struct("printing_id", "min_price", "market_price"), F.struct("min_price", "printing_id"))
-    return d.groupBy("card_id").agg(best.alias("b")).select("card_id", "b.*")
+    return live.groupBy("card_id").agg(best.alias("b")).select("card_id", "b.*")
 
 
 def last_day_mean(history: DataFrame, key: str, lag_days: int = 0) -> DataFrame:
-    """key, past_price: the mean sell price of the key's last recorded day (lag_days before its end at the latest)."""
-    h = history.filter("price_type = 'sell'")
-    last = F.max("recorded_at").over(W.partitionBy(key))
+    """key, past_price: the mean sell price of the key's last recorded day (lag_days before its end at the latest).
+
+    Rows are summed by key and day first, within tasks too, as decimals; the last day is chosen among those sums.
+    """
+    days = history.filter("price_type = 'sell'").groupBy(key, "recorded_at").agg(F.sum("price_aud").cast("double").alias("s"), F.count("price_aud").alias("n"))
     if lag_days:
-        h = h.withColumn("_end", last).filter(F.col("recorded_at") <= F.date_sub("_end", lag_days))
-    return h.withColumn("_last", last).filter("recorded_at = _last").groupBy(key).agg(F.avg(F.col("price_aud").cast("double")).alias("past_price"))
+        days = days.withColumn("_end", F.max("recorded_at").over(W.partitionBy(key))).filter(F.col("recorded_at") <= F.date_sub("_end", lag_days))
+    return days.groupBy(key).agg(F.max_by(F.col("s") / F.nullif("n", F.lit(0)), "recorded_at").alias("past_price"))
 
 
 def search(cards: DataFrame, printings: DataFrame, store_prices: DataFrame, history: DataFrame, query: str) -> DataFrame:
@@ -133,9 +136,23 @@ def printing_order(as_text: bool = False) -> list[Column]:
     return [F.asc_nulls_last("set_name"), F.asc("is_foil"), price.asc_nulls_last(), F.asc("id")]
 
 
+def lowest_order() -> list[Column]:
+    """By the lowest price in stock; printings without come last, by set."""
+    return [F.asc_nulls_last("low_price"), F.asc("set_name"), F.asc("id")]
+
+
 def by_lowest(d: DataFrame) -> DataFrame:
-    """Printings by their lowest price in stock; those without come last, by set."""
-    return d.orderBy(F.asc_nulls_last("low_price"), "set_name", "id")
+    return d.orderBy(*lowest_order())
+
+
+def daily_order() -> list[Column]:
+    """Of daily prices: by day, set and foil."""
+    return [F.asc("day"), F.asc("set_name"), F.asc("is_foil"), F.asc("printing_id")]
+
+
+def placed(d: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """d with `place`, from 1 on within each `by`, in the given order."""
+    return d.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))
 
 
 def pinned(d: DataFrame, keep: Column, pin: str | None) -> DataFrame:
@@ -143,9 +160,9 @@ def pinned(d: DataFrame, keep: Column, pin: str | None) -> DataFrame:
     return d.filter(keep | (F.col("id") == F.lit(pin))) if pin is not None else d.filter(keep)
 
 
-def with_prices(d: DataFrame) -> DataFrame:
-    """How many printings there are and how many have a price in stock."""
-    return d.agg(F.count("*").alias("printings"), F.count_if(F.col("low_price").isNotNull()).alias("with_prices"))
+def with_prices(d: DataFrame, *by: str) -> DataFrame:
+    """How many printings there are and how many have a price in stock, by the given columns."""
+    return d.groupBy(*by).agg(F.count("*").alias("printings"), F.count_if(F.col("low_price").isNotNull()).alias("with_prices"))
 
 
 def default_images(d: DataFrame) -> DataFrame:

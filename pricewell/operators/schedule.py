@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewell.functions.rules import TIERS
@@ -33,5 +34,10 @@ def due_order(due: DataFrame) -> DataFrame:
     return due.orderBy("tier_rank", "card_name")
 
 
+def due_places(due: DataFrame) -> DataFrame:
+    """due with `place`, from 1 on within each tier, in due_order()."""
+    return due.withColumn("place", F.row_number().over(W.partitionBy("tier_rank").orderBy("card_name")))
+
+
 def due_counts(due: DataFrame) -> DataFrame:
     return due.groupBy("tier").agg(F.count("*").alias("n"))
