@@ -17,15 +17,27 @@ def replace_store(existing: DataFrame, new: DataFrame, stores: DataFrame) -> Dat
 HISTORY_KEY = ["printing_id", "store_id", "price_type", "recorded_at"]
 
 
-def new_history(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The batch's rows to append: the first by listing_seq of each key that the history doesn't have."""
+def of_days(history: DataFrame, days: tuple[str, str] | None) -> DataFrame:
+    """The rows of the days from the first to the last; with recorded_month in the layout, only their months' folders are read."""
+    if days is None:
+        return history
+    first, last = (F.lit(d).cast("date") for d in days)
+    h = history.filter(F.col("recorded_at").between(first, last))
+    return h.filter(F.col("recorded_month").between(days[0][:7], days[1][:7])) if "recorded_month" in history.columns else h
+
+
+def new_history(existing: DataFrame, batch: DataFrame, days: tuple[str, str] | None = None) -> DataFrame:
+    """The batch's rows to append: the first by listing_seq of each key that the history doesn't have.
+
+    days: the first and last day that the batch may hold; the history is read for those only. None: all of it.
+    """
     n = F.row_number().over(W.partitionBy(*HISTORY_KEY).orderBy("listing_seq", "price_aud"))
-    first = batch.withColumn("_n", n).filter("_n = 1").select(*HISTORY_KEY, "price_aud")
-    return first.join(existing.select(*HISTORY_KEY), HISTORY_KEY, "left_anti")
+    first = of_days(batch, days).withColumn("_n", n).filter("_n = 1").select(*HISTORY_KEY, "price_aud")
+    return first.join(of_days(existing, days).select(*HISTORY_KEY), HISTORY_KEY, "left_anti")
 
 
-def append_history(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    return existing.unionByName(new_history(existing, batch).select(*existing.columns))
+def append_history(existing: DataFrame, batch: DataFrame, days: tuple[str, str] | None = None) -> DataFrame:
+    return existing.unionByName(new_history(existing, batch, days).select(*existing.columns))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], refresh: list[str] | None = None) -> DataFrame:
@@ -70,14 +82,15 @@ def retained(history: DataFrame, as_of: str, years: int = 2) -> DataFrame:
 
 
 def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
-    by_month(history).repartition("recorded_month").write.mode(mode).partitionBy("recorded_month").parquet(path)
+    """By month; a month of many rows is written by several tasks, small ones share a task (Spark splits by size at run time)."""
+    by_month(history).hint("rebalance", "recorded_month").write.mode(mode).partitionBy("recorded_month").parquet(path)
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Writes a new snapshot folder of a table; readers move to it by its name once it is whole."""
+def publish(df: DataFrame, root: str, name: str) -> DataFrame:
+    """The table written to a snapshot folder of its own and read back; readers move to it once it is whole."""
     path = f"{root}/{name}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def duplicates(df: DataFrame, key: list[str], table: str) -> DataFrame:

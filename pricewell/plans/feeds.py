@@ -56,7 +56,7 @@ def market_pages(spark: SparkSession, sf_dir: str, name: str = "market_items") -
 
 def shop_a_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "shop_a_entries")
-    return d.select(F.to_json(F.struct(F.create_map("uuid", F.struct("*")).alias("uuid_data"))).alias("body"))
+    return d.select(F.to_json(F.struct(F.create_map("uuid", F.struct("*")).alias("uuid_data"))).alias("body"), F.col("uuid").cast("bigint").alias("page"))
 
 
 def shop_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def shop_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.array(F.struct(F.lit("Condition").alias("name"), F.array().cast("array<string>").alias("values")))
     variant = F.struct("id", F.col("option1").alias("title"), "price", F.when(F.col("has_flag"), F.col("available")).alias("available"), F.col("inventory").alias("inventory_quantity"), "option1")
     product = F.struct("id", "title", "handle", "product_type", F.when(F.col("tagged"), F.array(F.lit("x"), F.concat(F.lit("Set: "), "tag"))).otherwise(F.array(F.lit("x"))).alias("tags"), options.alias("options"), F.array(variant).alias("variants"))
-    return d.select(F.to_json(F.struct(F.array(product).alias("products"))).alias("body"))
+    return d.select(F.to_json(F.struct(F.array(product).alias("products"))).alias("body"), F.col("id").alias("page"))
 
 
 def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
@@ -77,9 +77,15 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
 
 
 def landing_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the cluster names none, as in tests, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own in local mode, whose driver and executors are one process; an error elsewhere.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pricewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

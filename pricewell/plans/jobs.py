@@ -1,7 +1,13 @@
-"""Batch jobs: catalogue, shop and market refresh. Each gives the new snapshots; publishing them is the caller's."""
+"""Batch jobs: catalogue, shop and market refresh. Each gives the new snapshots; publishing them is the caller's.
+
+The matched listings feed every output of a job. `publish` (table, name) -> table writes them once and gives them back, for
+the outputs to be derived from; without it each output works them out again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +24,26 @@ def refresh_catalogue(landed: DataFrame, cards: DataFrame | None = None, printin
     }
 
 
-def refresh_stores(listings: DataFrame, tables: dict[str, DataFrame], ran: DataFrame, day: str) -> dict[str, DataFrame]:
+Publish = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_it_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def refresh_stores(listings: DataFrame, tables: dict[str, DataFrame], ran: DataFrame, day: str, publish: Publish = _as_it_is) -> dict[str, DataFrame]:
     """listings carry store_id; ran has the store_id of every store that ran, those without listings included."""
-    matched = matching.match_listings(listings, tables["printings"], tables["cards"])
+    matched = publish(matching.match_listings(listings, tables["printings"], tables["cards"]), "matched")
     prices, history, unmatched = matching.split_matches(matched, day)
     return {
         "store_prices": snapshots.replace_store(tables["store_prices"], prices, ran),
-        "price_history": snapshots.append_history(tables["price_history"], history),
+        "price_history": snapshots.append_history(tables["price_history"], history, (day, day)),
         "unmatched_cards": snapshots.replace_store(tables["unmatched_cards"], unmatched, ran),
         "statistics": quality.totals(matched),
     }
 
 
-def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, DataFrame], day: str) -> dict[str, DataFrame]:
+def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, DataFrame], day: str, publish: Publish = _as_it_is) -> dict[str, DataFrame]:
     """pages: body, card_name, search_rank of landed searches; searched: card_name, status.
 
     Old prices of successfully searched cards go, whatever the order of the searches; new matches, once per item, come.
@@ -38,9 +51,9 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
     """
     found = market.items(pages)
     unique = market.first_seen(found, ["search_rank", "item_pos"])
-    judged = market.judged(unique)
-    kept = market.listings(unique).withColumn("store_id", F.lit(MARKET_STORE)).withColumn("listing_seq", F.col("search_rank") * 1_000_000 + F.col("item_pos"))
-    matched = matching.match_listings(kept, tables["printings"], tables["cards"])
+    judged = publish(market.judged(unique), "judged")
+    kept = market.kept(judged).withColumn("store_id", F.lit(MARKET_STORE)).withColumn("listing_seq", F.col("search_rank") * 1_000_000 + F.col("item_pos"))
+    matched = publish(matching.match_listings(kept, tables["printings"], tables["cards"]), "matched")
     prices, history, unmatched = matching.split_matches(matched, day)
     ok = searched.filter("status = 'ok'")
     counts = ok.join(found.select("card_name", "itemId"), "card_name", "left").groupBy("card_name").agg(F.count("itemId").cast("int").alias("n"))
@@ -48,7 +61,7 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
     cleared = snapshots.clear_cards(tables["store_prices"], tables["printings"], tables["cards"], ok, MARKET_STORE)
     return {
         "store_prices": cleared.unionByName(prices, allowMissingColumns=True),
-        "price_history": snapshots.append_history(tables["price_history"], history),
+        "price_history": snapshots.append_history(tables["price_history"], history, (day, day)),
         "unmatched_cards": tables["unmatched_cards"].unionByName(unmatched, allowMissingColumns=True),
         "search_log": snapshots.upsert(tables["search_log"], log, ["card_name"], snapshots.LOG_REFRESH),
         "statistics": quality.run_statistics(found, judged, matched, counts),

@@ -19,6 +19,11 @@ def read_catalogue(spark: SparkSession, path: str, lines: bool = False, pos: str
     return reader.json(path).withColumnRenamed(pos, "pos") if pos else reader.json(path).withColumn("pos", F.monotonically_increasing_id())
 
 
+def needs_import(cards: DataFrame) -> bool:
+    """Whether the stored catalogue is empty, as on a first run."""
+    return cards.isEmpty()
+
+
 def importable_card() -> Column:
     """Paper cards in English of a playable layout with an oracle id; null digital counts as paper."""
     return ~F.coalesce("digital", F.lit(False)) & (F.col("lang") == "en") & ~F.coalesce(F.col("layout").isin(SKIPPED_LAYOUTS), F.lit(False)) & (F.coalesce("oracle_id", F.lit("")) != "")

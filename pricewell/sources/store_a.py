@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from pricewell.functions.rules import CONDITIONS_A
 from pricewell.functions.text import by_name
 from pricewell.sources.schemas import STORE_A_PAYLOAD
-from pricewell.sources.tables import adapter, as_listing
+from pricewell.sources.tables import adapter, arrival, as_listing, landed_page
 
 BASE_URL = "https://www.mtgmate.com.au"
 
 
 def entries(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """One row per entry of each payload (a JSON string); payloads without entries give none."""
+    """One row per entry of each payload (a JSON string), with its page and position; payloads without entries give none."""
     parsed = F.from_json(F.col(body), STORE_A_PAYLOAD)
-    return payloads.select(F.explode(F.map_values(parsed["uuid_data"])).alias("e")).select("e.*")
+    return payloads.select(landed_page(payloads, body).alias("page"), F.posexplode(F.map_values(parsed["uuid_data"])).alias("position", "e")).select("page", "position", "e.*")
 
 
 def collector_number(path):
@@ -30,7 +30,7 @@ def listing(e: DataFrame) -> DataFrame:
         collector_number(F.col("link_path")).alias("collector_number"), (F.col("price") / 100).cast("decimal(12,2)").alias("price"), F.lit("sell").alias("price_type"),
         by_name(F.lower("condition"), CONDITIONS_A, F.col("condition")).alias("condition"), F.coalesce(F.col("finish") == "Foil", F.lit(False)).alias("is_foil"),
         F.lit(False).alias("is_borderless"), F.coalesce(F.col("quantity") > 0, F.lit(False)).alias("in_stock"), F.concat(F.lit(BASE_URL), "link_path").alias("source_url"),
-        F.monotonically_increasing_id().alias("listing_seq"),
+        arrival(F.col("page"), F.col("position")).alias("listing_seq"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricewell.functions.rules import CONDITION_AXES, CONDITIONS_B, FOIL_AXES, FOIL_WORDS, NON_FOIL_WORDS, SKIPPED_VARIANTS, ascii_words
 from pricewell.functions.text import by_name, money, plain_spaces
 from pricewell.sources.schemas import STORE_B_PAGE
-from pricewell.sources.tables import adapter, as_listing
+from pricewell.sources.tables import adapter, arrival, as_listing, landed_page
 
 BASE_URL = "https://tcg.goodgames.com.au"
 BORDERLESS = ascii_words(r"\bborderless\b")
@@ -16,8 +16,9 @@ NUMBER = r"\((\d{4})\)"
 
 
 def products(pages: DataFrame, body: str = "body") -> DataFrame:
-    """One row per product of each page (a JSON string); pages without products give none."""
-    return pages.select(F.explode(F.from_json(F.col(body), STORE_B_PAGE)["products"]).alias("p")).select("p.*")
+    """One row per product of each page (a JSON string), with its page and position; pages without products give none."""
+    each = F.posexplode(F.from_json(F.col(body), STORE_B_PAGE)["products"]).alias("position", "p")
+    return pages.select(landed_page(pages, body).alias("page"), each).select("page", "position", "p.*")
 
 
 def skipped_variant(title: Column) -> Column:
@@ -92,10 +93,10 @@ def listing(p: DataFrame) -> DataFrame:
     name, title_set = title_parts(F.col("_clean"))
     named = named.withColumn("_name", name).withColumn("_set", F.coalesce(tag_set(F.col("tags")), title_set))
     name, set_name = real_name(F.col("_name"), F.col("_set"))
-    each = named.select(name.alias("raw_name"), set_name.alias("set_name"), F.col("_number").alias("collector_number"), F.col("_borderless").alias("is_borderless"), "options", F.concat(F.lit(f"{BASE_URL}/products/"), "handle").alias("source_url"), F.explode("variants").alias("v"))
+    each = named.select(name.alias("raw_name"), set_name.alias("set_name"), F.col("_number").alias("collector_number"), F.col("_borderless").alias("is_borderless"), "options", F.concat(F.lit(f"{BASE_URL}/products/"), "handle").alias("source_url"), "page", "position", F.posexplode("variants").alias("variant_position", "v"))
     condition, foil = variant(F.col("v.title"), [F.col("v.option1"), F.col("v.option2"), F.col("v.option3")], F.col("options"))
     priced = each.withColumn("price", money(F.col("v.price"))).withColumn("condition", condition).withColumn("is_foil", foil).filter("price > 0 and condition = 'NM'")
-    return priced.select("raw_name", F.lit(None).cast("string").alias("set_code"), "set_name", "collector_number", "price", F.lit("sell").alias("price_type"), "condition", "is_foil", "is_borderless", F.coalesce(F.col("v.available"), F.col("v.inventory_quantity") > 0, F.lit(False)).alias("in_stock"), "source_url", F.monotonically_increasing_id().alias("listing_seq"))
+    return priced.select("raw_name", F.lit(None).cast("string").alias("set_code"), "set_name", "collector_number", "price", F.lit("sell").alias("price_type"), "condition", "is_foil", "is_borderless", F.coalesce(F.col("v.available"), F.col("v.inventory_quantity") > 0, F.lit(False)).alias("in_stock"), "source_url", arrival(F.col("page"), F.col("position") * 1_000 + F.col("variant_position")).alias("listing_seq"))
 
 
 @adapter("good_games")

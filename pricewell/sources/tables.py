@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions.rules import STORES
@@ -27,6 +27,16 @@ def as_listing(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t.replace(";", ",")).alias(c) for c, t in listing_columns()])
 
 
+def landed_page(df: DataFrame, body: str) -> Column:
+    """The number under which a page landed (its column `page`), or one from its text: alike however files are split."""
+    return F.col("page").cast("bigint") if "page" in df.columns else F.pmod(F.xxhash64(body), F.lit(1 << 40))
+
+
+def arrival(page: Column, position: Column) -> Column:
+    """listing_seq by page and position on it (below a million)."""
+    return (page * 1_000_000 + position).cast("bigint")
+
+
 #: Feed adapters by store id: landed rows -> listings.
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 

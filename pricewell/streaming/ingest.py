@@ -7,6 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pricewell.operators import matching, snapshots
+from pricewell.sources.schemas import TABLES
+
+HISTORY = TABLES["price_history"]
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000) -> DataFrame:
@@ -21,13 +24,14 @@ def items_once(stream: DataFrame, key: str = "item_id", time: str = "ts", delay:
 def ingest_history(stream: DataFrame, printings: DataFrame, cards: DataFrame, history_path: str, checkpoint: str, day: str) -> StreamingQuery:
     """Starts the query: each micro-batch is matched and its new history rows are appended by month.
 
-    A batch that is run again after a failure adds nothing, as its keys are there.
+    A batch that is run again after a failure adds nothing, as its keys are there. Only the day's month is read back.
     """
     spark = stream.sparkSession
+    layout = HISTORY + ", recorded_month STRING"
 
     def write(batch: DataFrame, _: int) -> None:
         _, history, _ = matching.split_matches(matching.match_listings(batch, printings, cards), day)
-        old = spark.read.schema("printing_id STRING, store_id STRING, price_aud DECIMAL(12,2), price_type STRING, recorded_at DATE, recorded_month STRING").parquet(history_path)
-        snapshots.write_history(snapshots.new_history(old, history).select("printing_id", "store_id", "price_aud", "price_type", "recorded_at"), history_path)
+        old = spark.read.schema(layout).parquet(history_path)
+        snapshots.write_history(snapshots.new_history(old, history, (day, day)), history_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
