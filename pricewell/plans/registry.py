@@ -87,6 +87,45 @@ def agg6_search_count(t):
     return prices.count_cards(t.cards, "ring")
 
 
+SEARCHED = [("ring", False), ("r_d", False), ("r_d", True), ("re%d", True), ("  ", False), ("brushed", False)]
+
+
+def _hits(q: str, literal: bool) -> str:
+    if not q.strip():
+        return "false"
+    return f"contains(lower(name), '{q}')" if literal else f"name ILIKE '%{q}%'"
+
+
+@query("cards", " UNION ALL ".join(f"SELECT '{q}' AS query, {literal} AS literal, count(*) AS n, count(*) >= 20 AS has_more FROM cards WHERE {_hits(q, literal)}" for q, literal in SEARCHED))
+def flt7_search_sizes(t):
+    """Hits and "is there more" of some searches, blank and literal ones among them."""
+    out = None
+    for q, literal in SEARCHED:
+        page = prices.has_more(prices.page(prices.find_cards(t.cards, q, literal)))
+        one = prices.count_cards(t.cards, q, literal).unionByName(page, allowMissingColumns=True).agg(F.max("n").alias("n"), F.bool_or("has_more").alias("has_more"))
+        one = one.select(F.lit(q).alias("query"), F.lit(literal).alias("literal"), "n", "has_more")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("cards", "SELECT id, name, NULL::VARCHAR AS mana_cost, type_line, NULL::VARCHAR AS oracle_text, split_part(type_line, ' ', 1) AS colors FROM cards WHERE id = (SELECT max(id) FROM cards)")
+def flt8_card(t):
+    none = F.lit(None).cast("string")
+    cards = t.cards.withColumns({"mana_cost": none, "oracle_text": none, "colors": F.split("type_line", " ")})
+    return prices.get_card(cards, t.cards.agg(F.max("id")).first()[0]).withColumn("colors", F.col("colors")[0])
+
+
+@query("printings", "SELECT id, card_id, set_name FROM printings WHERE is_foil OR id = '7'")
+def flt11_pinned_printings(t):
+    return prices.pinned(t.printings, F.col("is_foil"), "7").select("id", "card_id", "set_name")
+
+
+@query("cards", "SELECT id, coalesce(nullif(array_to_string(list_filter(string_split(type_line, ' '), lambda x: starts_with(x, 'S')), ','), ''), 'C') AS pips FROM cards")
+def scl28_colour_pips(t):
+    colors = F.filter(F.split("type_line", " "), lambda x: x.startswith("S"))
+    return t.cards.select("id", F.array_join(prices.colour_pips(colors), ",").alias("pips"))
+
+
 @query("cards", "SELECT id, name FROM cards WHERE name ILIKE '%r_d%t%'")
 def flt6_wildcards(t):
     return prices.find_cards(t.cards, "r_d%t").select("id", "name")
@@ -100,6 +139,36 @@ def qry2_card_trend(t):
 PRICED = "printings p LEFT JOIN store_prices sp ON sp.printing_id = p.id LEFT JOIN stores s ON s.id = sp.store_id"
 
 
+def _placed(order: str, source: str, columns: str, by: str = "card_id") -> str:
+    return f" SELECT {columns}, row_number() OVER (PARTITION BY {by} ORDER BY {order})::INT AS place FROM {source}"
+
+
+FLAT_SETS = "(SELECT p.id, p.card_id, p.set_name, p.is_foil, price_aud, sp.store_id, condition FROM printings p LEFT JOIN store_prices sp ON sp.printing_id = p.id)"
+TIES = ", store_id NULLS FIRST, condition NULLS FIRST"
+
+
+@query("printings store_prices", _placed("set_name, is_foil, price_aud NULLS LAST, id" + TIES, FLAT_SETS, "id, card_id, price_aud, store_id"))
+def ord3_printing_order(t):
+    return _printing_places(t, False)
+
+
+@query("printings store_prices", _placed("set_name, is_foil, price_aud::VARCHAR NULLS LAST, id" + TIES, FLAT_SETS, "id, card_id, price_aud, store_id"))
+def ord3_printing_order_as_text(t):
+    return _printing_places(t, True)
+
+
+def _printing_places(t: Tables, as_text: bool) -> DataFrame:
+    d = t.printings.join(t.store_prices.withColumnRenamed("printing_id", "id"), "id", "left")
+    order = [*prices.printing_order(as_text), F.asc_nulls_first("store_id"), F.asc_nulls_first("condition")]
+    return prices.placed(d, "card_id", order).select("id", "card_id", "price_aud", "store_id", "place")
+
+
+@query("printings store_prices stores", _placed("low NULLS LAST, set_name, id", f"(SELECT p.id, p.card_id, p.set_name, min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low FROM {PRICED} GROUP BY ALL)", "id, card_id, low AS low_price"))
+def ord4_by_lowest(t):
+    d = prices.printings_with_prices(t.printings, t.store_prices, t.stores)
+    return prices.placed(d, "card_id", prices.lowest_order()).select("id", "card_id", "low_price", "place")
+
+
 @query("printings store_prices stores", f"""SELECT p.id, p.card_id, count(CASE WHEN s.name IS NOT NULL AND price_aud IS NOT NULL THEN 1 END)::INT AS n_prices,
  coalesce(string_agg(CASE WHEN s.name IS NOT NULL AND price_aud IS NOT NULL THEN price_aud::VARCHAR || '|' || s.name || '|' || coalesce(condition, '') || '|' || coalesce(in_stock, false)::VARCHAR END, ';' ORDER BY price_aud, s.name, condition NULLS FIRST, in_stock), '') AS prices,
  min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low_price FROM {PRICED} GROUP BY 1, 2""")
@@ -111,8 +180,7 @@ def qry3_printings_with_prices(t):
 
 @query("printings store_prices stores", f"SELECT p.card_id, count(*) AS printings, count(low) AS with_prices FROM (SELECT p.id, p.card_id, min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low FROM {PRICED} GROUP BY 1, 2) p GROUP BY 1")
 def agg18_priced_printings(t):
-    d = prices.printings_with_prices(t.printings, t.store_prices, t.stores)
-    return d.groupBy("card_id").agg(F.count("*").alias("printings"), F.count("low_price").alias("with_prices"))
+    return prices.with_prices(prices.printings_with_prices(t.printings, t.store_prices, t.stores), "card_id")
 
 
 @query("printings store_prices stores", f"""SELECT card_id, image_uri FROM (SELECT card_id, image_uri, row_number() OVER (PARTITION BY card_id ORDER BY (image_uri IS NULL), is_foil, (low IS NULL), low, set_name, id) AS n
@@ -130,6 +198,11 @@ def agg8_daily_prices(t):
     return prices.daily_prices(t.printings, t.price_history)
 
 
+@query("printings price_history", DAILY + _placed("day, set_name, is_foil, printing_id", "daily", "card_id, printing_id, day, price"))
+def ord7_history_order(t):
+    return prices.placed(prices.daily_prices(t.printings, t.price_history), "card_id", prices.daily_order()).select("card_id", "printing_id", "day", "price", "place")
+
+
 @query("printings price_history", DAILY + " SELECT card_id, day, min(price) AS price FROM daily GROUP BY 1, 2")
 def agg9_card_series(t):
     return prices.card_series(prices.daily_prices(t.printings, t.price_history))
@@ -184,6 +257,11 @@ def qry6_due_cards(t):
     return schedule.due_order(schedule.due_cards(t.cards, t.printings, t.search_log, AS_OF))
 
 
+@query("cards printings search_log", TIERED + _placed("card_name", "due", "card_name, tier", "tier_rank"))
+def ord2_due_order(t):
+    return schedule.due_places(schedule.due_cards(t.cards, t.printings, t.search_log, AS_OF)).select("card_name", "tier", "place")
+
+
 @query("cards printings search_log", TIERED + " SELECT tier, count(*) AS n FROM due GROUP BY 1")
 def agg13_due_counts(t):
     return schedule.due_counts(schedule.due_cards(t.cards, t.printings, t.search_log, AS_OF))
@@ -243,7 +321,12 @@ def jon7_near_keys(t):
 
 @query(MATCHING, MATCH + " SELECT match_type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM matched), 1)::DOUBLE AS percent FROM matched GROUP BY 1")
 def qry11_match_summary(t):
-    return quality.summary(matched(t))
+    return quality.summary(matched(t)).drop("place")
+
+
+@query(MATCHING, MATCH + " SELECT match_type, n, row_number() OVER (ORDER BY n DESC, match_type)::INT AS place FROM (SELECT match_type, count(*) AS n FROM matched GROUP BY 1) x")
+def ord8_match_summary(t):
+    return quality.summary(matched(t)).drop("percent")
 
 
 @query(MATCHING, MATCH + """ SELECT count(*) AS listings, count(*) FILTER (confidence >= 0.7) AS high_confidence, count(*) FILTER (is_borderless) AS borderless,
@@ -365,8 +448,11 @@ def agg14_market_reasons(t):
 CODES_A = "CASE lower(condition) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CONDITIONS_A.items()) + " ELSE condition END"
 
 
-@query("shop_a_entries", f"""SELECT name AS raw_name, nullif(set_code, '') AS set_code, nullif(set_name, '') AS set_name, nullif(split_part(split_part(link_path, '/', -1), ':', 1), '') AS collector_number, CAST(price / 100.0 AS DECIMAL(12,2)) AS price,
- 'sell' AS price_type, {CODES_A} AS condition, finish = 'Foil' AS is_foil, quantity > 0 AS in_stock, '{store_a.BASE_URL}' || link_path AS source_url FROM shop_a_entries""")
+SHOP_A = f"""SELECT name AS raw_name, nullif(set_code, '') AS set_code, nullif(set_name, '') AS set_name, nullif(split_part(split_part(link_path, '/', -1), ':', 1), '') AS collector_number, CAST(price / 100.0 AS DECIMAL(12,2)) AS price,
+ 'sell' AS price_type, {CODES_A} AS condition, finish = 'Foil' AS is_foil, quantity > 0 AS in_stock, '{store_a.BASE_URL}' || link_path AS source_url FROM shop_a_entries"""
+
+
+@query("shop_a_entries", SHOP_A)
 def prj4_shop_a_listings(t):
     return store_a.listings(feeds.shop_a_payloads(t.spark, t.sf_dir)).drop("source", "listing_seq", "is_borderless")
 
@@ -387,6 +473,40 @@ def prj5_shop_b_listings(t):
     return store_b.listings(feeds.shop_b_pages(t.spark, t.sf_dir)).select("raw_name", "set_name", "collector_number", "price", "condition", "is_foil", "is_borderless", "in_stock", "source_url")
 
 
+@query("shop_a_entries shop_b_products", SHOP_B.split("\n SELECT CASE WHEN swap")[0] + f" SELECT 'mtg_mate' AS source, * EXCLUDE (set_code, price_type) FROM ({SHOP_A}) a UNION ALL BY NAME SELECT 'good_games' AS source, * EXCLUDE (is_borderless) FROM (SELECT CASE WHEN swap{SHOP_B.split(chr(10) + ' SELECT CASE WHEN swap')[1]}) b")
+def src7_feed_union(t):
+    landed = {"mtg_mate": feeds.shop_a_payloads(t.spark, t.sf_dir), "good_games": feeds.shop_b_pages(t.spark, t.sf_dir), "unknown": t.stores}
+    return tables.union_feeds(landed).select("source", "raw_name", "set_name", "collector_number", "price", "condition", "is_foil", "in_stock", "source_url")
+
+
+SEED = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in rules.STORES)
+OLD_STORES = "SELECT CASE WHEN id = '1' THEN 'mtg_mate' ELSE id END AS id, name, 'https://old.test' AS base_url, scraper_enabled, id AS was FROM stores"
+
+
+@query("stores", f"""SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.base_url, o.base_url) AS base_url, coalesce(n.scraper_enabled, o.scraper_enabled) AS scraper_enabled, was
+ FROM ({OLD_STORES}) o FULL JOIN (SELECT * FROM (VALUES {SEED}) v(id, name, base_url, scraper_enabled)) n ON n.id = o.id""")
+def src8_store_seed(t):
+    """The shop dimension put over a stored table that has one of its shops under an old name."""
+    old = t.stores.select(F.when(F.col("id") == "1", "mtg_mate").otherwise(F.col("id")).alias("id"), "name", F.lit("https://old.test").alias("base_url"), "scraper_enabled", F.col("id").alias("was"))
+    return snapshots.upsert(old, tables.store_dimension(t.spark), ["id"], snapshots.STORE_REFRESH)
+
+
+@query("printings", "SELECT id, card_id, set_code, set_name, released_at, collector_number, rarity, is_foil, image_uri, NULL::VARCHAR AS scryfall_uri, usd_price FROM printings")
+def src6_stored_printings(t):
+    """A table stored without some of its declared columns, read under its declared schema."""
+    root = f"{feeds.landing_dir(t.spark)}/tables-{uuid.uuid4().hex}"
+    t.printings.write.parquet(f"{root}/printings")
+    return tables.read_table(t.spark, root, "printings").drop("updated_at")
+
+
+ALIASES = ", ".join(f"('{k}', '{v}')" for k, v in rules.SET_ALIASES.items())
+
+
+@query("printings", f""", own AS (SELECT {_key('set_name')} AS set_key, min(set_code) AS named_code FROM printings GROUP BY 1) SELECT * FROM own UNION ALL SELECT * FROM (VALUES {ALIASES}) v(set_key, named_code) WHERE set_key NOT IN (SELECT set_key FROM own)""")
+def scl5_set_aliases(t):
+    return matching.set_names(t.printings, aliases=True)
+
+
 @query("shop_a_entries", "SELECT count(*) AS listings, count(*) FILTER (set_name <> '') AS with_set, count(*) FILTER (finish = 'Foil') AS foil, count(*) FILTER (quantity > 0) AS in_stock FROM shop_a_entries")
 def agg23_feed_quality(t):
     return quality.feed_quality(store_a.listings(feeds.shop_a_payloads(t.spark, t.sf_dir)))
@@ -500,12 +620,16 @@ FINDS = MARKET.replace("FROM market_items", "FROM market_finds") + f""", listing
 MARKET_JOB = "cards printings market_finds"
 
 
+def publisher(t: Tables):
+    return lambda df, name: snapshots.publish(df, feeds.landing_dir(t.spark), name)
+
+
 def market_refresh(t: Tables) -> dict[str, DataFrame]:
     """The whole job: every card searched, every page judged, kept once per item and matched. Store 7 plays the market's old prices."""
     searched = t.cards.select(F.col("name").alias("card_name"), F.lit("ok").alias("status"))
     prices_then = t.store_prices.withColumns({"store_id": F.when(F.col("store_id") == "7", rules.MARKET_STORE).otherwise(F.col("store_id")), "url": F.lit("")})
     old = {"cards": t.cards, "printings": t.printings, "store_prices": prices_then, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"]), "search_log": t.search_log}
-    return jobs.refresh_market(feeds.market_pages(t.spark, t.sf_dir, "market_finds"), searched, old, AS_OF)
+    return jobs.refresh_market(feeds.market_pages(t.spark, t.sf_dir, "market_finds"), searched, old, AS_OF, publisher(t))
 
 
 @query("cards market_finds search_log", f"""SELECT coalesce(c.name, l.card_name) AS card_name, CASE WHEN c.name IS NULL THEN last_searched_at ELSE DATE '{AS_OF}' END AS last_searched_at, CASE WHEN c.name IS NULL THEN last_result_count ELSE coalesce(n, 0)::INT END AS last_result_count
@@ -557,7 +681,7 @@ def arriving(t: Tables) -> DataFrame:
 def store_refresh(t: Tables) -> dict[str, DataFrame]:
     ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
     old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"])}
-    return jobs.refresh_stores(arriving(t).join(ran, "store_id", "left_semi"), old, ran, AS_OF)
+    return jobs.refresh_stores(arriving(t).join(ran, "store_id", "left_semi"), old, ran, AS_OF, publisher(t))
 
 
 @query(MATCHING + " stores store_prices", MATCH + f""" SELECT * FROM store_prices WHERE store_id NOT IN {RAN}
@@ -577,6 +701,19 @@ def qry8_store_unmatched(t):
     return store_refresh(t)["unmatched_cards"].drop("source_url", "scraped_at")
 
 
+@query(MATCHING + " stores", MATCH + f""" SELECT count(*) AS listings, count(*) FILTER (confidence >= 0.7) AS high_confidence, count(*) FILTER (is_borderless) AS borderless,
+ count(*) FILTER (printing_id IS NOT NULL AND confidence < 0.7 AND NOT is_borderless) AS low_confidence, count(*) FILTER (match_type = 'unmatched') AS unmatched FROM matched WHERE store_id IN {RAN}""")
+def qry8_store_statistics(t):
+    return store_refresh(t)["statistics"]
+
+
+@query(MARKET_JOB, FINDS + """, s AS (SELECT (SELECT count(*) FROM market_finds) AS fetched, (SELECT count(DISTINCT item_id) FROM market_finds) AS items, (SELECT count(*) FROM judged WHERE skip_reason IS NOT NULL) AS skipped,
+ (SELECT count(*) FROM matched WHERE printing_id IS NOT NULL) AS matched, (SELECT count(*) FROM matched WHERE printing_id IS NULL) AS unmatched, (SELECT count(*) FROM cards) AS searches, (SELECT count(*) FROM cards WHERE name NOT IN (SELECT card_name FROM market_finds)) AS empty_searches)
+ SELECT fetched, fetched - items AS duplicates, skipped, matched, unmatched, CASE WHEN matched + unmatched > 0 THEN printf('%.1f', matched * 100.0 / (matched + unmatched)) ELSE '0' END AS match_percent, searches, empty_searches FROM s""")
+def qry9_market_statistics(t):
+    return market_refresh(t)["statistics"]
+
+
 @query(MATCHING, MATCH + " " + FIRST_HIT)
 def str1_listing_history(t):
     """The listings as arriving items, matched and appended to an empty history until none is left."""
