@@ -25,7 +25,7 @@ VIEWS = {
     "store_prices": f"""SELECT CAST(l_partkey AS STRING) AS printing_id, CAST(l_suppkey AS STRING) AS store_id,
         CAST(l_extendedprice AS DECIMAL(12,2)) AS price_aud, {PRICE_TYPE} AS price_type,
         CASE l_linenumber % 3 WHEN 0 THEN 'NM' WHEN 1 THEN 'LP' ELSE NULL END AS condition, (l_linestatus = 'O') AS in_stock
-        FROM {{lineitem}} WHERE l_shipdate >= TIMESTAMP '2000-01-01 00:00:00'""",
+        FROM {{lineitem}}""",
     "price_history": f"""SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM (SELECT CAST(l_partkey AS STRING) AS printing_id,
         CAST(l_suppkey AS STRING) AS store_id, {PRICE_TYPE} AS price_type, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS recorded_at,
         CAST(l_extendedprice AS DECIMAL(12,2)) AS price_aud, row_number() OVER (PARTITION BY l_partkey, l_suppkey, {PRICE_TYPE},
@@ -33,20 +33,17 @@ VIEWS = {
     "search_log": f"""SELECT name AS card_name, DATE '{AS_OF}' - CAST(rn % 35 AS INT) AS last_searched_at,
         CAST(CASE WHEN rn % 4 = 0 THEN 0 ELSE rn % 9 + 1 END AS INT) AS last_result_count FROM (SELECT {FULL_NAME} AS name,
         row_number() OVER (ORDER BY {FULL_NAME}) AS rn FROM {{part}} GROUP BY {FULL_NAME}) t WHERE rn % 6 <> 0""",
-    "listings": f"""SELECT l_orderkey * 10 + l_linenumber AS listing_seq, CASE l_orderkey % 5 WHEN 0 THEN upper({FULL_NAME})
+    # lines can share order and line number, so a further number tells them apart
+    "listings": f"""SELECT (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_partkey, l_suppkey, l_extendedprice) AS listing_seq, CASE l_orderkey % 5 WHEN 0 THEN upper({FULL_NAME})
         WHEN 1 THEN concat(p_name, ' - ', p_type, ' (Borderless 12) [X]') WHEN 2 THEN replace({FULL_NAME}, 'e', '')
         WHEN 3 THEN {FULL_NAME} ELSE concat('zz ', p_name, ' qq') END AS raw_name, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE p_brand END AS set_name,
         CASE WHEN l_orderkey % 4 = 0 THEN CAST(p_size AS STRING) ELSE NULL END AS collector_number, (l_partkey % 3 = 0) AS is_foil,
         (l_orderkey % 5 = 1) AS is_borderless, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, CAST(l_suppkey AS STRING) AS store_id
-        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE l_linenumber = 1""",
+        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey""",
 }
 
-#: The listings of all lines. Lines can share order and line number, so listing_seq numbers them.
-VIEWS["all_listings"] = (
-    VIEWS["listings"]
-    .replace(" WHERE l_linenumber = 1", "")
-    .replace("l_orderkey * 10 + l_linenumber AS", "(l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS")
-)
+VIEWS["all_listings"] = VIEWS["listings"]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
