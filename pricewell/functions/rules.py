@@ -5,6 +5,8 @@ Patterns are written with ASCII word boundaries; `ascii_words` turns them into t
 
 from __future__ import annotations
 
+import re
+
 #: Listing titles that aren't one single card.
 SKIP_TITLES = [
     r"\bpsa\s*\d", r"\bbgs\s*\d", r"\bcgc\s*\d", r"\bsgc\s*\d", r"\bproxy\b", r"\bproxies\b", r"\bbulk\b", r"\blot\s+of\s+\d",
@@ -140,7 +142,15 @@ MARKET_STORE = "ebay_au"
 TIERS = [("hot", 1, 1, 14), ("active", 2, 3, 21), ("longTail", 3, 7, 30)]
 
 
+WORD = "[A-Za-z0-9_]"
+EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+
+
 def ascii_words(pattern: str) -> str:
-    """A pattern for Java, ignoring case, in which \\b is a boundary of ASCII words."""
-    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    return "(?i)" + pattern.replace(r"\b", edge)
+    """A pattern for Java, ignoring case, in which \\b is a boundary of ASCII words.
+
+    Before a letter or digit only a word's begin can stand, and after one only its end, so that one look is enough there.
+    """
+    begins = re.sub(r"\\b(?=[A-Za-z0-9])", lambda m: f"(?<!{WORD})", pattern)
+    ends = re.sub(r"(?<![\\])([A-Za-z0-9])\\b", lambda m: f"{m[1]}(?!{WORD})", begins)
+    return "(?i)" + ends.replace(r"\b", EDGE)

@@ -75,6 +75,19 @@ def test_stems_are_in_every_match():
                 assert s in title.lower(), (p, s, title)
 
 
+def test_word_boundaries_are_ascii_ones():
+    """The patterns as handed to Java find what the same patterns with plain boundaries of ASCII words find."""
+    patterns = [*rules.SKIP_TITLES, rules.FOIL_WORD, *rules.TITLE_NOISE, *(p for p, _ in rules.TITLE_SETS + rules.TITLE_CONDITIONS), r"\bx\s\b.", r"\b\d\b", r"a\b-\bb"]
+    assert not any("\\b" in rules.ascii_words(p) for p in patterns)
+    r = random.Random(4)
+    words = sorted({w for p in patterns for w in re.findall("[a-z0-9%]+", re.sub(r"\\[a-z]", " ", p))})
+    for _ in range(1_500):
+        title = "".join(r.choice(words) + r.choice(["", " ", " ", "s", "-", "_", "é", "("]) for _ in range(6))
+        for p in patterns:
+            a, b = re.search(rules.ascii_words(p), title), re.search(p, title, re.I | re.A)
+            assert (a and a.span()) == (b and b.span()), (p, title)
+
+
 def test_search_prices_only_of_the_cards_found(spark):
     """The prices meet the printings found before they are aggregated."""
     cards = spark.createDataFrame([("a", "Ring"), ("b", "Sword")], "id string, name string").withColumn("type_line", F.lit("x"))
