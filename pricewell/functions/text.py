@@ -39,10 +39,11 @@ set_key = name_key
 
 def strip_variant(name: Column, rounds: int = 8) -> Column:
     """Without the trailing (...) and [...], taken off in turns; eight turns settle what listings hold."""
-    out = plain_spaces(name)
+    plain = plain_spaces(name)
+    out = plain
     for _ in range(rounds):
         out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*\([^)]*\)\s*$", ""), r"\s*\[[^\]]*\]\s*$", ""))
-    return out
+    return F.when(plain.rlike(r"[)\]]\s*$"), out).otherwise(F.trim(plain))
 
 
 def plain_spaces(text: Column) -> Column:

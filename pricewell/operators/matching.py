@@ -108,7 +108,8 @@ def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame,
     d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": name_key(strip_variant(F.col("raw_name"))), "_foil": F.col("is_foil")})
 
     names = by_key(index)
-    unknown = d.filter("_key is not null").select("_key").distinct().join(names.select("_key"), "_key", "left_anti")
+    asked = d.filter("raw_name is not null").select("raw_name").distinct().select(name_key(strip_variant(F.col("raw_name"))).alias("_key")).distinct()
+    unknown = asked.join(names.select("_key"), "_key", "left_anti")
     near = nearest_keys(unknown.select(F.col("_key").alias("probe")), names.select(F.col("_key").alias("key")))
     guessed = near.join(names.withColumnRenamed("_key", "near"), "near").withColumnRenamed("probe", "_key").drop("near")
     known = names.withColumn("dist", F.lit(None).cast("int")).unionByName(guessed)
