@@ -63,24 +63,26 @@ def segments(key: Column, length: Column, shift: Column | None = None) -> list[C
     return [F.struct(a.alias("start"), b.alias("size")) for a, b in zip(starts, sizes, strict=True)]
 
 
+def _parts(key: Column, length: Column) -> Column:
+    """The three parts of a key as if it had the given length; of lengths under 3, where a part could be empty, one empty part."""
+    return F.when(length >= 3, F.array(*segments(key, length))).otherwise(F.array(F.struct(F.lit(1).alias("start"), F.lit(0).alias("size"))))
+
+
 def near_keys(probes: DataFrame, keys: DataFrame, most: int = 2) -> DataFrame:
     """(probe, key, dist) of all pairs within edit distance 2.
 
     Blocking by segments: a key within distance 2 keeps one of its three segments unchanged, shifted by 2 at most. Keys
-    and probes so short that a segment could be empty meet in a join on their lengths instead.
+    under 3 characters have one block for each length instead, which all probes of near lengths meet. Both sides are read once.
     """
     k = keys.select("key", F.length("key").alias("len"))
-    cut = k.filter("len >= 3").select("key", "len", F.posexplode(F.array(*segments(F.col("key"), F.col("len")))).alias("seg", "at"))
+    cut = k.select("key", "len", F.posexplode(_parts(F.col("key"), F.col("len"))).alias("seg", "at"))
     blocks = cut.select("key", "len", "seg", F.expr("substring(key, at.start, at.size)").alias("part"))
     p = probes.select("probe", F.length("probe").alias("plen"))
-    asked = p.withColumn("len", F.explode(F.sequence(F.col("plen") - most, F.col("plen") + most))).filter("len >= 3")
-    asked = asked.select("probe", "len", F.posexplode(F.array(*segments(F.col("probe"), F.col("len")))).alias("seg", "at"))
+    asked = p.select("probe", F.explode(F.sequence(F.greatest(F.lit(0), F.col("plen") - most), F.col("plen") + most)).alias("len"))
+    asked = asked.select("probe", "len", F.posexplode(_parts(F.col("probe"), F.col("len"))).alias("seg", "at"))
     asked = asked.select("probe", "len", "seg", "at", F.explode(F.expr(f"sequence(greatest(1, at.start - {most}), at.start + {most})")).alias("from"))
     asked = asked.select("probe", "len", "seg", F.expr("substring(probe, `from`, at.size)").alias("part")).distinct()
-    long = asked.join(blocks, ["len", "seg", "part"]).select("probe", "key").distinct()
-    small = k.filter("len < 3").withColumn("plen", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - most), F.col("len") + most)))
-    short = p.join(small, "plen").select("probe", "key")
-    both = long.unionByName(short)
+    both = asked.join(blocks, ["len", "seg", "part"]).select("probe", "key").distinct()
     return both.withColumn("dist", F.levenshtein("probe", "key", most)).filter("dist >= 0")
 
 

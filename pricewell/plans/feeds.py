@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pricewell.plans.views import FULL_NAME, VIEWS, view
 
 VIEWS |= {
-    "market_items": f"""SELECT concat('i', CAST(l_orderkey AS STRING)) AS item_id, l_orderkey * 10 + l_linenumber AS rank,
+    "market_items": f"""SELECT concat('i', CAST(l_orderkey AS STRING)) AS item_id,
+        (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rank,
         CASE l_orderkey % 8 WHEN 0 THEN concat('MTG ', {FULL_NAME}, ' Alpha NM Foil x1') WHEN 1 THEN concat({FULL_NAME}, ' - Worldwake - Lightly Played')
         WHEN 2 THEN concat('PSA 9 ', {FULL_NAME}) WHEN 3 THEN concat({FULL_NAME}, ' M11 (', CAST(p_size AS STRING), ') [X] near mint')
         WHEN 4 THEN concat('Bulk ', {FULL_NAME}, ' booster') WHEN 5 THEN concat({FULL_NAME}, ' Theros Beyond Death EX')
@@ -41,13 +42,13 @@ VIEWS |= {
 }
 
 #: The market items with the card whose search found each; an order's lines can share l_linenumber, so rank numbers them.
-VIEWS["market_finds"] = VIEWS["market_items"].replace("l_orderkey * 10 + l_linenumber AS rank", f"""(l_orderkey * 10 + l_linenumber) * 1000
-        + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rank, {FULL_NAME} AS card_name""")
+VIEWS["market_finds"] = VIEWS["market_items"].replace(" AS rank,", f" AS rank, {FULL_NAME} AS card_name,", 1)
 
 
 def market_pages(spark: SparkSession, sf_dir: str, name: str = "market_items") -> DataFrame:
-    """search_rank, body: a page of one item each; card_name too where the view has it."""
-    d = view(spark, sf_dir, name)
+    """search_rank, body: a page of one item each, landed in many parts; card_name too where the view has it."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = view(spark, sf_dir, name).repartition(parts)
     offer = F.struct(F.col("amount").alias("value"), "currency")
     none = F.lit(None).cast("struct<value:string,currency:string>")
     item = F.struct(F.col("item_id").alias("itemId"), "title", F.when(F.col("as_bid"), none).otherwise(offer).alias("price"), F.col("item_condition").alias("condition"), F.concat(F.lit("https://m.test/"), "item_id").alias("itemWebUrl"), F.array(F.when(F.col("fixed"), "FIXED_PRICE").otherwise("AUCTION")).alias("buyingOptions"), F.when(F.col("as_bid"), offer).otherwise(none).alias("currentBidPrice"))
