@@ -256,7 +256,8 @@ TABLE_ORDERS = {
 
 
 def table_page(rows: DataFrame, order: str = "price_asc", page: int = 0, size: int = TABLE_PAGE) -> DataFrame:
-    return rows.orderBy(TABLE_ORDERS[order](), "id", "store_id").offset(page * size).limit(size)
+    ties = ["id", "store_id", "price_aud", F.asc_nulls_first("condition"), "in_stock"]
+    return rows.orderBy(TABLE_ORDERS[order](), *ties).offset(page * size).limit(size)
 
 
 def table_pages(rows: DataFrame, size: int = TABLE_PAGE) -> DataFrame:

@@ -371,7 +371,7 @@ def ord6_table_pages(t):
     return prices.table_pages(prices.price_table(flat(t)))
 
 
-@query("printings store_prices stores", FLAT + " ORDER BY released_at DESC NULLS LAST, p.id, sp.store_id LIMIT 10 OFFSET 10")
+@query("printings store_prices stores", FLAT + " ORDER BY released_at DESC NULLS LAST, p.id, sp.store_id, price_aud, condition NULLS FIRST, in_stock LIMIT 10 OFFSET 10")
 def ord5_newest_page(t):
     return prices.table_page(prices.price_table(flat(t)).select(*SHOWN), "newest", 1)
 
