@@ -31,7 +31,7 @@ from pricewell.llm.common import dropped, importable, looked_up, scratch, stored
 from pricewell.llm.shingles import U, in_chunks, set_keys, sets
 
 #: Shingles that a task gathers before it deals them out, and documents (whose numbers fit 16 bits).
-FLUSH, FLUSH_DOCS = 2_000_000, 60_000
+FLUSH, FLUSH_DOCS = 1_000_000, 60_000
 NOBODY = 0xFFFF
 BLOOM_BITS = 26
 LONGEST = 8
