@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.common import importable
+from pricewell.llm.common import KEEPERS, importable
 
 #: Fixed value: the pre-tokenization pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -154,6 +154,9 @@ def codec(path: str) -> Codec:
     return made
 
 
+KEEPERS.append(codec.cache_clear)
+
+
 def _over(batches: Iterator[pa.RecordBatch], text: str, row, columns: dict) -> Iterator[pa.RecordBatch]:
     """Each batch plus columns made by row() from the text column, in slices of bounded size."""
     for batch in batches:

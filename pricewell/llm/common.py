@@ -19,6 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT = 0.001
 
 
+#: What empties the caches that operators keep in this Python worker.
+KEEPERS: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Empties what earlier tasks of other operators left in this Python worker, which Spark uses again."""
+    for empty in KEEPERS:
+        empty()
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package; clusters use --py-files or an install."""
     env = spark.sparkContext.environment

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.common import dropped, importable, looked_up, scratch, stored
+from pricewell.llm.common import dropped, importable, let_go, looked_up, scratch, stored
 from pricewell.llm.shingles import U, in_chunks, set_keys, sets
 
 #: Shingles that a task gathers before it deals them out, and documents (whose numbers fit 16 bits).
@@ -42,6 +42,7 @@ def _deal(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
     A shingle that two documents of the group share is known to be shared, and only its occurrence is dealt.
     """
+    let_go()
     task, flush = TaskContext.get().partitionId(), 0
     names = ["bucket", "origin", "a", "b", "c", "d"]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import importable, scratch
+from pricewell.llm.common import importable, let_go, scratch
 from pricewell.llm.letters import Words, find, gram_hash, words_of
 from pricewell.llm.shingles import U
 
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     taken = rows.join(known, "l").filter(F.col("h") < F.col("cut")).select("t", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -183,6 +184,7 @@ def predictor(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         m = shared.value
         for batch in batches:
             made = [m.predictions(batch.slice(i, 512).to_pylist()) for i in range(0, len(batch), 512)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import importable, scratch
+from pricewell.llm.common import importable, let_go, scratch
 from pricewell.llm.letters import words_of
 from pricewell.llm.shingles import U
 
@@ -293,6 +293,7 @@ def scorer(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         m = shared.value
         table = m.table()
         for batch in batches:
