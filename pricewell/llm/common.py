@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _filed(spark: SparkSession, path: str):
+def filed(spark: SparkSession, path: str):
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -66,7 +66,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, where = _filed(spark, path)
+    files, where = filed(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -77,7 +77,7 @@ def dropped(*tables: DataFrame | None) -> None:
     """Deletes the tables that stored() wrote; others and None are left alone."""
     for d in tables:
         if path := getattr(d, "_stored_at", None):
-            files, where = _filed(d.sparkSession, path)
+            files, where = filed(d.sparkSession, path)
             files.delete(where, True)
             d._stored_at = None
 

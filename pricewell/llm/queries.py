@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import additive, bpe, chat, jaccard, langid, mixing, sharding, threshold, toxicity, warc
-from pricewell.llm.common import env_path, fold, stored, table
+from pricewell.llm import additive, bpe, chat, exact_dedup, jaccard, langid, mixing, repair, sharding, threshold, toxicity, warc
+from pricewell.llm.common import env_path, fold, same, stored, table
 from pricewell.llm.vectors import valid
 
 TOXIC_FROM = 0.7
@@ -96,6 +96,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    ids = rows.select("conv_id").distinct()
+    made = repair.report(repair.edits(repair.damaged(rows)))
+    d = ids.join(made, same(ids, made, ["conv_id"]), "left").drop(made["conv_id"])  # conversations without a row left too
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return d.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    d = exact_dedup.deduplicated(spark, f"{sf_dir}/documents.parque[t]", schema)  # a stream's path is a folder or a pattern
+    return d.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -107,5 +123,9 @@ OP6_SQL = f"""WITH r AS (SELECT page_id, id, url, {RECORD} AS rec FROM (SELECT p
  CASE WHEN page_id % 59 = 11 THEN 'missing' WHEN page_id % 53 = 7 THEN 'changed' ELSE 'ok' END AS status, CASE WHEN page_id % 59 <> 11 AND page_id % 53 = 7 THEN sha256('#' || substr(rec, 2)) END AS found_sha256 FROM m"""
 
 
+OP13_SQL = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_fixity": OP6_SQL}
+    return {"op6_warc_fixity": OP6_SQL, "op13_exact_dedup": OP13_SQL}
