@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import additive, bpe, chat, exact_dedup, jaccard, langid, mixing, repair, sharding, threshold, toxicity, warc
+from pricewell.llm import additive, bpe, chat, collocations, exact_dedup, jaccard, langid, mixing, repair, sharding, threshold, toxicity, warc
 from pricewell.llm.common import env_path, fold, same, stored, table
 from pricewell.llm.vectors import valid
 
@@ -106,6 +106,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = collocations.collocations(table(spark, sf_dir, "documents"))
+    return d.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
     d = exact_dedup.deduplicated(spark, f"{sf_dir}/documents.parque[t]", schema)  # a stream's path is a folder or a pattern
@@ -123,9 +128,22 @@ OP6_SQL = f"""WITH r AS (SELECT page_id, id, url, {RECORD} AS rec FROM (SELECT p
  CASE WHEN page_id % 59 = 11 THEN 'missing' WHEN page_id % 53 = 7 THEN 'changed' ELSE 'ok' END AS status, CASE WHEN page_id % 59 <> 11 AND page_id % 53 = 7 THEN sha256('#' || substr(rec, 2)) END AS found_sha256 FROM m"""
 
 
+OP12_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang,
+  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) x),
+ totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+ grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k) y),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+ parts AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+ cut AS (SELECT c.lang, c.phrase, c.k, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM parts) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cut) z WHERE o = 1),
+ held AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM parts WHERE k = 3) h GROUP BY 1, 2),
+ kept AS (SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.part = b.phrase WHERE h.a IS NULL OR 100 * h.a < 50 * b.a),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 OP13_SQL = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
  SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_fixity": OP6_SQL, "op13_exact_dedup": OP13_SQL}
+    return {"op6_warc_fixity": OP6_SQL, "op12_collocations": OP12_SQL, "op13_exact_dedup": OP13_SQL}
