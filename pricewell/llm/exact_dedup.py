@@ -26,8 +26,13 @@ from pricewell.llm.common import HOT, filed, looked_up, scratch, shared_dir, sto
 
 #: The characters that don't count: blank, tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How the state is kept: on disk, and without files laid out ahead, as a state has many stores of which most are small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Bits of the map that keeps rows of no repeated digest where they are: 8 MB, whatever the number of rows.
+MAP_BITS = 26
 #: Rows of a large group that are compared in one part.
 PART = 2_000
 
@@ -58,13 +63,15 @@ def best_row() -> Column:
 def remember(stream: DataFrame, checkpoint: str, digest: Digest = sha256, doc_id: str = "doc_id", text: str = "text"):
     """Starts the query that takes the stream's new files into the state under `checkpoint`, and ends when none is left."""
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         groups = entries(stream, digest, doc_id, text).groupBy("digest").agg(F.count("*").alias("n"), best_row().alias("best"))
         return groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ledger(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -80,6 +87,20 @@ LEDGER = "digest BINARY, group_size BIGINT, keep_id BIGINT, keep_file STRING, ke
 KEPT = ["group_size", "keep_id", "keep_file", "keep_row"]
 
 
+def perhaps_in(d: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of d whose digest is marked in a bit map of the given digests: those of them, and few others.
+
+    The map has 2^MAP_BITS bits, in rows of 4 KB, and is broadcast; where it fills up, more rows go on, and none is lost.
+    """
+    slot = F.pmod(F.xxhash64("digest"), F.lit(1 << MAP_BITS)) + 1
+    bits = digests.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    e = d.withColumn("_slot", slot)
+    e = e.join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_part"))
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return e.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) != 0).select(*d.columns)
+
+
 def hits(docs: DataFrame, repeated: DataFrame, total: int, digest: Digest, doc_id: str, text: str) -> DataFrame:
     """The rows of the repeated digests with their bytes: digest, salt, salts, doc_id, chars, file, row, norm, is_kept.
 
@@ -88,7 +109,7 @@ def hits(docs: DataFrame, repeated: DataFrame, total: int, digest: Digest, doc_i
     salts = F.when(F.col("group_size") > HOT * total, F.ceil(F.col("group_size") / PART)).otherwise(1).cast("int")
     known = repeated.withColumn("salts", salts)
     hot = F.broadcast(known.filter("salts > 1").select("digest", F.col("salts").alias("_salts")))  # 1 / HOT rows at most
-    d = entries(docs, digest, doc_id, text, bytes_too=True).join(hot, "digest", "left")
+    d = perhaps_in(entries(docs, digest, doc_id, text, bytes_too=True), repeated).join(hot, "digest", "left")
     d = d.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("file", "row"), "_salts"), F.lit(0)).cast("int")).drop("_salts")
     known = known.select("digest", "salts", "keep_file", "keep_row", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     found = d.join(known, ["digest", "salt"])
