@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.plans.views import FULL_NAME, VIEWS, view
+from pricewell.storage import fresh_path
+from pricewell.storage import shared_dir as landing_dir  # noqa: F401
 
 VIEWS |= {
     "market_items": f"""SELECT concat('i', CAST(l_orderkey AS STRING)) AS item_id,
@@ -72,21 +71,6 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
     """The place of the catalogue landed as JSON lines, each with its `pos`."""
     d = view(spark, sf_dir, "catalogue_cards")
     finishes = F.when(F.col("finish_kind") == 0, F.array(F.lit("nonfoil"), F.lit("foil"))).when(F.col("finish_kind") == 1, F.array(F.lit("foil"), F.lit("etched"))).otherwise(F.array(F.lit("nonfoil")))
-    path = f"{landing_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "catalogue")
     d.select("pos", "id", "oracle_id", "name", "lang", "layout", "digital", "type_line", F.col("set_code").alias("set"), "set_name", "released_at", "collector_number", "rarity", finishes.alias("finishes"), F.struct(F.col("image").alias("normal")).alias("image_uris"), F.array(F.struct(F.struct(F.col("face_image").alias("normal")).alias("image_uris"))).alias("card_faces"), F.struct("usd", "usd_foil").alias("prices")).write.json(path)
     return path
-
-
-def landing_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a folder of our own in local mode, whose driver and executors are one process; an error elsewhere.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pricewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import rules, text
-from pricewell.operators import matching, prices, quality, schedule, snapshots
+from pricewell.operators import matching, prices, published, quality, schedule, snapshots
+from pricewell.operators.published import Buckets, Months, Table
 from pricewell.plans import feeds, jobs
 from pricewell.plans.views import AS_OF, oracle, view
 from pricewell.sources import catalogue, market, store_a, store_b, tables
 from pricewell.sources.schemas import TABLES
+from pricewell.storage import fresh_path
 from pricewell.streaming import ingest
+from pricewell.streaming import market as market_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -494,7 +495,7 @@ def src8_store_seed(t):
 @query("printings", "SELECT id, card_id, set_code, set_name, released_at, collector_number, rarity, is_foil, image_uri, NULL::VARCHAR AS scryfall_uri, usd_price FROM printings")
 def src6_stored_printings(t):
     """A table stored without some of its declared columns, read under its declared schema."""
-    root = f"{feeds.landing_dir(t.spark)}/tables-{uuid.uuid4().hex}"
+    root = fresh_path(t.spark, "tables")
     t.printings.write.parquet(f"{root}/printings")
     return tables.read_table(t.spark, root, "printings").drop("updated_at")
 
@@ -554,10 +555,14 @@ def snk3_unmatched_rows(t):
 @query("printings", """SELECT id, card_id, set_code, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN CAST(9.99 AS DECIMAL(12,2)) ELSE usd_price END AS usd_price FROM printings UNION ALL SELECT 'n' || id, card_id, 'new', CAST(9.99 AS DECIMAL(12,2)) FROM printings WHERE CAST(id AS BIGINT) % 10 = 0""")
 def snk4_upsert_printings(t):
     old = t.printings.select("id", "card_id", "set_code", "usd_price")
+    return snapshots.upsert(old, changed_printings(old), ["id"], snapshots.PRINTING_REFRESH)
+
+
+def changed_printings(old: DataFrame) -> DataFrame:
     price = F.lit("9.99").cast("decimal(12,2)").alias("usd_price")
     known = old.filter(F.col("id").cast("bigint") % 2 == 0).select("id", "card_id", F.lit("new").alias("set_code"), price)
     fresh = old.filter(F.col("id").cast("bigint") % 10 == 0).select(F.concat(F.lit("n"), "id").alias("id"), "card_id", F.lit("new").alias("set_code"), price)
-    return snapshots.upsert(old, known.unionByName(fresh), ["id"], snapshots.PRINTING_REFRESH)
+    return known.unionByName(fresh)
 
 
 @query("cards printings store_prices search_log", "SELECT * FROM store_prices WHERE NOT (store_id = '7' AND printing_id IN (SELECT p.id FROM printings p JOIN cards c ON c.id = p.card_id WHERE c.name IN (SELECT card_name FROM search_log)))")
@@ -600,28 +605,13 @@ def qry8_store_refresh(t):
     return made.groupBy("store_id").agg(F.count("*").alias("n"), F.sum("price_aud").alias("total"))
 
 
-@query("cards market_items search_log", f"""SELECT card_name, CASE WHEN s THEN DATE '{AS_OF}' ELSE last_searched_at END AS last_searched_at, CASE WHEN s THEN n ELSE last_result_count END AS last_result_count FROM (
- SELECT coalesce(c.name, l.card_name) AS card_name, c.name IS NOT NULL AS s, l.*, (SELECT count(*) FROM market_items m WHERE starts_with(m.title, c.name))::INT AS n
- FROM cards c FULL JOIN (SELECT card_name AS card, * FROM search_log) l ON l.card = c.name) x""")
-def qry9_market_refresh_log(t):
-    """Searches of all cards; each found the items whose title starts with its name."""
-    searched = t.cards.select(F.col("name").alias("card_name"), F.lit("ok").alias("status"))
-    names = t.cards.select(F.col("name").alias("card_name"))
-    pages = feeds.market_pages(t.spark, t.sf_dir)
-    title = F.get_json_object("body", "$.itemSummaries[0].title")
-    word = F.array_join(F.slice(F.split(title, " "), 1, 3), " ")
-    pages = pages.withColumn("card_name", word).join(names, "card_name", "left_semi")
-    old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices.withColumn("url", F.lit("")), "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"]), "search_log": t.search_log}
-    return jobs.refresh_market(pages, searched, old, AS_OF)["search_log"]
-
-
 FINDS = MARKET.replace("FROM market_items", "FROM market_finds") + f""", listings AS (SELECT rank * 1000000 AS listing_seq, raw_name, set_name, CAST(NULL AS VARCHAR) AS collector_number, is_foil, false AS is_borderless, price,
  '{rules.MARKET_STORE}' AS store_id FROM judged WHERE skip_reason IS NULL)""" + MATCH
 MARKET_JOB = "cards printings market_finds"
 
 
 def publisher(t: Tables):
-    return lambda df, name: snapshots.publish(df, feeds.landing_dir(t.spark), name)
+    return lambda df, name: snapshots.publish(df, fresh_path(t.spark, "jobs"), name)
 
 
 def market_refresh(t: Tables) -> dict[str, DataFrame]:
@@ -659,12 +649,12 @@ def qry9_market_unmatched(t):
 @query("", "SELECT event_type, count(*) AS n, sum(value) AS total FROM (SELECT event_type, round(value, 2)::DECIMAL(12,2) AS value FROM events) x GROUP BY 1")
 def str1_event_ingest(t):
     """The events as arriving items: new files only, once per item, written by foreachBatch until none is left."""
-    root = feeds.landing_dir(t.spark)
-    out, state = f"{root}/str1-{uuid.uuid4().hex}", f"{root}/str1-state-{uuid.uuid4().hex}"
+    out, state = fresh_path(t.spark, "str1"), fresh_path(t.spark, "str1-state")
     schema = t.base("events").schema
     source = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet*")
-    seen = ingest.items_once(source.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "400 days")
-    run = seen.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    seen = ingest.items_once(source, "event_id")
+    with ingest.state_on_disk(t.spark):
+        run = seen.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
     d = t.spark.read.parquet(out)
     return d.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round("value", 2).cast("decimal(12,2)")).alias("total"))
@@ -716,13 +706,98 @@ def qry9_market_statistics(t):
 
 @query(MATCHING, MATCH + " " + FIRST_HIT)
 def str1_listing_history(t):
-    """The listings as arriving items, matched and appended to an empty history until none is left."""
-    root = feeds.landing_dir(t.spark)
-    landed, out, state = (f"{root}/str1-{k}-{uuid.uuid4().hex}" for k in ("listings", "history", "state"))
+    """The listings as arriving items, matched and appended to a history that isn't there yet, in two runs.
+
+    The second run brings the later half, and all of the first half once more with days before those of the first run.
+    """
+    landed, out, state = (fresh_path(t.spark, f"str1-{k}") for k in ("listings", "history", "state"))
     d = t.listings
     item = F.md5(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}))
-    arriving(t).withColumns({"item_id": item, "ts": F.lit(AS_OF).cast("timestamp")}).write.parquet(landed)
-    snapshots.write_history(t.spark.createDataFrame([], TABLES["price_history"]), out)
-    stream = ingest.items_once(ingest.read_stream(t.spark, landed, t.spark.read.parquet(landed).schema))
-    ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF).awaitTermination()
+    items = arriving(t).withColumns({"item_id": item, "ts": F.lit(AS_OF).cast("timestamp")})
+    half = d.agg(F.median("listing_seq")).first()[0] or 0
+    early, late = items.filter(F.col("listing_seq") <= half), items.filter(F.col("listing_seq") > half)
+    again = early.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+    for rows in (early, late.unionByName(again)):
+        rows.write.mode("append").parquet(landed)
+        stream = ingest.items_once(ingest.read_stream(t.spark, landed, rows.schema))
+        ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF).awaitTermination()
     return t.spark.read.schema(TABLES["price_history"]).parquet(out).select(*snapshots.HISTORY_KEY, "price_aud")
+
+
+def market_stream_store(t: Tables) -> market_stream.Store:
+    """The market's stored tables after its pages have come in three runs, by rank."""
+    store, state = market_stream.Store(t.spark, fresh_path(t.spark, "market")), fresh_path(t.spark, "market-state")
+    pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
+    low, high = pages.agg(F.min("search_rank"), F.max("search_rank")).first()
+    landed, width = fresh_path(t.spark, "market-pages"), ((high or 0) - (low or 0)) // 3 + 1
+    part = F.expr(f"(search_rank - {low or 0}) div {width}")
+    for k in range(3):
+        pages.filter(part == k).write.mode("append").parquet(landed)
+        stream = ingest.read_stream(t.spark, landed, pages.schema)
+        query, statistics = market_stream.ingest(stream, t.printings, t.cards, store, state, AS_OF)
+        statistics.wait(query)
+    return store
+
+
+STATISTICS = SQL["qry9_market_statistics"]
+
+
+@query(sql=STATISTICS)
+def str1_market_statistics(t):
+    """The sum of what each batch of the market's stream reported."""
+    searched = t.cards.select(F.col("name").alias("card_name"))
+    return market_stream.run_statistics(market_stream_store(t), searched)
+
+
+@query(MARKET_JOB, FINDS + " " + FIRST_HIT)
+def str1_market_history(t):
+    return market_stream_store(t).history.read().select(*snapshots.HISTORY_KEY, "price_aud")
+
+
+SHOP_PRICES = "printing_id STRING, store_id STRING, price_aud DECIMAL(12,2), price_type STRING, condition STRING, in_stock BOOLEAN"
+
+
+def published_prices(t: Tables) -> Table:
+    """The price table in parts by shop and printing."""
+    made = Table(t.spark, fresh_path(t.spark, "store_prices"), SHOP_PRICES, Buckets({"store_id": 32, "printing_id": 2}))
+    made.append(t.store_prices)
+    return made
+
+
+@query(sql=SQL["snk1_replace_stores"])
+def snk1_published_stores(t):
+    """Of the price table in parts, only the parts of the shops that ran are read and written."""
+    made = published_prices(t)
+    ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
+    new = made.read().join(ran, "store_id", "left_semi").filter("price_type = 'sell'").withColumn("price_aud", (F.col("price_aud") * 2).cast("decimal(12,2)"))
+    made.replace_store(new, ran)
+    return made.read()
+
+
+@query(sql=SQL["snk4_upsert_printings"])
+def snk4_published_printings(t):
+    made = Table(t.spark, fresh_path(t.spark, "printings"), "id STRING, card_id STRING, set_code STRING, usd_price DECIMAL(12,2)", Buckets({"id": 64}))
+    made.append(t.printings)
+    made.upsert(changed_printings(made.read()), ["id"], snapshots.PRINTING_REFRESH)
+    return made.read()
+
+
+@query(sql=SQL["snk5_clear_cards"])
+def snk5_published_clear(t):
+    """Only the parts of shop 7 are read and written."""
+    made = published_prices(t)
+    made.clear_cards(t.printings, t.cards, t.search_log, "7")
+    return made.read()
+
+
+@query(sql=SQL["snk6_retained_history"])
+def snk6_published_history(t):
+    """The history added in two steps, its small files merged, its old months dropped and their files deleted."""
+    made = Table(t.spark, fresh_path(t.spark, "price_history"), TABLES["price_history"], Months("recorded_at"))
+    years = [r[0] for r in t.price_history.select(F.year("recorded_at")).distinct().collect()]
+    for half in (0, 1):
+        made.append(t.price_history.filter(F.year("recorded_at").isin([y for k, y in enumerate(sorted(years)) if k % 2 == half])))
+    made.compact()
+    published.retain(made, AS_OF)
+    made.clean()
+    return snapshots.retained(made.read(), AS_OF)

@@ -1,24 +1,46 @@
-"""Incremental ingest of listings: new files only, items once, matched against a static index, history written once."""
+"""Incremental ingest of listings: new files only, items once however late, matched against a static index, history written once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from pricewell import storage
 from pricewell.operators import matching, snapshots
 from pricewell.sources.schemas import TABLES
 
 HISTORY = TABLES["price_history"]
+#: Keyed state on disk; without files laid out ahead, as most of its stores are small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def items_once(stream: DataFrame, key: str = "item_id", time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Each item once within the delay; older state is dropped with the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def items_once(stream: DataFrame, key: str = "item_id") -> DataFrame:
+    """Each item once. There is no watermark: an item is known again however late it comes, and none is dropped for being late."""
+    return stream.dropDuplicates([key])
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB stores."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest_history(stream: DataFrame, printings: DataFrame, cards: DataFrame, history_path: str, checkpoint: str, day: str) -> StreamingQuery:
@@ -31,7 +53,9 @@ def ingest_history(stream: DataFrame, printings: DataFrame, cards: DataFrame, hi
 
     def write(batch: DataFrame, _: int) -> None:
         _, history, _ = matching.split_matches(matching.match_listings(batch, printings, cards), day)
-        old = spark.read.schema(layout).parquet(history_path)
+        there = storage.listed(spark, history_path)
+        old = spark.read.schema(layout).parquet(history_path) if there else spark.createDataFrame([], layout)
         snapshots.write_history(snapshots.new_history(old, history, (day, day)), history_path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_on_disk(spark):
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
