@@ -1,6 +1,6 @@
 """Phrases whose words go together, mined by Rabin-Karp fingerprints of all n-grams.
 
-1. Texts are packed into chunks of about CHUNK bytes, stored once. Words end at blanks and tabs, pieces at .,;:!? and line ends;
+1. Rows are dealt to chunks of about CHUNK bytes, stored once. Words end at blanks and tabs, pieces at .,;:!? and line ends;
    a phrase never leaves its piece. A prefix polynomial over the bytes gives each word's fingerprint, one over the words that
    of each phrase of up to max_words words, both within blocks of fixed size, so that a text without blanks takes no more memory.
 2. Each chunk sends its fingerprints, once each, with their number and a pointer to the chunk to buckets of the fingerprint range. A
@@ -33,7 +33,7 @@ from pricewell.llm.shingles import INVERSE, LOWER, STEP, mix
 
 U, ALL = np.uint64, (1 << 64) - 1
 #: Bytes of text of a chunk, phrases of a bucket, bytes or words hashed at once.
-CHUNK, BUCKET, BLOCK = 8 << 20, 4 << 20, 1 << 20
+CHUNK, BUCKET, BLOCK = 4 << 20, 4 << 20, 1 << 20
 #: Phrases of a language that are ranked together are the best of so many parts.
 PARTS = 32
 MOST_WORDS = 16
@@ -67,7 +67,7 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     first = np.flatnonzero(inside & ~before)
     last = np.flatnonzero(inside & ~after) + 1
     doc = np.searchsorted(ends, first, "right")
-    return first, last, doc, np.cumsum(BREAK[data], dtype=np.int64)[first] + doc if len(first) else doc
+    return first, last, doc, np.searchsorted(np.flatnonzero(BREAK[data]), first) + doc
 
 
 def word_prints(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -106,52 +106,64 @@ def phrase_prints(words: np.ndarray, piece: np.ndarray, salt: np.ndarray, size:
     return begin, mix(out + salt[begin] + U(size))
 
 
-def pack(prints: np.ndarray, width: int) -> np.ndarray:
-    """Rows of `width` bytes."""
-    return np.ascontiguousarray(prints.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :])
+def pack(prints: np.ndarray, width: int) -> bytes:
+    """Rising fingerprints as the gaps between them, all first bytes first: those are mostly 0, which Spark's compression saves."""
+    gaps = np.diff(prints, prepend=U(0)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+    return np.ascontiguousarray(gaps.T).tobytes()
 
 
 def unpack(blobs: list[bytes], width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, 8 - width :] = raw
-    return full.view(">u8").ravel().astype(U)
+    """The fingerprints of packed lists, one list after the other."""
+    out = [np.zeros(0, U)]
+    for blob in blobs:
+        full = np.zeros((len(blob) // width, 8), np.uint8)
+        full[:, 8 - width :] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+        out.append(np.cumsum(full.view(">u8").ravel().astype(U)))
+    return np.concatenate(out)
 
 
-CHUNKS = "chunk long, langs array<string>, which binary, ends binary, data binary"
+CHUNKS = "chunk long, lang string, text string"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("chunk", pa.int64()), ("langs", pa.list_(pa.string())), ("which", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
-    n, size, langs, which, ends, data = 0, 0, {}, [], [], []
+    """The rows with the number of the chunk that each begins in."""
+    base, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = size + np.cumsum(lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(base + (ends - lengths) // CHUNK), batch.column(0), batch.column(1)], ["chunk", "lang", "text"])
+        size = int(ends[-1]) if len(ends) else size
 
-    def made() -> pa.RecordBatch:
-        row = {"chunk": (TaskContext.get().partitionId() << 32) + n, "langs": list(langs), "which": np.array(which, np.int32).tobytes(), "ends": np.array(ends, np.int64).tobytes(), "data": b"".join(data)}
-        return pa.RecordBatch.from_pylist([row], schema)
 
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each chunk, which follow each other; a chunk that two tasks read is given by both."""
+    now, parts = None, []
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):  # a text at a time: no list of all of a batch
-            raw = (text.as_py() or "").encode()
-            if data and size + len(raw) > CHUNK:
-                yield made()
-                n, size, langs, which, ends, data = n + 1, 0, {}, [], [], []
-            name = lang.as_py()
-            which.append(langs.setdefault("und" if name is None else name, len(langs)))
-            data.append(raw)
-            size += len(raw)
-            ends.append(size)
-    if data:
-        yield made()
+        numbers = batch.column(0).to_numpy()
+        cut = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else []
+        for i, j in zip(cut, [*cut[1:], len(numbers)]):
+            if numbers[i] != now:
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                now, parts = int(numbers[i]), []
+            parts.append(batch.slice(i, j - i))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
 
 
 class Chunk:
-    """The words of a chunk: places, pieces, languages, fingerprints."""
+    """The words of some rows: places, pieces, languages, fingerprints."""
 
-    def __init__(self, row: dict):
-        self.langs, which = row["langs"], np.frombuffer(row["which"], np.int32)
-        self.data = np.frombuffer(row["data"], np.uint8)
-        self.first, self.last, doc, self.piece = spans(self.data, np.frombuffer(row["ends"], np.int64))
-        self.lang = which[doc]
+    def __init__(self, rows: pa.Table):
+        langs = rows.column("lang").combine_chunks().fill_null("und").dictionary_encode()
+        langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+        texts = pa.concat_arrays([x.cast(pa.large_string()) for x in rows.column("text").chunks] or [pa.array([], pa.large_string())]).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        self.langs = langs.dictionary.to_pylist()
+        self.first, self.last, doc, self.piece = spans(self.data, offsets[1:] - offsets[0])
+        self.lang = langs.indices.to_numpy()[doc]
         self.words = word_prints(self.data, self.first, self.last)
         salts = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs]
         self.salt = np.array(salts, U)[self.lang]
@@ -180,16 +192,16 @@ DEALT = "bucket int, chunk long, prints binary, counts binary"
 
 def _deal(batches: Iterator[pa.RecordBatch], max_words: int, bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """The fingerprints of each chunk, once each, with their number, by bucket."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            chunk = Chunk(row)
-            found = np.sort(np.concatenate([chunk.prints(k, width)[1] for k in range(1, max_words + 1)]))
-            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-            counts = np.minimum(np.diff(np.append(starts, len(found))), 65_535).astype(np.uint16)
-            found = found[starts]
-            cut, raw = edges(found, bits, width), pack(found, width)
-            full = np.flatnonzero(np.diff(cut))
-            columns = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["chunk"])), pa.array([raw[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())]
+    for number, rows in _by_chunk(batches):
+        chunk = Chunk(rows)
+        found = np.sort(np.concatenate([chunk.prints(k, width)[1] for k in range(1, max_words + 1)]))
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        counts = np.minimum(np.diff(np.append(starts, len(found))), 65_535).astype(np.uint16)
+        found = found[starts]
+        cut = edges(found, bits, width)
+        full = np.flatnonzero(np.diff(cut))
+        if len(full):
+            columns = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array([pack(found[cut[b] : cut[b + 1]], width) for b in full], pa.binary()), pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "prints", "counts"])
 
 
@@ -205,7 +217,7 @@ def _frequent(t: pa.Table, least: int, width: int) -> pa.Table:
     keep = np.zeros(len(prints), bool)
     keep[order] = np.repeat(good, np.diff(np.append(starts, len(rising))))
     ends = np.cumsum([len(b) // width for b in blobs])
-    out = [(int(c), pack(prints[a:b][keep[a:b]], width).tobytes()) for c, a, b in zip(chunks, np.append(0, ends[:-1]), ends, strict=True) if keep[a:b].any()]
+    out = [(int(c), pack(prints[a:b][keep[a:b]], width)) for c, a, b in zip(chunks, np.append(0, ends[:-1]), ends, strict=True) if keep[a:b].any()]
     return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "prints": pa.array([p for _, p in out], pa.binary())})
 
 
@@ -215,8 +227,8 @@ WRITTEN = "bucket int, texts binary, lengths binary, counts binary"
 def _written(left: pa.Table, right: pa.Table, max_words: int, bits: int, width: int) -> pa.Table:
     """By bucket, the frequent phrases of a chunk as `language TAB words`, once each, with their number; and its words in all."""
     out = []
-    for row in left.to_pylist():
-        chunk = Chunk(row)
+    if left.num_rows:
+        chunk = Chunk(left)
         wanted = np.sort(unpack(right.column("prints").to_pylist(), width))
         numbers, names = chunk.texts()
         langs = pa.array(chunk.langs, pa.large_string())
@@ -285,7 +297,7 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, least: int = 10) -> Da
     importable(spark)
     with scratch(spark) as put:
         chunks = put(docs.select("lang", "text").mapInArrow(_chunks, CHUNKS), "phrases-chunks")
-        size = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         most = max_words * size // 4  # about so many phrases, as a word and its gap have four bytes or more mostly
         bits = (most // BUCKET).bit_length()
         width = min(8, max(4, -(-(most.bit_length() + 8) // 8)))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,15 +91,13 @@ def test_fingerprints_that_clash(spark):
     rows = odd_rows()
     texts = [t for _, t in rows]
     data = "".join(t or "" for t in texts).encode()
-    row = {"langs": ["en"], "which": np.zeros(1, np.int32).tobytes(), "ends": np.array([len(data)]).tobytes(), "data": data}
-    chunk = collocations.Chunk(row)
+    table = pa.table({"chunk": [0], "lang": ["en"], "text": [data.decode()]})
+    chunk = collocations.Chunk(table)
     weak = lambda size, width: (chunk.prints(size, width)[0], chunk.prints(size, width)[1] % np.uint64(3))
     kept, collocations.Chunk = collocations.Chunk, lambda _: type("Weak", (), {**vars(chunk), "prints": staticmethod(weak), "texts": chunk.texts})
     try:
-        import pyarrow as pa
-
-        right = pa.table({"prints": [collocations.pack(np.arange(3, dtype=np.uint64), 8).tobytes()]})
-        written = collocations._written(pa.Table.from_pylist([{"chunk": 0, **row}]), right, 3, 0, 8)
+        right = pa.table({"prints": [collocations.pack(np.arange(3, dtype=np.uint64), 8)]})
+        written = collocations._written(table, right, 3, 0, 8)
         found = {(r["phrase"], r["words"]): r["a"] for r in collocations._added(written, 1).to_pylist()}
     finally:
         collocations.Chunk = kept
