@@ -68,22 +68,85 @@ def _parts(key: Column, length: Column) -> Column:
     return F.when(length >= 3, F.array(*segments(key, length))).otherwise(F.array(F.struct(F.lit(1).alias("start"), F.lit(0).alias("size"))))
 
 
-def near_keys(probes: DataFrame, keys: DataFrame, most: int = 2) -> DataFrame:
-    """(probe, key, dist) of all pairs within edit distance 2.
+#: Keys up to this length are found by forms that near texts share, longer ones by their parts.
+SHORT = 8
+#: A block of keys with more than this share of all is met in several parts; at most 1 / HOT blocks are.
+HOT = 0.001
+
+
+def removed(text: Column, count: int) -> Column:
+    """The distinct texts that are left when `count` of at least as many characters are removed."""
+    out = F.array(text)
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    for _ in range(count):
+        out = F.array_distinct(F.flatten(F.transform(out, one)))
+    return out
+
+
+def covered(text: Column) -> Column:
+    """The texts with two characters covered, for each pair of places; none of texts under two characters."""
+    n, cover = F.length(text), F.lit("\0")
+    at = lambda i, j: F.concat(F.substring(text, F.lit(1), i - 1), cover, F.substring(text, i + 1, j - i - 1), cover, F.substring(text, j + 1, n))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: at(i, j)))
+    return F.when(n >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
+
 
-    Blocking by segments: a key within distance 2 keeps one of its three segments unchanged, shifted by 2 at most. Keys
-    under 3 characters have one block for each length instead, which all probes of near lengths meet. Both sides are read once.
+def forms(text: Column) -> Column:
+    """(longer, form): forms that two texts within edit distance 2 share, one being `longer` by -2 to 2 characters than the other.
+
+    Of the same length, they are alike but for one character of each removed or two places covered; of lengths that differ by
+    one, but for two of the longer and one of the shorter; by two, but for two of the longer.
     """
+    n, none = F.length(text), F.array().cast("array<string>")
+    at_most = lambda k: F.when(n >= k, removed(text, k)).otherwise(removed(text, k - 1) if k > 1 else F.array(text))
+    of = {-2: F.array(text), -1: at_most(1), 0: F.concat(at_most(1), covered(text)), 1: F.when(n >= 1, at_most(2)).otherwise(none), 2: F.when(n >= 2, removed(text, 2)).otherwise(none)}
+    named = lambda d: lambda x: F.struct(F.lit(d).alias("longer"), x.alias("form"))
+    return F.flatten(F.array(*[F.transform(f, named(d)) for d, f in of.items()]))
+
+
+def met(asked: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """probe, key of asked and blocks rows that share `keys`, once each.
+
+    A block with more than HOT of all rows is dealt over slots by its keys' hash, and each probe that asks for it goes to all
+    of them: no task holds more of it. The few such blocks are broadcast.
+    """
+    sizes = blocks.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = blocks.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1))
+    large = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").filter(F.col("_n") > F.greatest(F.lit(100), F.col("_total") * HOT))
+    large = F.broadcast(large.select(*keys, F.ceil(F.col("_n") / F.greatest(F.lit(100), F.col("_total") * HOT)).cast("int").alias("_slots")))
+    slots = F.coalesce("_slots", F.lit(1))
+    held = blocks.join(large, keys, "left").withColumn("_slot", F.pmod(F.xxhash64("key"), slots).cast("int")).drop("_slots")
+    want = asked.join(large, keys, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots")
+    return want.join(held, [*keys, "_slot"]).select("probe", "key").distinct()
+
+
+def near_candidates(probes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(probe, key) of all pairs that may be within edit distance 2, and few others.
+
+    A longer key within the distance keeps one of its three segments unchanged, shifted by 2 at most. A short one shares a
+    form with the probe, so short keys have no blocks of one or two characters that much of an alphabet shares.
+    """
+    most = 2
     k = keys.select("key", F.length("key").alias("len"))
-    cut = k.select("key", "len", F.posexplode(_parts(F.col("key"), F.col("len"))).alias("seg", "at"))
+    cut = k.filter(F.col("len") > SHORT).select("key", "len", F.posexplode(_parts(F.col("key"), F.col("len"))).alias("seg", "at"))
     blocks = cut.select("key", "len", "seg", F.expr("substring(key, at.start, at.size)").alias("part"))
     p = probes.select("probe", F.length("probe").alias("plen"))
-    asked = p.select("probe", F.explode(F.sequence(F.greatest(F.lit(0), F.col("plen") - most), F.col("plen") + most)).alias("len"))
+    long = p.filter(F.col("plen") + most > SHORT)
+    asked = long.select("probe", F.explode(F.sequence(F.greatest(F.lit(SHORT + 1), F.col("plen") - most), F.col("plen") + most)).alias("len"))
     asked = asked.select("probe", "len", F.posexplode(_parts(F.col("probe"), F.col("len"))).alias("seg", "at"))
     asked = asked.select("probe", "len", "seg", "at", F.explode(F.expr(f"sequence(greatest(1, at.start - {most}), at.start + {most})")).alias("from"))
     asked = asked.select("probe", "len", "seg", F.expr("substring(probe, `from`, at.size)").alias("part")).distinct()
-    both = asked.join(blocks, ["len", "seg", "part"]).select("probe", "key").distinct()
-    return both.withColumn("dist", F.levenshtein("probe", "key", most)).filter("dist >= 0")
+    by_parts = met(asked, blocks, ["len", "seg", "part"])
+    short = k.filter(F.col("len") <= SHORT).select("key", "len", F.explode(forms(F.col("key"))).alias("f"))
+    short = short.select("key", "len", (F.col("len") - F.col("f.longer")).alias("plen"), "f.form")
+    rest = p.filter(F.col("plen") <= SHORT + most).select("probe", "plen", F.explode(forms(F.col("probe"))).alias("f"))
+    rest = rest.select("probe", (F.col("plen") - F.col("f.longer")).alias("len"), "plen", "f.form")
+    return by_parts.unionByName(met(rest, short, ["len", "plen", "form"]))
+
+
+def near_keys(probes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(probe, key, dist) of all pairs within edit distance 2."""
+    return near_candidates(probes, keys).withColumn("dist", F.levenshtein("probe", "key", 2)).filter("dist >= 0")
 
 
 def nearest_keys(probes: DataFrame, keys: DataFrame) -> DataFrame:
@@ -107,7 +170,9 @@ def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame,
     index = index_source(printings, cards)
     have = set(listings.columns)
     d = listings if "set_code" in have else listings.withColumn("set_code", F.lit(None).cast("string"))
-    d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": name_key(strip_variant(F.col("raw_name"))), "_foil": F.col("is_foil")})
+    told = [c for c in ("listing_seq", "item_id", "price", "store_id") if c in have]  # tell rows without a name apart
+    spread = F.xxhash64(*told) if told else F.monotonically_increasing_id()
+    d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": _or_nothing(name_key(strip_variant(F.col("raw_name"))), spread), "_foil": F.col("is_foil")})
 
     names = by_key(index)
     asked = d.filter("raw_name is not null").select("raw_name").distinct().select(name_key(strip_variant(F.col("raw_name"))).alias("_key")).distinct()

@@ -22,6 +22,22 @@ def median(price: Column | str) -> Column:
     return F.median(c.cast("double"))
 
 
+def counted_medians(d: DataFrame, by: list[str], value: str = "price_aud") -> DataFrame:
+    """by, low, high, median of `value`: the exact continuous median, as median() gives it, without a buffer of a group's values.
+
+    Equal values of a group are counted first, within tasks too, so that a group of any size comes down to its distinct
+    values, dealt over tasks; a running count then finds the one or two in the middle. Nulls don't count; groups of nulls
+    only have none.
+    """
+    counts = d.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    whole = W.partitionBy(*by)
+    run = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
+    holds = lambda rank: F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col(value).cast("double"))
+    first, second = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    out = run.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max(holds(first)).alias("_a"), F.max(holds(second)).alias("_b"))
+    return out.select(*by, "low", "high", (F.col("_a") * 0.5 + F.col("_b") * 0.5).alias("median"))
+
+
 def trend(now: Column, past: Column) -> Column:
     """up over past * 1.01, down under past * 0.99, else neutral; null without either price."""
     return F.when(now.isNull() | past.isNull(), None).when(now > past * 1.01, "up").when(now < past * 0.99, "down").otherwise("neutral")

@@ -93,32 +93,70 @@ def publish(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def duplicates(df: DataFrame, key: list[str], table: str) -> DataFrame:
-    d = df.groupBy(*key).count().filter("count > 1")
-    return d.agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), F.lit("duplicate key").alias("rule"), "n")
+#: The stored tables' rules: key, columns that may not be null, references (column to table).
+RULES = {
+    "cards": (["id"], ["id", "name", "type_line"], {}),
+    "printings": (["id"], ["id", "card_id", "set_code", "released_at"], {"card_id": "cards"}),
+    "stores": (["id"], [], {}),
+    "store_prices": ([], ["printing_id", "store_id", "price_aud", "price_type"], {"printing_id": "printings", "store_id": "stores"}),
+    "price_history": (HISTORY_KEY, [], {"printing_id": "printings", "store_id": "stores"}),
+}
 
 
-def orphans(df: DataFrame, column: str, parent: DataFrame, table: str) -> DataFrame:
-    d = df.filter(F.col(column).isNotNull()).join(parent.select(F.col("id").alias(column)), column, "left_anti")
-    return d.agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), F.lit(f"orphan {column}").alias("rule"), "n")
+def flagged(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per key of the table (per references, where it has no key) with the rows that break each rule: `duplicate key`, ...
 
-
-def nulls(df: DataFrame, columns: list[str], table: str) -> DataFrame:
-    d = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return d.select(F.explode(F.array(*[F.struct(F.lit(f"null {c}").alias("rule"), F.col(c).alias("n")) for c in columns])).alias("x")).select(F.lit(table).alias("table"), "x.rule", "x.n")
+    One pass. Where the key has the references, rows are counted by key first and what is left of them meets the ids that it
+    refers to; else each row does before it is counted.
+    """
+    key, required, references = RULES[name]
+    by = key or list(references)
+    first = set(references) <= set(by)
+    d = tables[name]
+    missing = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in required]
+    lost = [f"orphan {c}" for c in references]
+    if first:
+        d = d.groupBy(*by).agg(F.count("*").alias("_rows"), *missing)
+    for column, parent in references.items():
+        ids = tables[parent].select(F.col("id").alias(column)).filter(F.col(column).isNotNull()).distinct().withColumn("_there", F.lit(True))
+        d = d.join(ids, column, "left").withColumn(f"orphan {column}", F.when(F.col(column).isNotNull() & F.col("_there").isNull(), F.col("_rows") if first else F.lit(1)).otherwise(0)).drop("_there")
+    if not first:
+        d = d.groupBy(*by).agg(F.count("*").alias("_rows"), *missing, *[F.sum(f"`{c}`").alias(c) for c in lost])
+    return d.withColumn("duplicate key", (F.col("_rows") > 1).cast("long")) if key else d
+
+
+def rules(name: str) -> list[str]:
+    key, required, references = RULES[name]
+    return ["duplicate key"] * bool(key) + [f"orphan {c}" for c in references] + [f"null {c}" for c in required]
+
+
+def broken(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """table, rule, key (as JSON), n of what breaks a rule: a key that is there twice, or n rows with a null or lost reference."""
+    d = flagged(name, tables)
+    key, _, references = RULES[name]
+    by = key or list(references)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").cast("long").alias("n")) for r in rules(name)])).alias("x")
+    as_json = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    return d.select(as_json.alias("key"), each).filter("x.n > 0").select(F.lit(name).alias("table"), "x.rule", "key", "x.n")
+
+
+def quarantine(tables: dict[str, DataFrame]) -> DataFrame:
+    """broken() of all tables that are given and whose references are there."""
+    out = None
+    for name in RULES:
+        if name in tables and all(p in tables for p in RULES[name][2].values()):
+            out = broken(name, tables) if out is None else out.unionByName(broken(name, tables))
+    return out
 
 
 def integrity(cards: DataFrame, printings: DataFrame, stores: DataFrame, prices: DataFrame, history: DataFrame) -> DataFrame:
-    """table, rule, n: broken keys, references and nulls of the stored tables."""
-    checks = [
-        duplicates(cards, ["id"], "cards"), duplicates(printings, ["id"], "printings"), duplicates(stores, ["id"], "stores"),
-        duplicates(history, HISTORY_KEY, "price_history"), orphans(printings, "card_id", cards, "printings"),
-        orphans(prices, "printing_id", printings, "store_prices"), orphans(prices, "store_id", stores, "store_prices"),
-        orphans(history, "printing_id", printings, "price_history"), orphans(history, "store_id", stores, "price_history"),
-        nulls(cards, ["id", "name", "type_line"], "cards"), nulls(printings, ["id", "card_id", "set_code", "released_at"], "printings"),
-        nulls(prices, ["printing_id", "store_id", "price_aud", "price_type"], "store_prices"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    """table, rule, n: broken keys, references and nulls of the stored tables, 0 where all is well.
+
+    Each table is read once for its own rules, and its ids once for each table that refers to it. What is broken is counted
+    by one aggregation over all tables.
+    """
+    tables = {"cards": cards, "printings": printings, "stores": stores, "store_prices": prices, "price_history": history}
+    kept = [(name, rule) for name in RULES for rule in rules(name)]
+    all_rules = cards.sparkSession.createDataFrame(kept, "`table` string, rule string")
+    found = quarantine(tables).select("table", "rule", "n").unionByName(all_rules.withColumn("n", F.lit(0).cast("long")))
+    return found.groupBy("table", "rule").agg(F.sum("n").alias("n"))

@@ -67,10 +67,24 @@ def shop_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.to_json(F.struct(F.array(product).alias("products"))).alias("body"), F.col("id").alias("page"))
 
 
-def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
-    """The place of the catalogue landed as JSON lines, each with its `pos`."""
+def catalogue_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "catalogue_cards")
     finishes = F.when(F.col("finish_kind") == 0, F.array(F.lit("nonfoil"), F.lit("foil"))).when(F.col("finish_kind") == 1, F.array(F.lit("foil"), F.lit("etched"))).otherwise(F.array(F.lit("nonfoil")))
+    return d.select("pos", "id", "oracle_id", "name", "lang", "layout", "digital", "type_line", F.col("set_code").alias("set"), "set_name", "released_at", "collector_number", "rarity", finishes.alias("finishes"), F.struct(F.col("image").alias("normal")).alias("image_uris"), F.array(F.struct(F.struct(F.col("face_image").alias("normal")).alias("image_uris"))).alias("card_faces"), F.struct("usd", "usd_foil").alias("prices"))
+
+
+def catalogue_file(spark: SparkSession, sf_dir: str) -> str:
+    """The place of the catalogue landed as JSON lines, each with its `pos`."""
     path = fresh_path(spark, "catalogue")
-    d.select("pos", "id", "oracle_id", "name", "lang", "layout", "digital", "type_line", F.col("set_code").alias("set"), "set_name", "released_at", "collector_number", "rarity", finishes.alias("finishes"), F.struct(F.col("image").alias("normal")).alias("image_uris"), F.array(F.struct(F.struct(F.col("face_image").alias("normal")).alias("image_uris"))).alias("card_faces"), F.struct("usd", "usd_foil").alias("prices")).write.json(path)
+    catalogue_objects(spark, sf_dir).write.json(path)
+    return path
+
+
+def catalogue_array(spark: SparkSession, sf_dir: str) -> str:
+    """The place of the catalogue landed as one JSON array, an object to a line, over as many files as tasks have sorted it."""
+    path = fresh_path(spark, "catalogue-array")
+    d = catalogue_objects(spark, sf_dir)
+    lines = d.select("pos", F.concat(F.lit("  "), F.to_json(F.struct(*d.columns)), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(-(1 << 62), "["), (1 << 62, "]")], "pos long, value string")
+    lines.unionByName(ends).orderBy("pos").select("value").write.text(path)
     return path

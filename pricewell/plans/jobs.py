@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pricewell.functions.rules import MARKET_STORE
 from pricewell.operators import matching, quality, snapshots
 from pricewell.sources import catalogue, market
+from pricewell.sources.schemas import MARKET_PAGE
+from pricewell.sources.tables import broken_pages
 
 
 def refresh_catalogue(landed: DataFrame, cards: DataFrame | None = None, printings: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -47,7 +49,8 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
     """pages: body, card_name, search_rank of landed searches; searched: card_name, status.
 
     Old prices of successfully searched cards go, whatever the order of the searches; new matches, once per item, come.
-    Failed searches leave prices and log as they are. Unmatched listings are only added.
+    Failed searches leave prices and log as they are. Unmatched listings are only added. Pages that don't parse are in
+    `quarantine`, and their number is that table's.
     """
     found = market.items(pages)
     unique = market.first_seen(found, ["search_rank", "item_pos"])
@@ -65,4 +68,5 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
         "unmatched_cards": tables["unmatched_cards"].unionByName(unmatched, allowMissingColumns=True),
         "search_log": snapshots.upsert(tables["search_log"], log, ["card_name"], snapshots.LOG_REFRESH),
         "statistics": quality.run_statistics(found, judged, matched, counts),
+        "quarantine": broken_pages(pages, MARKET_PAGE),
     }

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import rules, text
-from pricewell.operators import matching, prices, published, quality, schedule, snapshots
+from pricewell.operators import matching, prices, published, quality, schedule, search, snapshots
 from pricewell.operators.published import Buckets, Months, Table
 from pricewell.plans import feeds, jobs
 from pricewell.plans.views import AS_OF, oracle, view
 from pricewell.sources import catalogue, market, store_a, store_b, tables
-from pricewell.sources.schemas import TABLES
+from pricewell.sources.schemas import MARKET_PAGE, TABLES
 from pricewell.storage import fresh_path
 from pricewell.streaming import ingest
 from pricewell.streaming import market as market_stream
@@ -529,6 +529,12 @@ def qry10_catalogue_printings(t):
     return catalogue.printing_rows(catalogue.read_catalogue(t.spark, feeds.catalogue_file(t.spark, t.sf_dir), lines=True, pos="pos")).drop("scryfall_uri")
 
 
+@query(sql=SQL["qry10_catalogue_printings"])
+def qry10_catalogue_array(t):
+    """From the catalogue as one JSON array, read by many tasks."""
+    return catalogue.printing_rows(catalogue.read_array(t.spark, feeds.catalogue_array(t.spark, t.sf_dir), "pos")[0]).drop("scryfall_uri")
+
+
 @query("store_prices stores", "SELECT * FROM store_prices WHERE store_id NOT IN (SELECT id FROM stores WHERE scraper_enabled) UNION ALL SELECT printing_id, store_id, CAST(price_aud * 2 AS DECIMAL(12,2)) AS price_aud, price_type, condition, in_stock FROM store_prices WHERE store_id IN (SELECT id FROM stores WHERE scraper_enabled) AND price_type = 'sell'")
 def snk1_replace_stores(t):
     ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
@@ -542,8 +548,11 @@ BATCH = f"SELECT CAST(l_partkey AS VARCHAR) AS printing_id, CAST(l_suppkey AS VA
 @query("price_history", f"""SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM price_history UNION ALL SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM (SELECT *, row_number() OVER (PARTITION BY printing_id, store_id, price_type, recorded_at ORDER BY listing_seq, price_aud) AS n FROM ({BATCH}) b) x
  WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM price_history h WHERE h.printing_id = x.printing_id AND h.store_id = x.store_id AND h.price_type = x.price_type AND h.recorded_at = x.recorded_at)""")
 def snk2_append_history(t):
-    batch = t.base("lineitem").select(F.col("l_partkey").cast("string").alias("printing_id"), F.col("l_suppkey").cast("string").alias("store_id"), F.lit("sell").alias("price_type"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("recorded_at"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price_aud"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_seq"))
-    return snapshots.append_history(t.price_history, batch)
+    return snapshots.append_history(t.price_history, history_batch(t))
+
+
+def history_batch(t: Tables) -> DataFrame:
+    return t.base("lineitem").select(F.col("l_partkey").cast("string").alias("printing_id"), F.col("l_suppkey").cast("string").alias("store_id"), F.lit("sell").alias("price_type"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("recorded_at"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price_aud"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_seq"))
 
 
 @query(MATCHING, MATCH + " SELECT store_id, raw_name, set_name AS raw_set_name, price AS raw_price FROM matched WHERE printing_id IS NULL")
@@ -801,3 +810,79 @@ def snk6_published_history(t):
     published.retain(made, AS_OF)
     made.clean()
     return snapshots.retained(made.read(), AS_OF)
+
+
+@query("cards printings finish_listings", MATCH.replace("FROM listings l", "FROM finish_listings l") + " SELECT * FROM matched")
+def jon6_other_finish(t):
+    """Names without set and number, in a finish that many of the cards lack: the level of the name alone."""
+    return matching.match_listings(t.finish_listings, t.printings, t.cards)
+
+
+@query("cards searches", """ SELECT query, literal, count(id) AS n, min(id) AS first_id FROM searches s LEFT JOIN cards c ON trim(query) <> '' AND (CASE WHEN literal THEN contains(lower(name), lower(query)) ELSE name ILIKE concat('%', query, '%') END) GROUP BY 1, 2""")
+def flt6_many_searches(t):
+    """Some thousand searches in one job."""
+    found = search.search_all(t.cards, t.searches).groupBy("query", "literal").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return t.searches.join(found, ["query", "literal"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("store_prices", f"""SELECT printing_id, price_type, min(price_aud) AS low, max(price_aud) AS high, round(quantile_cont({DBL}, 0.5), 4) AS median FROM store_prices GROUP BY 1, 2""")
+def agg2_counted_medians(t):
+    return prices.counted_medians(t.store_prices, ["printing_id", "price_type"]).withColumn("median", F.round("median", 4))
+
+
+@query("store_prices", f"SELECT price_type, min(price_aud) AS low, max(price_aud) AS high, round(quantile_cont({DBL}, 0.5), 4) AS median FROM store_prices GROUP BY 1")
+def agg2_market_medians(t):
+    """Of groups that hold half of all prices each."""
+    return prices.counted_medians(t.store_prices, ["price_type"]).withColumn("median", F.round("median", 4))
+
+
+@query("set_pages", """SELECT page_id, code, min(pos) - 1 AS pos FROM (SELECT page_id, unnest(h) AS code, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'magic_sets/([a-z0-9]+)', 1) AS h FROM set_pages) x) y GROUP BY 1, 2""")
+def src5_set_codes(t):
+    return store_a.set_codes(t.set_pages).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("cards", "SELECT 'cards' AS stored, (SELECT count(*) = 0 FROM cards) AS needed UNION ALL SELECT 'none yet', true")
+def agg19_needs_import(t):
+    """Whether each of two stored catalogues, the cards and one without a card, asks for an import."""
+    flags = [(name, catalogue.needs_import(d)) for name, d in (("cards", t.cards), ("none yet", t.cards.filter("name is null and id is not null")))]
+    return t.spark.createDataFrame(flags, "stored string, needed boolean")
+
+
+@query("price_history", f"""SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM price_history UNION ALL SELECT printing_id, store_id, price_type, recorded_at, price_aud FROM (SELECT *, row_number() OVER (PARTITION BY printing_id, store_id, price_type, recorded_at ORDER BY listing_seq, price_aud) AS n
+ FROM ({BATCH}) b WHERE recorded_at BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') x WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM price_history h WHERE h.printing_id = x.printing_id AND h.store_id = x.store_id AND h.price_type = x.price_type AND h.recorded_at = x.recorded_at)""")
+def snk2_append_days(t):
+    """A batch of two years to a history stored by month, of which the months of these years are read."""
+    made = Table(t.spark, fresh_path(t.spark, "price_history"), TABLES["price_history"], Months("recorded_at"))
+    made.append(t.price_history)
+    days = ("1995-01-01", "1996-12-31")
+    months = {p for p in made.version().parts if days[0][:7] <= p <= days[1][:7]}
+    made.append(snapshots.new_history(made.read(months), history_batch(t), days))
+    return made.read()
+
+
+@query("printings store_prices stores", FLAT + " AND set_name IN ('Brand#11', 'Brand#23', 'Brand#45') AND s.name IN (SELECT name FROM stores WHERE CAST(id AS BIGINT) % 3 = 0)")
+def qry12_filtered_table(t):
+    """Some sets and some shops."""
+    shops = [r[0] for r in t.stores.filter(F.col("id").cast("bigint") % 3 == 0).select("name").collect()]  # what a reader has ticked
+    return prices.price_table(flat(t), sets=["Brand#11", "Brand#23", "Brand#45"], shops=shops).select(*SHOWN)
+
+
+@query(sql=f"""WITH fresh AS ({SQL["qry10_catalogue_printings"]}), old AS (SELECT * FROM fresh WHERE ascii(right(replace(id, '_foil', ''), 1)) % 3 <> 0)
+ SELECT f.id, f.card_id, f.set_code, CASE WHEN o.id IS NULL THEN f.set_name ELSE 'as first seen' END AS set_name, f.released_at, f.collector_number, f.rarity, f.is_foil, f.image_uri, f.usd_price FROM fresh f LEFT JOIN old o ON o.id = f.id""")
+def qry10_refreshed_printings(t):
+    """A catalogue put over a stored one of two thirds of its printings: known printings take new prices and days, the rest stays."""
+    landed = catalogue.read_array(t.spark, feeds.catalogue_array(t.spark, t.sf_dir), "pos")[0]
+    known = catalogue.printing_rows(landed).filter(F.ascii(F.right(F.replace("id", F.lit("_foil"), F.lit("")), F.lit(1))) % 3 != 0)
+    old = known.withColumns({"set_name": F.lit("as first seen"), "usd_price": F.lit("0.01").cast("decimal(12,2)"), "released_at": F.lit("1900-01-01").cast("date")})
+    return jobs.refresh_catalogue(landed, catalogue.card_rows(landed), old)["printings"].drop("scryfall_uri")
+
+
+@query("market_finds", """ SELECT card_name, count(*) AS n, count(DISTINCT item_id) AS items FROM market_finds GROUP BY 1""")
+def src4_sound_and_broken_pages(t):
+    """The market's pages twice, once cut off in the middle: each lands in the items or in quarantine, and none in both."""
+    pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
+    cut = pages.withColumn("body", F.expr("left(body, length(body) div 2)"))
+    both = pages.unionByName(cut)
+    found = market.items(both).groupBy("card_name").agg(F.count("*").alias("n"), F.count_distinct("itemId").alias("items"))
+    lost = tables.broken_pages(both, MARKET_PAGE).groupBy("card_name").agg(F.count("*").alias("broken"))
+    return found.join(lost, "card_name", "full_outer").filter("n = broken").select("card_name", "n", "items")

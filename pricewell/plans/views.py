@@ -43,6 +43,15 @@ VIEWS = {
         FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey""",
 }
 
+# names of cards that are there in the other finish only, or in both
+VIEWS["finish_listings"] = f"""SELECT CAST(p_partkey AS BIGINT) AS listing_seq, {FULL_NAME} AS raw_name, CAST(NULL AS STRING) AS set_name, CAST(NULL AS STRING) AS collector_number,
+    (p_partkey % 3 <> 0) AS is_foil, (p_partkey % 2 = 0) AS is_borderless, CAST(p_retailprice AS DECIMAL(12,2)) AS price, 'x' AS store_id FROM {{part}}"""
+VIEWS["searches"] = """SELECT DISTINCT query, literal FROM (SELECT split_part(p_name, ' ', 2) AS query, false AS literal FROM {part}
+    UNION ALL SELECT substring(p_type, 1, 2) AS query, true AS literal FROM {part} UNION ALL SELECT concat(substring(p_type, 2, 3), '%', substring(p_name, 1, 1)) AS query, false AS literal FROM {part}
+    UNION ALL SELECT concat(upper(substring(p_name, 1, 4)), '_', substring(p_name, 6, 2)) AS query, (p_partkey % 2 = 0) AS literal FROM {part}
+    UNION ALL SELECT substring(p_brand, 1, 1) AS query, true AS literal FROM {part} UNION ALL SELECT '%' AS query, false AS literal FROM {part} UNION ALL SELECT ' ' AS query, false AS literal FROM {part}) x"""
+VIEWS["set_pages"] = """SELECT p_partkey AS page_id, concat('<a href="/magic_sets/', lower(replace(p_brand, '#', '')), '">', p_name, '</a> <a href="/magic_sets/M', CAST(p_size AS STRING), '"> <a href="/magic_sets/m',
+    CAST(p_size AS STRING), '/foil"> <a href="/magic_sets/', lower(replace(p_brand, '#', '')), '#top">') AS html FROM {part}"""
 VIEWS["all_listings"] = VIEWS["listings"]
 
 

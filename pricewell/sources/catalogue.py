@@ -19,6 +19,23 @@ def read_catalogue(spark: SparkSession, path: str, lines: bool = False, pos: str
     return reader.json(path).withColumnRenamed(pos, "pos") if pos else reader.json(path).withColumn("pos", F.monotonically_increasing_id())
 
 
+def read_array(spark: SparkSession, path: str, pos: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cards, broken lines) of a JSON array that has its objects on lines of their own, or several to a line.
+
+    Many tasks read one file, as its lines are split anywhere; the array's brackets and commas are taken off each line. A line
+    that holds something else than whole objects, such as a piece of an object written over several lines, is in the second
+    table: its text and file. An array written like that is for read_catalogue(), by one task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_line"))
+    bare = F.regexp_replace(F.regexp_replace("value", r"^[\s﻿]*\[?[\s,]*", ""), r"[\s,]*\]?\s*$", "")
+    whole = f"array<struct<{CATALOGUE_CARD}" + (f", {pos} BIGINT>>" if pos else ">>")
+    d = lines.withColumn("_bare", bare).filter("_bare <> ''").withColumn("_cards", F.from_json(F.concat(F.lit("["), "_bare", F.lit("]")), whole))
+    sound = F.col("_bare").startswith("{") & F.col("_cards").isNotNull() & ~F.exists("_cards", lambda c: c.isNull())
+    each = d.filter(F.coalesce(sound, F.lit(False))).select("_line", F.posexplode("_cards").alias("_place", "c"))
+    cards = each.select("c.*").withColumnRenamed(pos, "pos") if pos else each.select("c.*", F.struct("_line", "_place").alias("pos"))
+    return cards, d.filter(~F.coalesce(sound, F.lit(False))).select("file", F.col("value").alias("line"))
+
+
 def needs_import(cards: DataFrame) -> bool:
     """Whether the stored catalogue is empty, as on a first run."""
     return cards.isEmpty()

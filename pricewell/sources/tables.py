@@ -32,6 +32,18 @@ def landed_page(df: DataFrame, body: str) -> Column:
     return F.col("page").cast("bigint") if "page" in df.columns else F.pmod(F.xxhash64(body), F.lit(1 << 40))
 
 
+def broken_pages(pages: DataFrame, schema: str, body: str = "body") -> DataFrame:
+    """The landed pages whose text is no JSON object of the schema, whole and with the reason: what a quarantine table gets.
+
+    An adapter gives no rows for them. A page without items, such as {}, is sound; a null or blank one is empty.
+    """
+    corrupt = "_corrupt_record"
+    parsed = F.from_json(F.col(body), f"{schema}, {corrupt} STRING", {"columnNameOfCorruptRecord": corrupt})
+    blank = F.trim(F.coalesce(F.col(body), F.lit(""))) == ""
+    reason = F.when(blank, "empty").when(parsed.isNull() | parsed[corrupt].isNotNull(), "not JSON of a page")
+    return pages.select("*", reason.alias("reason")).filter("reason is not null")
+
+
 def arrival(page: Column, position: Column) -> Column:
     """listing_seq by page and position on it (below a million)."""
     return (page * 1_000_000 + position).cast("bigint")

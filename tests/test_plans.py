@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pricewell.functions import rules, text
 from pricewell.operators import matching, prices, schedule, snapshots
 from pricewell.plans import feeds
-from pricewell.sources import catalogue, store_a, store_b
-from pricewell.sources.schemas import TABLES
+from pricewell.sources import catalogue, market, store_a, store_b, tables
+from pricewell.sources.schemas import MARKET_PAGE, STORE_A_PAYLOAD, STORE_B_PAGE, TABLES
 
 HISTORY = TABLES["price_history"]
 
@@ -139,3 +139,57 @@ def test_local_landing_folder_is_for_local_mode_only(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         feeds.landing_dir(Far)
+
+
+def test_a_json_array_is_read_by_lines(spark, tmp_path):
+    """The rows of multiLine, from many tasks; what is no whole object is reported, not lost."""
+    cards = [{"id": f"c{k}", "oracle_id": f"o{k}", "name": f'a "[{k}]", {{x}},]', "lang": "en", "digital": False, "finishes": ["foil"], "prices": {"usd": "1.00"}, "legalities": {"a": "b"}} for k in range(3_000)]
+    (tmp_path / "c.json").write_text("[\n" + ",\n".join("  " + json.dumps(c) for c in cards) + "\n]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got, broken = catalogue.read_array(spark, str(tmp_path / "c.json"))
+        assert got.rdd.getNumPartitions() > 4
+        whole = catalogue.read_catalogue(spark, str(tmp_path / "c.json"))
+        assert sorted(map(repr, got.drop("pos").collect())) == sorted(map(repr, whole.drop("pos").collect())) and broken.isEmpty()
+        assert [r["id"] for r in got.orderBy("pos").collect()] == [c["id"] for c in cards]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(("text", "ids", "broken"), [
+    ('[{"id":"a"},{"id":"b"}]', ["a", "b"], 0), ('[{"id":"a"},\n{"id":"b"\n},\n{"id":"c"}]', ["a", "c"], 2), ("[]", [], 0), ("[\n\n]\n", [], 0),
+    ('[\n{"id":"a"},\n7,\n"x",\n{"id":"b"},\n]', ["a", "b"], 2), ('﻿[ {"id":"a"} ]', ["a"], 0), ('[{"id":"a"}\n,{"id":"b"}\n]', ["a", "b"], 0), ('[null,\n{"id":"b"}]', ["b"], 1),
+])
+def test_odd_json_arrays(spark, tmp_path, text, ids, broken):
+    (tmp_path / "c.json").write_text(text, encoding="utf-8")
+    got, lines = catalogue.read_array(spark, str(tmp_path / "c.json"))
+    assert [r["id"] for r in got.orderBy("pos").collect()] == ids and lines.count() == broken
+
+
+def test_broken_pages_go_to_quarantine(spark):
+    """Pages that don't parse are kept whole with the reason; sound ones, those without items too, are not."""
+    sound = ['{"itemSummaries": []}', "{}", '{"itemSummaries": [{"itemId": "a", "title": "t"}]}', '{"other": 1}']
+    bad = ['{"itemSummaries": [{"itemId": "a"', "<html>", "[1]", "", "  ", None, '{"itemSummaries": 3}']
+    pages = spark.createDataFrame([(k, b) for k, b in enumerate(sound + bad)], "page int, body string")
+    got = {r["page"]: r["reason"] for r in tables.broken_pages(pages, MARKET_PAGE).collect()}
+    assert set(got) == set(range(4, 11)) and sorted(got.values()).count("empty") == 3
+    assert market.items(pages).count() == 1
+    for schema, body in ((STORE_A_PAYLOAD, '{"uuid_data": {}}'), (STORE_B_PAGE, '{"products": []}')):
+        two = spark.createDataFrame([(body,), (body[:-3],)], "body string")
+        assert [r["body"] for r in tables.broken_pages(two, schema).collect()] == [body[:-3]]
+
+
+def test_integrity_counts_what_is_broken(spark):
+    """Every rule against plain counts; one scan of a table for its own rules; the rows themselves in quarantine."""
+    cards = spark.createDataFrame([("a", "A", "x"), ("a", "B", None), (None, None, "x")], "id string, name string, type_line string")
+    day = F.lit("2001-01-01").cast("date")
+    printings = spark.createDataFrame([("1", "a", "s"), ("1", "lost", "s"), ("2", None, None), ("3", "lost", "s")], "id string, card_id string, set_code string").withColumn("released_at", day)
+    stores = spark.createDataFrame([("s",), ("t",)], "id string")
+    prices_ = spark.createDataFrame([("1", "s", 1), ("9", "s", 1), ("9", "u", None), (None, "t", 2)], "printing_id string, store_id string, price_aud int").withColumn("price_type", F.lit("sell"))
+    h = spark.createDataFrame([("1", "s"), ("1", "s"), ("9", "s"), ("9", "s"), ("2", "zz")], "printing_id string, store_id string").withColumns({"price_type": F.lit("sell"), "recorded_at": day})
+    got = {(r["table"], r["rule"]): r["n"] for r in snapshots.integrity(cards, printings, stores, prices_, h).collect()}
+    want = {("cards", "duplicate key"): 1, ("cards", "null id"): 1, ("cards", "null name"): 1, ("cards", "null type_line"): 1, ("printings", "duplicate key"): 1, ("printings", "orphan card_id"): 2, ("printings", "null card_id"): 1, ("printings", "null set_code"): 1, ("store_prices", "orphan printing_id"): 2, ("store_prices", "orphan store_id"): 1, ("store_prices", "null printing_id"): 1, ("store_prices", "null price_aud"): 1, ("price_history", "duplicate key"): 2, ("price_history", "orphan printing_id"): 2, ("price_history", "orphan store_id"): 1}
+    assert {k: n for k, n in got.items() if n} == want and len(got) == 20
+    rows = {(r["table"], r["rule"], r["key"], r["n"]) for r in snapshots.quarantine({"cards": cards, "printings": printings, "stores": stores, "store_prices": prices_, "price_history": h}).collect()}
+    assert ("printings", "orphan card_id", '{"id":"3"}', 1) in rows and ("store_prices", "orphan printing_id", '{"printing_id":"9","store_id":"u"}', 1) in rows
