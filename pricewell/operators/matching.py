@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,24 +162,26 @@ def _or_nothing(key: Column, spread: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(spread), F.lit(1_000)).cast("string")))
 
 
-def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame, min_confidence: float = 0.0, aliases: bool = False) -> DataFrame:
+def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame, min_confidence: float = 0.0, aliases: bool = False, publish: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The listings plus printing_id, match_type and confidence.
 
     Levels in order: set_collector, exact, name_foil, name_only, fuzzy, unmatched; the first that hits decides. Matches
     under min_confidence count as unmatched. Name keys that the catalogue lacks are resolved once each, to the nearest key
-    that it has, so that a listing meets all levels of its name in one join.
+    that it has, so that a listing meets all levels of its name in one join. publish (table, name) -> table, where given,
+    writes the index and its names once, as several levels use them.
     """
-    index = index_source(printings, cards)
+    put = publish or (lambda d, _: d)
+    index = put(index_source(printings, cards), "index")
     have = set(listings.columns)
     d = listings if "set_code" in have else listings.withColumn("set_code", F.lit(None).cast("string"))
     told = [c for c in ("listing_seq", "item_id", "price", "store_id") if c in have]  # tell rows without a name apart
     spread = F.xxhash64(*told) if told else F.monotonically_increasing_id()
     d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": _or_nothing(name_key(strip_variant(F.col("raw_name"))), spread), "_foil": F.col("is_foil")})
 
-    names = by_key(index)
+    names = put(by_key(index), "names")
     asked = d.filter("raw_name is not null").select("raw_name").distinct().select(name_key(strip_variant(F.col("raw_name"))).alias("_key")).distinct()
-    unknown = asked.join(names.select("_key"), "_key", "left_anti")
-    near = nearest_keys(unknown.select(F.col("_key").alias("probe")), names.select(F.col("_key").alias("key")))
+    unknown = put(asked.join(names.select("_key"), "_key", "left_anti").select(F.col("_key").alias("probe")), "unknown")
+    near = nearest_keys(unknown, names.select(F.col("_key").alias("key")))
     guessed = near.join(names.withColumnRenamed("_key", "near"), "near").withColumnRenamed("probe", "_key").drop("near")
     known = names.withColumn("dist", F.lit(None).cast("int")).unionByName(guessed)
 

@@ -5,6 +5,8 @@ Every query runs for all cards at once; a caller who wants one card filters by i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,11 +101,15 @@ def last_day_mean(history: DataFrame, key: str, lag_days: int = 0) -> DataFrame:
     return days.groupBy(key).agg(F.max_by(F.col("s") / F.nullif("n", F.lit(0)), "recorded_at").alias("past_price"))
 
 
-def search(cards: DataFrame, printings: DataFrame, store_prices: DataFrame, history: DataFrame, query: str) -> DataFrame:
-    """id, name, type_line, printing_count, image_uri, market_price, trend of the cards found."""
+def search(cards: DataFrame, printings: DataFrame, store_prices: DataFrame, history: DataFrame, query: str, publish: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """id, name, type_line, printing_count, image_uri, market_price, trend of the cards found.
+
+    publish (table, name) -> table, where given, writes the found cards' cheapest printings once, as both prices and history use them.
+    """
     found = find_cards(cards, query)
     mine = printings.join(found.select(F.col("id").alias("card_id")), "card_id", "left_semi")
     best = cheapest_printings(mine, store_prices)
+    best = publish(best, "best") if publish else best
     past = last_day_mean(history.join(best.select("printing_id"), "printing_id", "left_semi"), "printing_id")
     best = best.join(past, "printing_id", "left").select(F.col("card_id").alias("id"), "market_price", trend(F.col("market_price"), F.col("past_price")).alias("trend"))
     images = newest_images(mine).withColumnRenamed("card_id", "id")
@@ -229,10 +235,15 @@ def top_printings(daily: DataFrame, most: int = MOST_PRINTINGS) -> DataFrame:
 
 
 def price_pivot(daily: DataFrame, most: int = MOST_PRINTINGS) -> DataFrame:
-    """card_id, day, p1..p8: a row per day, a column for each of the card's top printings, gaps null."""
-    d = daily.join(top_printings(daily, most).select("printing_id", "place"), "printing_id")
-    out = d.groupBy("card_id", "day").pivot("place", list(range(1, most + 1))).agg(F.first("price"))
-    return out.withColumnsRenamed({str(k): f"p{k}" for k in range(1, most + 1)})
+    """card_id, day, p1..p8: a row per day, a column for each of the card's top printings, gaps null.
+
+    The days of a printing are gathered, as many as its history keeps, so that the daily prices are worked out once both for
+    the order of the printings and for their columns.
+    """
+    each = daily.groupBy("card_id", "printing_id").agg(F.collect_list(F.struct("day", "price")).alias("data")).filter(F.size("data") >= 2)
+    place = F.row_number().over(W.partitionBy("card_id").orderBy(F.desc(F.size("data")), "printing_id"))
+    d = each.withColumn("place", place).filter(F.col("place") <= most).select("card_id", "place", F.explode("data").alias("x")).select("card_id", "place", "x.*")
+    return d.groupBy("card_id", "day").agg(*[F.min(F.when(F.col("place") == k, F.col("price"))).alias(f"p{k}") for k in range(1, most + 1)])
 
 
 def chart_ranges(series: DataFrame) -> DataFrame:

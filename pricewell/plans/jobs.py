@@ -35,7 +35,7 @@ def _as_it_is(df: DataFrame, name: str) -> DataFrame:
 
 def refresh_stores(listings: DataFrame, tables: dict[str, DataFrame], ran: DataFrame, day: str, publish: Publish = _as_it_is) -> dict[str, DataFrame]:
     """listings carry store_id; ran has the store_id of every store that ran, those without listings included."""
-    matched = publish(matching.match_listings(listings, tables["printings"], tables["cards"]), "matched")
+    matched = publish(matching.match_listings(listings, tables["printings"], tables["cards"], publish=publish), "matched")
     prices, history, unmatched = matching.split_matches(matched, day)
     return {
         "store_prices": snapshots.replace_store(tables["store_prices"], prices, ran),
@@ -56,7 +56,7 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
     unique = market.first_seen(found, ["search_rank", "item_pos"])
     judged = publish(market.judged(unique), "judged")
     kept = market.kept(judged).withColumn("store_id", F.lit(MARKET_STORE)).withColumn("listing_seq", F.col("search_rank") * 1_000_000 + F.col("item_pos"))
-    matched = publish(matching.match_listings(kept, tables["printings"], tables["cards"]), "matched")
+    matched = publish(matching.match_listings(kept, tables["printings"], tables["cards"], publish=publish), "matched")
     prices, history, unmatched = matching.split_matches(matched, day)
     ok = searched.filter("status = 'ok'")
     counts = ok.join(found.select("card_name", "itemId"), "card_name", "left").groupBy("card_name").agg(F.count("itemId").cast("int").alias("n"))

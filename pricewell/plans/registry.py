@@ -75,7 +75,7 @@ READ = "cards printings store_prices price_history"
 
 @query(READ, SEARCH)
 def qry1_card_search(t):
-    return prices.search(t.cards, t.printings, t.store_prices, t.price_history, "ring").withColumn("market_price", F.round("market_price", 4))
+    return prices.search(t.cards, t.printings, t.store_prices, t.price_history, "ring", publisher(t)).withColumn("market_price", F.round("market_price", 4))
 
 
 @query(READ, SEARCH + " ORDER BY c.name, c.id LIMIT 20 OFFSET 20")
@@ -301,7 +301,7 @@ MATCHING = "cards printings listings"
 
 
 def matched(t: Tables) -> DataFrame:
-    return matching.match_listings(t.listings, t.printings, t.cards)
+    return matching.match_listings(t.listings, t.printings, t.cards, publish=publisher(t))
 
 
 @query(MATCHING, MATCH + " SELECT * FROM matched")
@@ -316,7 +316,7 @@ def qry7_match_all_listings(t):
 
 @query("cards", rf"""SELECT probe, key, dist FROM (SELECT a.p AS probe, b.k AS key, levenshtein(a.p, b.k) AS dist FROM (SELECT DISTINCT replace({_key('name')}, 'a', '') AS p FROM cards) a JOIN (SELECT DISTINCT {_key('name')} AS k FROM cards) b ON abs(length(a.p) - length(b.k)) <= 2) x WHERE dist <= 2""")
 def jon7_near_keys(t):
-    keys = t.cards.select(text.name_key(F.col("name")).alias("key")).distinct()
+    keys = publisher(t)(t.cards.select(text.name_key(F.col("name")).alias("key")).distinct(), "keys")
     return matching.near_keys(keys.select(F.replace("key", F.lit("a"), F.lit("")).alias("probe")).distinct(), keys).withColumn("dist", F.col("dist").cast("bigint"))
 
 
