@@ -35,19 +35,31 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def layout(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", also: dict[str, Column] | None = None) -> DataFrame:
     """file, page_id, offset, length, sha256 of every page's record, and the columns of `also`, made from the page.
 
-    Files take about PER_FILE records by a hash of id and address; within a file records are ordered by id, null first, then
+    Files take about PER_FILE records by a hash of id and address, which goes over all files for pages that repeat
+    (of pages of the same id and address the first is placed by these alone, the others by their number too); within a file records are ordered by id, null first, then
     hash. Nulls count as empty; repeated pages have a record each; other columns of pages are left out; an empty table gives
     no rows. Only hashes, lengths and `also` are shuffled.
     """
     n = max(1, -(-pages.count() // PER_FILE))
     whole = record(F.col(page_id), F.col(url), F.col(html))
-    d = pages.select(F.col(page_id).cast("long").alias("page_id"), _file(F.col(page_id), F.col(url), n).alias("file"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha256"), *[c.alias(k) for k, c in (also or {}).items()])
+    d = pages.select(F.col(page_id).cast("long").alias("page_id"), _place(F.col(page_id), F.col(url)).alias("_place"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha256"), *[c.alias(k) for k, c in (also or {}).items()])
+    d = _each_copy(d).withColumn("file", _file(F.col("_place"), F.col("_copy"), n))
     before = W.partitionBy("file").orderBy(F.asc_nulls_first("page_id"), "sha256").rowsBetween(W.unboundedPreceding, -1)
     return d.select("file", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256", *(also or {}))
 
 
-def _file(page_id: Column, url: Column, files: int) -> Column:
-    key = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("long").cast("string"), F.lit("")), F.coalesce(url, F.lit(""))))
+def _place(page_id: Column, url: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(page_id.cast("long").cast("string"), F.lit("")), F.coalesce(url, F.lit(""))))
+
+
+def _each_copy(d: DataFrame) -> DataFrame:
+    """d with _copy: 0, 1 and so on for rows that are alike. They are counted, within tasks first, and dealt out again."""
+    return d.groupBy(*d.columns).agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+
+
+def _file(place: Column, copy: Column, files: int) -> Column:
+    """The first of pages alike goes by its id and address, the others by their number too."""
+    key = F.when(copy == 0, place).otherwise(F.md5(F.concat_ws("|", place, copy.cast("string"))))
     return (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % files).cast("int")
 
 
@@ -58,7 +70,8 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     """
     n = max(1, -(-pages.count() // PER_FILE))
     whole = record(F.col(page_id), F.col(url), F.col(html))
-    d = pages.select(_file(F.col(page_id), F.col(url), n).alias("file"), F.col(page_id).cast("long").alias("_id"), F.sha2(whole, 256).alias("_sha"), whole.alias("value"))
+    d = _each_copy(pages.select(_place(F.col(page_id), F.col(url)).alias("_place"), F.col(page_id).cast("long").alias("_id"), whole.alias("value")))
+    d = d.select(_file(F.col("_place"), F.col("_copy"), n).alias("file"), "_id", F.sha2("value", 256).alias("_sha"), "value")
     # the writer ends each value with END, so the record goes without its own
     d = d.repartition("file").sortWithinPartitions("file", F.asc_nulls_first("_id"), "_sha").select("file", F.expr(f"left(value, length(value) - {len(END)})").alias("value"))
     d.write.partitionBy("file").option("lineSep", END).text(path)

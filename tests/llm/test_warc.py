@@ -81,3 +81,16 @@ def test_files_hold_the_layout_and_show_damage(spark, tmp_path, monkeypatch):
     file.write_bytes(bytes(data))
     found = warc.audit(kept, warc.manifest(spark, path)).collect()
     assert [(r["file"], r["offset"], r["status"]) for r in found] == [(hit["file"], hit["offset"], "changed")]
+
+
+def test_pages_alike_go_over_all_files(spark, monkeypatch, tmp_path):
+    """Equal pages fill files like others do, and the files written have the places of the layout."""
+    monkeypatch.setattr(warc, "PER_FILE", 100)
+    d = spark.range(1_000).select(F.lit(7).alias("page_id"), F.lit("http://a").alias("url"), F.lit("same").alias("html"))
+    d = d.unionByName(spark.range(200).select(F.col("id").cast("int").alias("page_id"), F.lit("http://b").alias("url"), F.col("id").cast("string").alias("html"))).repartition(3)
+    made = warc.layout(d)
+    sizes = [r["count"] for r in made.groupBy("file").count().collect()]
+    assert sum(sizes) == 1_200 and len(sizes) == 12 and max(sizes) < 180
+    warc.write(d, str(tmp_path / "w"))
+    place = lambda x: sorted((r["file"], r["offset"], r["length"], r["sha256"]) for r in x.collect())
+    assert place(warc.manifest(spark, str(tmp_path / "w"))) == place(made)
