@@ -94,22 +94,23 @@ def train(x: np.ndarray, books: int, size: int, beam: int = 4, rounds: int = 6,
     return out
 
 
-#: Vectors of a length that fewer rows share are compared exactly, without codes.
-LEAST_ROWS = 512
+#: Lengths of fewer rows are compared exactly, without codes, where no other number is asked for: none.
+LEAST_ROWS = 0
 
 
-def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 16_000, beam: int = 4) -> dict[int, Codebooks]:
+def fit(vectors: DataFrame, books: int = 16, size: int = 64, max_rows: int = 16_000, beam: int = 4, exact_under: int | None = None) -> dict[int, Codebooks]:
     """Codebooks by vector length, each from about max_rows rows of valid() at most, taken by the hash of the row.
 
-    Lengths of fewer than LEAST_ROWS rows have none; an empty table gives none.
+    A length of few rows has codebooks of fewer words, an eighth of its rows but two at least. Lengths of fewer than
+    exact_under rows (LEAST_ROWS by default) have no codebooks and are compared exactly; an empty table gives none.
     """
-    out = {}
-    for r in vectors.groupBy("n").count().filter(F.col("count") >= LEAST_ROWS).orderBy("n").collect():
+    out, least = {}, LEAST_ROWS if exact_under is None else exact_under
+    for r in vectors.groupBy("n").count().filter(F.col("count") >= least).orderBy("n").collect():
         share = min(1.0, max_rows / r["count"])
         mine = vectors.filter((F.col("n") == r["n"]) & (F.pmod(F.col("row"), F.lit(1 << 30)) < int(share * (1 << 30))))
         got = mine.select("row", "vec").toArrow().sort_by("row")
         if got.num_rows:
-            out[r["n"]] = train(matrix(got.column("vec")), books, size, beam)
+            out[r["n"]] = train(matrix(got.column("vec")), books, min(size, max(2, r["count"] // 8)), beam)
     return out
 
 
