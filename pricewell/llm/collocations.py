@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricewell.llm import shingles
 from pricewell.llm.common import importable, scratch, stored
-from pricewell.llm.shingles import INVERSE, LOWER, STEP, mix
+from pricewell.llm.shingles import LOWER, mix
 
-U, ALL = np.uint64, (1 << 64) - 1
+U = np.uint64
 #: Bytes of text of a chunk, phrases of a bucket, bytes or words hashed at once.
 CHUNK, BUCKET, BLOCK = 4 << 20, 4 << 20, 1 << 20
 #: Phrases of a language that are ranked together are the best of so many parts.
@@ -42,19 +43,6 @@ BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 GAP = BREAK.copy()
 GAP[[32, 9]] = True
 
-_tables: list[np.ndarray] = []
-
-
-def powers() -> list[np.ndarray]:
-    """STEP^i and STEP^-i modulo 2^64 for the places of a block: 16 MB for each worker."""
-    if not _tables:
-        for base in (STEP, INVERSE):
-            a = np.full(BLOCK + MOST_WORDS, base, U)
-            a[0] = 1
-            _tables.append(np.multiply.accumulate(a))
-    return _tables
-
-
 def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end, document, piece) of each word of the bytes of documents that end at `ends`."""
     inside = ~GAP[data]
@@ -70,29 +58,9 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return first, last, doc, np.searchsorted(np.flatnonzero(BREAK[data]), first) + doc
 
 
-def word_prints(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Fingerprint of each word in lower case: the difference of two prefix polynomials, moved to place 0."""
-    up, down = powers()
-    out, total = np.zeros(len(first), U), 0
-    for at in range(0, len(data), BLOCK):
-        part = LOWER[data[at : at + BLOCK]].astype(U) + U(1)
-        sums = np.zeros(len(part) + 1, U)
-        np.cumsum(part * up[: len(part)], out=sums[1:])
-        sums = sums * U(pow(STEP, at, ALL + 1)) + U(total)
-        a, b = np.searchsorted(first, [at, at + BLOCK])
-        out[a:b] -= sums[first[a:b] - at]
-        c, d = np.searchsorted(last, [at, at + BLOCK], "right")
-        out[c:d] += sums[last[c:d] - at]
-        total = int(sums[-1])
-    for at in range(0, len(data), BLOCK):
-        a, b = np.searchsorted(first, [at, at + BLOCK])
-        out[a:b] *= down[first[a:b] - at] * U(pow(INVERSE, at, ALL + 1))
-    return mix(out + (last - first).astype(U))
-
-
 def phrase_prints(words: np.ndarray, piece: np.ndarray, salt: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, fingerprint) of each phrase of `size` words within a piece; salt tells the languages of words apart."""
-    up, down = powers()
+    up, down = shingles.powers(BLOCK + MOST_WORDS)
     n = max(0, len(words) - size + 1)
     begin = np.flatnonzero(piece[:n] == piece[size - 1 :]) if n else np.zeros(0, np.int64)
     out = np.zeros(len(begin), U)
@@ -164,7 +132,7 @@ class Chunk:
         self.langs = langs.dictionary.to_pylist()
         self.first, self.last, doc, self.piece = spans(self.data, offsets[1:] - offsets[0])
         self.lang = langs.indices.to_numpy()[doc]
-        self.words = word_prints(self.data, self.first, self.last)
+        self.words = shingles.word_hashes(self.data, self.first, self.last)
         salts = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs]
         self.salt = np.array(salts, U)[self.lang]
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricewell.storage import filed, shared_dir
 
 #: A word: a run of characters other than the ASCII white space of these six codes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,27 +39,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a folder of our own in local mode, whose driver and executors are one process; an error elsewhere.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pricewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def filed(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read back, which cuts the lineage.
 
@@ -181,6 +162,20 @@ def copies(df: DataFrame, key: str, out: str = "_copy") -> DataFrame:
     return d.join(offsets.drop("_n"), same(d, offsets, [key, "_part"])).select(*[d[c] for c in df.columns], (F.col("_n") + F.col("_before")).alias(out))
 
 
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark can compare values of a type: not maps, variants and intervals of the calendar, nor what holds these."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def in_order(d: DataFrame) -> Column:
+    """A struct that orders the rows by their columns; those that Spark cannot compare by their JSON."""
+    return F.struct(*[F.col(f"`{f.name}`") if orderable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))).alias(f.name) for f in d.schema.fields])
+
+
 def env_path(name: str) -> str:
     """Place of a public tokenizer file."""
     try:

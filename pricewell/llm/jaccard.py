@@ -308,16 +308,21 @@ def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return out.select("doc_id", F.coalesce("key", F.lit(0).cast("long")).alias("key"), "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _key, the key that members() gives the row's text; 0 for texts without shingles."""
+def keyed(docs: DataFrame, text: str = "text", out: str = "_key") -> DataFrame:
+    """docs with `out`, the key that members() gives the row's text; 0 for texts without shingles, null ones too.
+
+    The other columns stay as they are; `out` must be none of them, as a ValueError says.
+    """
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out}")
     importable(docs.sparkSession)
 
     def run(batches):
         for part in in_chunks(batches):
             keys = set_keys(*sets(part.column(part.schema.get_field_index(text))))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*part.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*part.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:

@@ -100,7 +100,13 @@ def mix(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "t
     return taken(joined.filter(~some), whole).unionByName(taken(copies(part, "_mix_group", "_mix_copy"), F.col("_mix_copy") < F.col("_mix_n")))
 
 
-def mixed_rows(docs: DataFrame, **columns: str) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    rows = mix(docs, cuts(docs, **columns), **columns).filter("_copies > 0")
-    return rows.withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **knobs) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns as they are, whatever these are called.
+
+    Null ids, texts (of size 0) and sources (a source of their own) are as in mix(); an empty table gives no rows.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no column has one of the names that are used on the way
+    at = {k: f"c{names.index(c)}" for k, c in (("doc_id", doc_id), ("text", text), ("source", source))}
+    rows = mix(plain, cuts(plain, **at, **knobs), **at).filter("_copies > 0")
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*plain.columns).toDF(*names)

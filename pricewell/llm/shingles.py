@@ -18,21 +18,26 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
+#: Tables up to this many powers are kept in a worker.
+KEPT = 1 << 21
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP^i and STEP^-i modulo 2^64 for i < n."""
     size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
+    if size in _powers:
+        return _powers[size]
+    made = []
+    for base in (STEP, INVERSE):
+        a = np.full(size, base, U)
+        a[0] = 1
+        made.append(np.multiply.accumulate(a))
+    if size <= KEPT:
         _powers.clear()
-        made = []
-        for base in (STEP, INVERSE):
-            a = np.full(size, base, U)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
         _powers[size] = made[0], made[1]
-    return _powers[size]
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,11 +60,30 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[-1:], after[:-1] = False, word[1:]
     after[ends[full] - 1] = False
     last = np.flatnonzero(word & ~after) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
-    return hashes, np.searchsorted(ends, first, "right")
+    return word_hashes(data, first, last), np.searchsorted(ends, first, "right")
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each lower-cased word, from byte `first` to `last`: the difference of two prefix sums, moved to place 0.
+
+    Sums are taken a block of bytes at a time, so that a text without white space takes no more memory than another.
+    """
+    up, down = powers(BLOCK)
+    out, total = np.zeros(len(first), U), 0
+    for at in range(0, len(data), BLOCK):
+        part = LOWER[data[at : at + BLOCK]].astype(U) + U(1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        sums = sums * U(pow(STEP, at, 1 << 64)) + U(total)
+        a, b = np.searchsorted(first, [at, at + BLOCK])
+        out[a:b] -= sums[first[a:b] - at]
+        c, d = np.searchsorted(last, [at, at + BLOCK], "right")
+        out[c:d] += sums[last[c:d] - at]
+        total = int(sums[-1])
+    for at in range(0, len(data), BLOCK):
+        a, b = np.searchsorted(first, [at, at + BLOCK])
+        out[a:b] *= down[first[a:b] - at] * U(pow(INVERSE, at, 1 << 64))
+    return mix(out + (last - first).astype(U))
 
 
 def sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +95,9 @@ def sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
         at, end = int(offsets[i]), int(offsets[j])
-        if end - at <= BLOCK or j > i + 1:
-            h, d = words(data[at:end], offsets[i + 1 : j + 1] - at)
-            hashes.append(h)
-            docs.append(d + i)
-        else:  # one long text: blocks that end at white space
-            while at < end:
-                to = min(end, at + BLOCK)
-                while to < end and not SPACE[data[to]]:
-                    to += 1
-                h, _ = words(data[at:to], np.array([to - at]))
-                hashes.append(h)
-                docs.append(np.full(len(h), i))
-                at = to
+        h, d = words(data[at:end], offsets[i + 1 : j + 1] - at)
+        hashes.append(h)
+        docs.append(d + i)
         i = j
     w = np.concatenate(hashes) if hashes else np.zeros(0, U)
     doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pricewell.llm import collocations, queries
+from pricewell.llm import collocations, queries, shingles
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -118,9 +118,9 @@ def test_blocks_do_not_change_fingerprints(monkeypatch):
     found = []
     for block in (64, 1 << 20):
         monkeypatch.setattr(collocations, "BLOCK", block)
-        monkeypatch.setattr(collocations, "_tables", [])
+        monkeypatch.setattr(shingles, "BLOCK", block)
         first, last, doc, piece = collocations.spans(data, ends)
-        words = collocations.word_prints(data, first, last)
+        words = shingles.word_hashes(data, first, last)
         assert len(first) == 1_800 and (doc == np.repeat([0, 1], 900)).all() and (words[:900] == words[900:]).all()
         assert len(set(words.tolist())) == len(set(bytes(data[a:b]) for a, b in zip(first, last)))
         phrases = [collocations.phrase_prints(words, piece, np.zeros(len(words), np.uint64), k) for k in (1, 2, 3)]

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pricewell.llm import mixing, queries
 
@@ -34,3 +36,25 @@ def test_stages_keep_what_they_state(spark):
     assert mixed == Counter({tuple(x): copies[x["doc_id"]] for x in docs.collect() if copies[x["doc_id"]]}) and mixed
     near = {x["doc_id"]: x["component_id"] for x in queries.jaccard.join(docs).collect()}
     assert rows(corpus_pipeline.drop_near_copies(spark, docs, SF)) == Counter(tuple(x) for x in docs.collect() if near[x["doc_id"]] == x["doc_id"])
+
+
+def test_columns_of_any_name_and_type_go_through(spark):
+    """Names that stages use on the way, maps and structs, with repeated ids: every kept row is as it came."""
+    r = random.Random(5)
+    a, b, c = (" ".join(r.choice("abcdefghijklmnop") * 2 for _ in range(60)) for _ in range(3))
+    base = [(1, a), (1, a), (1, b), (2, a + " end"), (3, c), (None, c), (4, None), (4, "")]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(base)], "doc_id long, text string, k int")
+    mine = {n: F.concat(F.lit(n), F.col("k").cast("string")) for n in ("_key", "_row", "key", "comp", "component_id", "_mix_key", "_mix_n", "_mix_of", "_mix_again", "_copies", "_size", "_target", "_part", "other_0", "c0", "score")}
+    d = d.withColumns({"source": F.lit("s"), "lang": F.lit("en"), **mine, "m": F.create_map(F.lit("k"), F.col("k")), "st": F.struct(F.col("k").alias("x"), F.create_map(F.lit("y"), F.col("k")).alias("z"))})
+    came = {repr(x) for x in d.collect()}
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        out = stage(spark, d, SF)
+        assert out.dtypes == d.dtypes
+        got = [repr(x) for x in out.collect()]
+        assert got and set(got) <= came
+    kept = corpus_pipeline.drop_near_copies(spark, d, SF).collect()
+    assert sorted(x["k"] for x in kept)[:2] == [0, 2] and sum(x["doc_id"] == 1 for x in kept) == 2
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_unrecognised):
+        docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_key": F.lit("mine"), "score": F.lit(7), "m": F.create_map(F.lit("a"), F.col("doc_id"))})
+        got = stage(spark, docs, SF).collect()
+        assert got and all(x["_key"] == "mine" and x["score"] == 7 and x["m"] == {"a": x["doc_id"]} for x in got)
