@@ -69,6 +69,7 @@ class Codec:
         self.space_runs = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
         #: Ids of " " + key, packed as int32: small, and nothing that Python's garbage collector must walk.
         self.spaced: dict[str, bytes] = {}
+        self.most = CACHE
 
     def merge(self, ids: list[int]) -> list[int]:
         """Ids of one piece given its bytes' ids."""
@@ -119,7 +120,7 @@ class Codec:
 
     def keep(self, text: str, ids: bytes) -> bytes:
         if len(text) < 64:
-            if len(self.spaced) >= CACHE:
+            if len(self.spaced) >= min(self.most, CACHE):
                 self.spaced.clear()
             self.spaced[text] = ids
         return ids
@@ -168,10 +169,11 @@ def _over(batches: Iterator[pa.RecordBatch], text: str, row, columns: dict) -> I
             yield pa.RecordBatch.from_arrays([a for _, a in keep] + arrays, [n for n, _ in keep] + list(columns))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, cache: int = 200_000) -> DataFrame:
     """The columns `keep` (all but the text) plus `out`: array<int> of the text's token ids.
 
-    A null text counts as empty and gives an empty array. `path` must be readable by the executors.
+    A null text counts as empty and gives an empty array. `path` must be readable by the executors. cache: chunks whose ids a
+    worker keeps, about 200 bytes each; workers hold them until other operators' tasks start there.
     """
     importable(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, out)]
@@ -180,6 +182,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
 
     def run(batches):
         c = codec(path)
+        c.most = cache
         yield from _over(batches, "_text", lambda t: (np.asarray(c.encode(t or "")),), {out: pa.list_(pa.int32())})
 
     return d.mapInArrow(run, schema)
@@ -212,6 +215,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
 
     def run(batches):
         c = codec(path)
+        c.most = CACHE
 
         def row(t):
             ids = c.encode(t or "")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +29,16 @@ KEEPERS: list[Callable[[], None]] = []
 
 
 def let_go() -> None:
-    """Empties what earlier tasks of other operators left in this Python worker, which Spark uses again."""
+    """Empties what earlier tasks of other operators left in this Python worker, which Spark uses again.
+
+    Freed memory goes back to the system, as an executor's workers share its memory with its JVM.
+    """
     for empty in KEEPERS:
         empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library's, where it has one
+        trim(0)
 
 
 def importable(spark: SparkSession) -> None:

@@ -159,6 +159,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches):
+        let_go()
         there = shared.value
         for part in in_chunks(batches):
             t, c = sets(part.column(0))
