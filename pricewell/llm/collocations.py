@@ -43,6 +43,7 @@ BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 GAP = BREAK.copy()
 GAP[[32, 9]] = True
 
+
 def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end, document, piece) of each word of the bytes of documents that end at `ends`."""
     inside = ~GAP[data]
