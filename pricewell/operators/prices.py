@@ -135,10 +135,13 @@ def card_trends(cards: DataFrame, printings: DataFrame, store_prices: DataFrame,
 
 
 def priced_printings(printings: DataFrame, store_prices: DataFrame, stores: DataFrame) -> DataFrame:
-    """Printings with all their prices and shops' names; printings without prices stay."""
+    """Printings with all their prices and shops' names; printings without prices stay.
+
+    Prices that name their card, as tables stored by card do, meet printings by it too.
+    """
     s = stores.select(F.col("id").alias("store_id"), F.col("name").alias("store_name"))
     p = store_prices.withColumnRenamed("printing_id", "id").join(s, "store_id", "left")
-    return printings.join(p, "id", "left")
+    return printings.join(p, ["id", *(c for c in p.columns if c == "card_id")], "left")
 
 
 def printings_with_prices(printings: DataFrame, store_prices: DataFrame, stores: DataFrame) -> DataFrame:
@@ -204,10 +207,14 @@ def colour_pips(colors: Column) -> Column:
 
 
 def daily_prices(printings: DataFrame, history: DataFrame) -> DataFrame:
-    """card_id, printing_id, set_name, set_code, is_foil, day, price: the day's lowest sell price over shops."""
+    """card_id, printing_id, set_name, set_code, is_foil, day, price: the day's lowest sell price over shops.
+
+    History that names its card, as a table stored by card does, meets printings by it too.
+    """
     p = printings.select(F.col("id").alias("printing_id"), "card_id", "set_name", "set_code", "is_foil")
-    low = history.filter("price_type = 'sell'").groupBy("printing_id", F.col("recorded_at").alias("day")).agg(F.min("price_aud").alias("price"))
-    return p.join(low, "printing_id").select("card_id", "printing_id", "set_name", "set_code", "is_foil", "day", "price")
+    key = ["printing_id", *(c for c in history.columns if c == "card_id")]
+    low = history.filter("price_type = 'sell'").groupBy(*key, F.col("recorded_at").alias("day")).agg(F.min("price_aud").alias("price"))
+    return p.join(low, key).select("card_id", "printing_id", "set_name", "set_code", "is_foil", "day", "price")
 
 
 def card_series(daily: DataFrame) -> DataFrame:

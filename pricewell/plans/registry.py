@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import rules, text
-from pricewell.operators import matching, prices, published, quality, schedule, search, snapshots
+from pricewell.operators import clustered, matching, prices, published, quality, schedule, search, snapshots
 from pricewell.operators.published import Buckets, Months, Table
 from pricewell.plans import feeds, jobs
 from pricewell.plans.views import AS_OF, oracle, view
@@ -174,7 +174,11 @@ def ord4_by_lowest(t):
  coalesce(string_agg(CASE WHEN s.name IS NOT NULL AND price_aud IS NOT NULL THEN price_aud::VARCHAR || '|' || s.name || '|' || coalesce(condition, '') || '|' || coalesce(in_stock, false)::VARCHAR END, ';' ORDER BY price_aud, s.name, condition NULLS FIRST, in_stock), '') AS prices,
  min(CASE WHEN in_stock AND s.name IS NOT NULL THEN price_aud END) AS low_price FROM {PRICED} GROUP BY 1, 2""")
 def qry3_printings_with_prices(t):
-    d = prices.printings_with_prices(t.printings, t.store_prices, t.stores)
+    return price_lines(prices.printings_with_prices(t.printings, t.store_prices, t.stores))
+
+
+def price_lines(d: DataFrame) -> DataFrame:
+    """printings_with_prices() with the prices as one text."""
     line = lambda x: F.concat_ws("|", x["price_aud"].cast("string"), x["store_name"], F.coalesce(x["condition"], F.lit("")), x["in_stock"].cast("string"))
     return d.select("id", "card_id", F.size("prices").alias("n_prices"), F.array_join(F.transform("prices", line), ";").alias("prices"), "low_price")
 
@@ -213,7 +217,11 @@ def agg9_card_series(t):
  b AS (SELECT card_id, string_agg(printing_id || ':' || data, ' ' ORDER BY printing_id) AS by_printing FROM (SELECT card_id, printing_id, string_agg(day::VARCHAR || '=' || price::VARCHAR, ';' ORDER BY day) AS data FROM daily GROUP BY 1, 2 HAVING count(*) >= 2) x GROUP BY 1)
  SELECT a.card_id, aggregate, coalesce(by_printing, '') AS by_printing FROM a LEFT JOIN b ON a.card_id = b.card_id""")
 def qry4_price_history(t):
-    d = prices.history_bundle(t.printings, t.price_history)
+    return history_lines(prices.history_bundle(t.printings, t.price_history))
+
+
+def history_lines(d: DataFrame) -> DataFrame:
+    """history_bundle() with the days as texts."""
     points = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["day"].cast("string"), F.lit("="), x["price"].cast("string"))), ";")
     each = F.array_join(F.transform("by_printing", lambda p: F.concat(p["printing_id"], F.lit(":"), points(p["data"]))), " ")
     return d.select("card_id", points(F.col("aggregate")).alias("aggregate"), F.coalesce(each, F.lit("")).alias("by_printing"))
@@ -886,3 +894,24 @@ def src4_sound_and_broken_pages(t):
     found = market.items(both).groupBy("card_name").agg(F.count("*").alias("n"), F.count_distinct("itemId").alias("items"))
     lost = tables.broken_pages(both, MARKET_PAGE).groupBy("card_name").agg(F.count("*").alias("broken"))
     return found.join(lost, "card_name", "full_outer").filter("n = broken").select("card_name", "n", "items")
+
+
+def by_card(t: Tables) -> clustered.Clustered:
+    """Printings, prices and history stored by card."""
+    made = clustered.Clustered(t.spark, fresh_path(t.spark, "by-card"), "card_id", 32)
+    clustered.store_prices_by_card(made, t.printings, t.store_prices, t.price_history)
+    return made
+
+
+@query(sql=SQL["qry3_printings_with_prices"])
+def qry3_clustered_prices(t):
+    """From tables stored by card: joined and nested without a shuffle."""
+    made, shops = by_card(t), t.stores
+    return made.each_part(lambda read: price_lines(prices.printings_with_prices(read("printings"), read("store_prices"), shops)))
+
+
+@query(sql=SQL["qry4_price_history"])
+def qry4_clustered_history(t):
+    """From tables stored by card: both the card's series and those of its printings without a shuffle."""
+    made = by_card(t)
+    return made.each_part(lambda read: history_lines(prices.history_bundle(read("printings"), read("price_history"))))
