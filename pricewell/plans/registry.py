@@ -915,3 +915,16 @@ def qry4_clustered_history(t):
     """From tables stored by card: both the card's series and those of its printings without a shuffle."""
     made = by_card(t)
     return made.each_part(lambda read: history_lines(prices.history_bundle(read("printings"), read("price_history"))))
+
+
+@query("market_finds", " SELECT card_name, count(*) AS found, count(*) AS broken FROM market_finds GROUP BY 1")
+def str1_quarantined_pages(t):
+    """The market's pages come in as a stream, each twice and once of these cut off in the middle: what each search found and lost."""
+    store, landed = market_stream.Store(t.spark, fresh_path(t.spark, "market")), fresh_path(t.spark, "market-pages")
+    pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
+    pages.unionByName(pages.withColumn("body", F.expr("left(body, length(body) div 2)"))).write.parquet(landed)
+    stream = ingest.read_stream(t.spark, landed, pages.schema)
+    query, statistics = market_stream.ingest(stream, t.printings, t.cards, store, fresh_path(t.spark, "market-state"), AS_OF)
+    statistics.wait(query)
+    lost = store.quarantine.read().groupBy("card_name").agg(F.count("*").alias("broken"))
+    return store.finds.read().groupBy("card_name").agg(F.sum("n").alias("found")).join(lost, "card_name", "full_outer")

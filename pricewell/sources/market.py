@@ -10,6 +10,7 @@ from pricewell.functions.rules import FIELD_CONDITIONS, FOIL_WORD, SKIP_TITLES,
 from pricewell.functions.text import first_match, found_any, money, plain_spaces
 from pricewell.functions.text import found as found_text
 from pricewell.sources.schemas import MARKET_PAGE
+from pricewell.sources.tables import page_json, why_broken
 
 
 def items(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -18,6 +19,21 @@ def items(pages: DataFrame, body: str = "body") -> DataFrame:
     return parsed.select(*[c for c in parsed.columns if c != "_page"], F.posexplode(F.col("_page.itemSummaries")).alias("item_pos", "item")).select("*", "item.*").drop("item")
 
 
+def items_and_broken(pages: DataFrame, body: str = "body") -> DataFrame:
+    """items(), and in the same pass a row with `broken_body` and `reason`, and no item, for each page that broken_pages() reports.
+
+    A page of which only a further field is amiss gives both its items and such a row, as items() and broken_pages() do.
+    """
+    d = pages.withColumn("_page", page_json(F.col(body), MARKET_PAGE)).withColumn("_reason", why_broken(F.col(body), F.col("_page")))
+    row = lambda pos, item, text, reason: F.struct(pos.cast("int").alias("item_pos"), item.alias("item"), text.cast("string").alias("broken_body"), reason.cast("string").alias("reason"))
+    none, all_items = F.lit(None), F.col("_page.itemSummaries")
+    broken = F.filter(F.array(row(none, F.get(all_items, F.lit(-1)), F.col(body), F.col("_reason"))), lambda x: x["reason"].isNotNull())
+    found = F.transform(F.coalesce(all_items, F.array()), lambda x, k: row(k, x, none, none))
+    others = [c for c in pages.columns if c != body]
+    d = d.select(*others, F.explode(F.concat(broken, found)).alias("_row"))
+    return d.select(*others, "_row.*").select("*", "item.*").drop("item")
+
+
 def first_seen(found: DataFrame, order: list[str]) -> DataFrame:
     """One row per item id, the first in the given order.
 

@@ -37,11 +37,21 @@ def broken_pages(pages: DataFrame, schema: str, body: str = "body") -> DataFrame
 
     An adapter gives no rows for them. A page without items, such as {}, is sound; a null or blank one is empty.
     """
-    corrupt = "_corrupt_record"
-    parsed = F.from_json(F.col(body), f"{schema}, {corrupt} STRING", {"columnNameOfCorruptRecord": corrupt})
-    blank = F.trim(F.coalesce(F.col(body), F.lit(""))) == ""
-    reason = F.when(blank, "empty").when(parsed.isNull() | parsed[corrupt].isNotNull(), "not JSON of a page")
-    return pages.select("*", reason.alias("reason")).filter("reason is not null")
+    return pages.select("*", why_broken(F.col(body), page_json(F.col(body), schema)).alias("reason")).filter("reason is not null")
+
+
+CORRUPT = "_corrupt_record"
+
+
+def page_json(body: Column, schema: str) -> Column:
+    """A page's text as a struct of the schema, with a last field for a text that is none."""
+    return F.from_json(body, f"{schema}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def why_broken(body: Column, parsed: Column) -> Column:
+    """Why a page goes to quarantine, null if it is sound; parsed: its page_json()."""
+    blank = F.trim(F.coalesce(body, F.lit(""))) == ""
+    return F.when(blank, "empty").when(parsed.isNull() | parsed[CORRUPT].isNotNull(), "not JSON of a page")
 
 
 def arrival(page: Column, position: Column) -> Column:

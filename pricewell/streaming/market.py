@@ -1,7 +1,7 @@
 """The market refresh as a stream of landed search pages: items once however late they come, and a row of statistics per batch.
 
 The state is in stored tables: the items seen, by the month in which they were first seen; the history by month; the finds
-of each search; the statistics. Each batch adds to them under its number, so that a batch that runs again after a failure
+of each search; the pages that don't parse; the statistics. Each batch adds to them under its number, so that a batch that runs again after a failure
 adds what it had not added. Items come once as long as their month is kept (forget()); none is lost for being late.
 """
 
@@ -23,7 +23,8 @@ from pricewell.sources.schemas import TABLES
 
 SEEN = "item_id STRING, first_seen DATE, added_by STRING"
 FINDS = "card_name STRING, n BIGINT"
-COUNTS = ("fetched", "fresh", "skipped", "matched", "unmatched")
+BROKEN = "card_name STRING, search_rank BIGINT, broken_body STRING, reason STRING, day DATE"
+COUNTS = ("fetched", "broken", "fresh", "skipped", "matched", "unmatched")
 STATISTICS = "run STRING, batch BIGINT, " + ", ".join(f"{c} BIGINT" for c in COUNTS)
 
 
@@ -37,6 +38,7 @@ class Store:
     history: Table = field(init=False)
     unmatched: Table = field(init=False)
     finds: Table = field(init=False)
+    quarantine: Table = field(init=False)
     statistics: Table = field(init=False)
 
     def __post_init__(self) -> None:
@@ -45,13 +47,14 @@ class Store:
         self.history = of("price_history", TABLES["price_history"], Months("recorded_at"))
         self.unmatched = of("unmatched_cards", TABLES["unmatched_cards"], Buckets({"store_id": 1}))
         self.finds = of("finds", FINDS, Buckets({"card_name": 1}))
+        self.quarantine = of("quarantine", BROKEN, Months("day"))
         self.statistics = of("statistics", STATISTICS, Buckets({"run": 1}))
 
 
 def forget(store: Store, as_of: str, years: int = 2) -> None:
-    """Drops the items seen, and the history, of months past retention."""
-    published.retain(store.seen, as_of, years)
-    published.retain(store.history, as_of, years)
+    """Drops the items seen, the history and the broken pages of months past retention."""
+    for table in (store.seen, store.history, store.quarantine):
+        published.retain(table, as_of, years)
 
 
 def fresh_items(found: DataFrame, seen: DataFrame, added_by: str) -> DataFrame:
@@ -80,7 +83,8 @@ class BatchStatistics(StreamingQueryListener):
         p = event.progress
         if str(p.runId) != self.run_id or "found" not in p.observedMetrics or p.batchId not in self.counted:
             return
-        row = {"fetched": p.observedMetrics["found"]["fetched"], **self.counted.pop(p.batchId)}
+        seen = p.observedMetrics["found"]
+        row = {"fetched": seen["fetched"], "broken": seen["broken"], **self.counted.pop(p.batchId)}
         try:
             made = self.store.spark.createDataFrame([(self.name, p.batchId, *(row[c] for c in COUNTS))], STATISTICS)
             self.store.statistics.append(made, self.name, p.batchId)
@@ -121,7 +125,9 @@ def ingest(pages: DataFrame, printings: DataFrame, cards: DataFrame, store: Stor
 
     def write(batch: DataFrame, number: int) -> None:
         tag = f"{name}-{number}"
-        found = put(batch, "found")  # the stream's plan runs once for a batch, and so do its metrics
+        landed = put(batch, "found")  # the stream's plan runs once for a batch, and so do its metrics
+        found = landed.filter("reason is null").drop("broken_body", "reason")
+        lost = landed.filter("reason is not null").withColumn("day", F.lit(day).cast("date"))
         seen = Observation()
         fresh = market.judged(fresh_items(found, store.seen.read(), tag))
         judged = put(fresh.observe(seen, F.count("*").alias("fresh"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")), "judged")
@@ -133,12 +139,14 @@ def ingest(pages: DataFrame, printings: DataFrame, cards: DataFrame, store: Stor
         store.history.append(snapshots.new_history(store.history.read({day[:7]}), history, (day, day)), name, number)
         store.unmatched.append(unmatched.withColumn("scraped_at", F.lit(None).cast("timestamp_ntz")), name, number)
         store.finds.append(found.groupBy("card_name").agg(F.count("itemId").alias("n")), name, number)
+        store.quarantine.append(lost, name, number)
         # last, as items of a batch that broke off before are not seen yet
         store.seen.append(judged.select(F.col("itemId").alias("item_id"), F.lit(day).cast("date").alias("first_seen"), F.lit(tag).alias("added_by")), name, number)
         listener.counted[number] = {**seen.get, **hits.get}
 
     spark.streams.addListener(listener)
-    found = market.items(pages).observe("found", F.count("*").alias("fetched"))
+    sound = F.col("reason").isNull()
+    found = market.items_and_broken(pages).observe("found", F.count_if(sound).alias("fetched"), F.count_if(~sound).alias("broken"))
     query = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     listener.run_id = str(query.runId)
     return query, listener

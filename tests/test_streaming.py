@@ -133,3 +133,19 @@ def test_items_and_history_past_retention_go(spark, tmp_path):
     market.forget(store, "2003-12-01")
     assert store.seen.read().count() == 0 and store.history.read().count() == 0
     assert isinstance(store.seen.layout, published.Months)
+
+
+def test_broken_pages_go_to_quarantine_once_and_the_rest_comes_in(spark, tmp_path):
+    store, src, state = market.Store(spark, f"file://{tmp_path}/m"), str(tmp_path / "in"), str(tmp_path / "state")
+    rank, card, body = FIRST[0]
+    cut, blank, none, odd = [(rank, card, b) for b in (body[:-9], " ", None, body[:-1] + ', "total": "many"}')]
+    run(spark, store, src, state, FIRST + [cut, blank])
+    run(spark, store, src, state, SECOND + [none, odd])
+    again(spark, store, src, state)
+    got = store.quarantine.read().orderBy("reason", F.col("broken_body").asc_nulls_first()).collect()
+    assert [(r.broken_body, r.reason) for r in got] == [(None, "empty"), (" ", "empty"), *((b, "not JSON of a page") for b in sorted([cut[2], odd[2]]))]
+    assert [r.broken for r in store.statistics.read().orderBy("batch").collect()] == [2, 2]
+    pages = FIRST + [cut, blank] + SECOND + [none, odd]
+    assert made(spark, store) == batch_job(spark, pages)
+    market.forget(store, "2003-12-01")
+    assert store.quarantine.read().isEmpty()
