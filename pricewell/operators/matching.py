@@ -166,9 +166,10 @@ def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame,
     """The listings plus printing_id, match_type and confidence.
 
     Levels in order: set_collector, exact, name_foil, name_only, fuzzy, unmatched; the first that hits decides. Matches
-    under min_confidence count as unmatched. Name keys that the catalogue lacks are resolved once each, to the nearest key
-    that it has, so that a listing meets all levels of its name in one join. publish (table, name) -> table, where given,
-    writes the index and its names once, as several levels use them.
+    under min_confidence count as unmatched. Names and set names are worked out once for each distinct text, and names that
+    the catalogue lacks once each, to the nearest key that it has, so that a listing meets all levels of its name in one
+    join. publish (table, name) -> table, where given, writes the small tables that listings meet once, as several levels
+    use them and their size then decides the joins.
     """
     put = publish or (lambda d, _: d)
     index = put(index_source(printings, cards), "index")
@@ -176,21 +177,26 @@ def match_listings(listings: DataFrame, printings: DataFrame, cards: DataFrame,
     d = listings if "set_code" in have else listings.withColumn("set_code", F.lit(None).cast("string"))
     told = [c for c in ("listing_seq", "item_id", "price", "store_id") if c in have]  # tell rows without a name apart
     spread = F.xxhash64(*told) if told else F.monotonically_increasing_id()
-    d = d.withColumns({"_set_key": F.when(F.coalesce("set_name", F.lit("")) != "", set_key(F.col("set_name"))), "_key": _or_nothing(name_key(strip_variant(F.col("raw_name"))), spread), "_foil": F.col("is_foil")})
+    heard = put(d.select("raw_name", "set_name").distinct(), "heard")
 
     names = put(by_key(index), "names")
-    asked = d.filter("raw_name is not null").select("raw_name").distinct().select(name_key(strip_variant(F.col("raw_name"))).alias("_key")).distinct()
-    unknown = put(asked.join(names.select("_key"), "_key", "left_anti").select(F.col("_key").alias("probe")), "unknown")
+    # without repeated keys here: a distinct over another one is merged with it, and then each listing's name is worked out
+    own = heard.filter("raw_name is not null").select("raw_name").distinct().withColumn("_key", name_key(strip_variant(F.col("raw_name"))))
+    own = put(own.join(names, "_key", "left"), "own")
+    unknown = put(own.filter("all_n is null").select(F.col("_key").alias("probe")).distinct(), "unknown")
     near = nearest_keys(unknown, names.select(F.col("_key").alias("key")))
     guessed = near.join(names.withColumnRenamed("_key", "near"), "near").withColumnRenamed("probe", "_key").drop("near")
-    known = names.withColumn("dist", F.lit(None).cast("int")).unionByName(guessed)
-
-    sets = set_names(printings, aliases).withColumnRenamed("set_key", "_set_key")
-    d = d.withColumn("_set_key", _or_nothing(F.col("_set_key"), F.col("raw_name"))).join(sets, "_set_key", "left")
-    d = d.withColumn("_set", _or_nothing(F.coalesce(F.nullif("set_code", F.lit("")), "named_code"), F.col("raw_name"))).withColumn("_number", _or_nothing(F.nullif("collector_number", F.lit("")), F.col("raw_name")))
-    by_number = index.groupBy(F.col("set_code").alias("_set"), F.col("collector_number").alias("_number"), F.col("is_foil").alias("_foil")).agg(F.max("printing_id").alias("l0"))
-    exact = grouped(index.withColumnsRenamed({"set_code": "_set", "is_foil": "_foil", "key": "_key"}), ["_key", "_set", "_foil"], "l1")
-    d = d.join(by_number, ["_set", "_number", "_foil"], "left").join(exact, ["_key", "_set", "_foil"], "left").join(known, "_key", "left")
+    lacking = own.filter("all_n is null").select("raw_name", "_key").join(guessed, "_key", "left")
+    known = put(own.filter("all_n is not null").withColumn("dist", F.lit(None).cast("int")).unionByName(lacking).withColumnRenamed("raw_name", "_raw"), "known")
+
+    named = heard.filter("set_name <> ''").select("set_name").distinct().withColumn("set_key", set_key(F.col("set_name")))
+    sets = put(named.join(set_names(printings, aliases), "set_key").select(F.col("set_name").alias("_named"), "named_code"), "sets")
+    by_number = put(index.groupBy(F.col("set_code").alias("_set"), F.col("collector_number").alias("_number"), F.col("is_foil").alias("_foil")).agg(F.max("printing_id").alias("l0")), "numbers")
+    exact = put(grouped(index.withColumnsRenamed({"set_code": "_set", "is_foil": "_foil", "key": "_key"}), ["_key", "_set", "_foil"], "l1"), "exact")
+    d = d.withColumns({"_foil": F.col("is_foil"), "_raw": _or_nothing(F.col("raw_name"), spread), "_named": _or_nothing(F.nullif("set_name", F.lit("")), F.col("raw_name"))})
+    d = d.join(known, "_raw", "left").join(sets, "_named", "left")
+    d = d.withColumns({"_key": _or_nothing(F.col("_key"), spread), "_set": _or_nothing(F.coalesce(F.nullif("set_code", F.lit("")), "named_code"), F.col("raw_name")), "_number": _or_nothing(F.nullif("collector_number", F.lit("")), F.col("raw_name"))})
+    d = d.join(by_number, ["_set", "_number", "_foil"], "left").join(exact, ["_key", "_set", "_foil"], "left")
 
     wide = F.coalesce("is_borderless", F.lit(False)) if "is_borderless" in have else F.lit(False)
     of_kind = lambda what: F.when(F.col("_foil"), F.col(f"foil_{what}")).when(~F.col("_foil"), F.col(f"plain_{what}"))

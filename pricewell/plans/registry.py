@@ -319,7 +319,7 @@ def qry7_match_listings(t):
 
 @query("cards printings all_listings", MATCH.replace("FROM listings l", "FROM all_listings l") + " SELECT * FROM matched")
 def qry7_match_all_listings(t):
-    return matching.match_listings(t.all_listings, t.printings, t.cards)
+    return matching.match_listings(t.all_listings, t.printings, t.cards, publish=publisher(t))
 
 
 @query("cards", rf"""SELECT probe, key, dist FROM (SELECT a.p AS probe, b.k AS key, levenshtein(a.p, b.k) AS dist FROM (SELECT DISTINCT replace({_key('name')}, 'a', '') AS p FROM cards) a JOIN (SELECT DISTINCT {_key('name')} AS k FROM cards) b ON abs(length(a.p) - length(b.k)) <= 2) x WHERE dist <= 2""")
@@ -615,11 +615,7 @@ def flt12_runnable_stores(t):
 @query(MATCHING + " stores store_prices", MATCH + """ SELECT store_id, count(*) AS n, sum(price_aud) AS total FROM (SELECT store_id, price_aud FROM store_prices WHERE store_id NOT IN (SELECT id FROM stores WHERE scraper_enabled)
  UNION ALL SELECT store_id, price AS price_aud FROM matched WHERE printing_id IS NOT NULL AND store_id IN (SELECT id FROM stores WHERE scraper_enabled)) x GROUP BY 1""")
 def qry8_store_refresh(t):
-    ran = t.stores.filter("scraper_enabled").select(F.col("id").alias("store_id"))
-    new = t.listings.join(ran, "store_id", "left_semi").withColumns({"price_type": F.lit("sell"), "condition": F.lit("NM"), "in_stock": F.lit(True), "source_url": F.lit("")})
-    old = {"cards": t.cards, "printings": t.printings, "store_prices": t.store_prices, "price_history": t.price_history, "unmatched_cards": t.spark.createDataFrame([], TABLES["unmatched_cards"])}
-    made = jobs.refresh_stores(new, old, ran, AS_OF)["store_prices"]
-    return made.groupBy("store_id").agg(F.count("*").alias("n"), F.sum("price_aud").alias("total"))
+    return store_refresh(t)["store_prices"].groupBy("store_id").agg(F.count("*").alias("n"), F.sum("price_aud").alias("total"))
 
 
 FINDS = MARKET.replace("FROM market_items", "FROM market_finds") + f""", listings AS (SELECT rank * 1000000 AS listing_seq, raw_name, set_name, CAST(NULL AS VARCHAR) AS collector_number, is_foil, false AS is_borderless, price,
@@ -823,7 +819,7 @@ def snk6_published_history(t):
 @query("cards printings finish_listings", MATCH.replace("FROM listings l", "FROM finish_listings l") + " SELECT * FROM matched")
 def jon6_other_finish(t):
     """Names without set and number, in a finish that many of the cards lack: the level of the name alone."""
-    return matching.match_listings(t.finish_listings, t.printings, t.cards)
+    return matching.match_listings(t.finish_listings, t.printings, t.cards, publish=publisher(t))
 
 
 @query("cards searches", """ SELECT query, literal, count(id) AS n, min(id) AS first_id FROM searches s LEFT JOIN cards c ON trim(query) <> '' AND (CASE WHEN literal THEN contains(lower(name), lower(query)) ELSE name ILIKE concat('%', query, '%') END) GROUP BY 1, 2""")
