@@ -45,9 +45,8 @@ VIEWS["market_finds"] = VIEWS["market_items"].replace(" AS rank,", f" AS rank, {
 
 
 def market_pages(spark: SparkSession, sf_dir: str, name: str = "market_items") -> DataFrame:
-    """search_rank, body: a page of one item each, landed in many parts; card_name too where the view has it."""
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    d = view(spark, sf_dir, name).repartition(parts)
+    """search_rank, body: a page of one item each, in the parts of the view's window; card_name too where the view has it."""
+    d = view(spark, sf_dir, name)
     offer = F.struct(F.col("amount").alias("value"), "currency")
     none = F.lit(None).cast("struct<value:string,currency:string>")
     item = F.struct(F.col("item_id").alias("itemId"), "title", F.when(F.col("as_bid"), none).otherwise(offer).alias("price"), F.col("item_condition").alias("condition"), F.concat(F.lit("https://m.test/"), "item_id").alias("itemWebUrl"), F.array(F.when(F.col("fixed"), "FIXED_PRICE").otherwise("AUCTION")).alias("buyingOptions"), F.when(F.col("as_bid"), offer).otherwise(none).alias("currentBidPrice"))

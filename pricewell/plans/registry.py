@@ -440,8 +440,9 @@ MARKET = rf""", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def judged_items(t: Tables) -> DataFrame:
-    found = market.items(feeds.market_pages(t.spark, t.sf_dir))
-    return market.judged(market.first_seen(found, ["search_rank", "item_pos"]))
+    found, publish = market.items(feeds.market_pages(t.spark, t.sf_dir)), publisher(t)
+    unique = publish(market.first_seen(found, ["search_rank", "item_pos"]), "items")
+    return market.judged(unique, publish(market.title_facts(unique), "titles"))
 
 
 @query("market_items", MARKET + " SELECT item_id, rank, title, raw_name, set_name, price, condition, is_foil, skip_reason FROM judged")

@@ -14,9 +14,13 @@ from pricewell.sources.tables import page_json, why_broken
 
 
 def items(pages: DataFrame, body: str = "body") -> DataFrame:
-    """One row per item of each page (a JSON string), with the page's other columns; pages without items give none."""
+    """One row per item of each page (a JSON string), with the page's other columns; pages without items give none.
+
+    The outer form, as for the other one Spark adds a filter on the array, for which each page is parsed twice more.
+    """
     parsed = pages.withColumn("_page", F.from_json(F.col(body), MARKET_PAGE)).drop(body)
-    return parsed.select(*[c for c in parsed.columns if c != "_page"], F.posexplode(F.col("_page.itemSummaries")).alias("item_pos", "item")).select("*", "item.*").drop("item")
+    d = parsed.select(*[c for c in parsed.columns if c != "_page"], F.posexplode_outer(F.col("_page.itemSummaries")).alias("item_pos", "item"))
+    return d.filter("item_pos is not null").select("*", "item.*").drop("item")
 
 
 def items_and_broken(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -30,19 +34,14 @@ def items_and_broken(pages: DataFrame, body: str = "body") -> DataFrame:
     broken = F.filter(F.array(row(none, F.get(all_items, F.lit(-1)), F.col(body), F.col("_reason"))), lambda x: x["reason"].isNotNull())
     found = F.transform(F.coalesce(all_items, F.array()), lambda x, k: row(k, x, none, none))
     others = [c for c in pages.columns if c != body]
-    d = d.select(*others, F.explode(F.concat(broken, found)).alias("_row"))
+    d = d.select(*others, F.explode_outer(F.concat(broken, found)).alias("_row")).filter("_row is not null")
     return d.select(*others, "_row.*").select("*", "item.*").drop("item")
 
 
 def first_seen(found: DataFrame, order: list[str]) -> DataFrame:
-    """One row per item id, the first in the given order.
-
-    The number of partitions is given, so that they stay as many: an item is small, but its title's patterns take time.
-    """
-    spark = found.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """One row per item id, the first in the given order."""
     n = F.row_number().over(W.partitionBy("itemId").orderBy(*order))
-    return found.repartition(parts, "itemId").withColumn("_n", n).filter("_n = 1").drop("_n")
+    return found.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
 def title_name(title: Column, set_name: Column) -> Column:
@@ -61,14 +60,28 @@ def price(offer: Column, bid: Column) -> Column:
     return F.when((p["currency"] == "AUD") & (value > 0), value)
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """The items with listing columns and skip_reason, the first guard that refuses an item, null if none does."""
-    kept = [c for c in found.columns if c not in ("price", "currentBidPrice", "condition", "title", "buyingOptions", "itemWebUrl")]
-    t = plain_spaces(F.coalesce("title", F.lit("")))
-    d = found.withColumns({"_t": t, "_low": F.lower(t), "_field": F.lower(F.coalesce("condition", F.lit(""))), "_price": price(F.col("price"), F.col("currentBidPrice"))})
+def title_facts(found: DataFrame) -> DataFrame:
+    """What the patterns say of each distinct title: _title, _set, _condition, _skip, _foil, _name.
+
+    The number of partitions is given, as titles are small but their patterns take time.
+    """
+    spark = found.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = found.select(F.coalesce("title", F.lit("")).alias("_title")).distinct().repartition(parts, "_title")
+    d = d.withColumn("_t", plain_spaces(F.col("_title"))).withColumn("_low", F.lower("_t"))
     title, low = F.col("_t"), F.col("_low")
     d = d.withColumns({"_set": first_match(title, TITLE_SETS, low), "_condition": first_match(title, TITLE_CONDITIONS, low), "_skip": found_any(title, SKIP_TITLES, low), "_foil": found_text(title, FOIL_WORD, low)})
-    d = d.withColumn("_name", title_name(title, F.col("_set")))
+    return d.withColumn("_name", title_name(title, F.col("_set"))).drop("_t", "_low")
+
+
+def judged(found: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """The items with listing columns and skip_reason, the first guard that refuses an item, null if none does.
+
+    facts: title_facts() of at least these items, where they are written already.
+    """
+    kept = [c for c in found.columns if c not in ("price", "currentBidPrice", "condition", "title", "buyingOptions", "itemWebUrl")]
+    d = found.withColumns({"_title": F.coalesce("title", F.lit("")), "_field": F.lower(F.coalesce("condition", F.lit(""))), "_price": price(F.col("price"), F.col("currentBidPrice"))})
+    d = d.join(title_facts(found) if facts is None else facts, "_title", "left")
     field = F.col("_field")
     reason = F.when(field.contains("sealed") | field.contains("new/factory"), "sealed").when(F.col("_skip"), "title").when(F.col("_price").isNull(), "price").when(~F.coalesce(F.array_contains("buyingOptions", "FIXED_PRICE"), F.lit(False)), "auction").when(F.length("_name") < 2, "name")
     condition_code = F.coalesce("_condition", *[F.when(field.contains(k), F.lit(v)) for k, v in FIELD_CONDITIONS])

@@ -1,8 +1,11 @@
 """Texts that rows share are worked out once each, not row by row."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from pricewell.operators import matching, snapshots
+from pricewell.sources import market
 
 LISTING = "listing_seq long, raw_name string, set_name string, collector_number string, is_foil boolean, price int, store_id string"
 
@@ -30,3 +33,36 @@ def test_names_of_listings_are_worked_out_once(spark, tmp_path):
     assert [tuple(r) for r in got] == [(*w, 50) for w in want]
     plain = matching.match_listings(d, printings, cards)
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, made.collect()))
+
+
+def page(*items):
+    return json.dumps({"itemSummaries": list(items)})
+
+
+def item(k, title, value="5"):
+    return {"itemId": k, "title": title, "price": {"value": value, "currency": "AUD"}, "buyingOptions": ["FIXED_PRICE"]}
+
+
+BODIES = [page(item("a", "Opt NM Foil"), item("b", "Opt NM Foil", "0"), item(None, None)), page(), "{}", None, " ", page(item("c", "PSA 9 Opt"))[:-4], page(item("d", "PSA 9 Opt"))]
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame(list(enumerate(BODIES)), "search_rank long, body string")
+    assert plan(market.items(pages)).count("from_json") == 1
+    assert plan(market.items_and_broken(pages)).count("from_json") == 1
+    found = market.items_and_broken(pages)
+    good = market.items(pages.filter("search_rank <> 5")).select("search_rank", "item_pos", "itemId", "title").collect()
+    assert sorted(map(repr, good)) == sorted(map(repr, found.filter("reason is null").select("search_rank", "item_pos", "itemId", "title").collect()))
+    assert [(r[0], r[1], r[2]) for r in sorted(good)] == [(0, 0, "a"), (0, 1, "b"), (0, 2, None), (6, 0, "d")]
+    assert {r.search_rank: r.reason for r in found.filter("reason is not null").collect()} == {3: "empty", 4: "empty", 5: "not JSON of a page"}
+
+
+def test_titles_are_judged_once_each(spark, tmp_path):
+    found = market.items(spark.createDataFrame(list(enumerate(BODIES)), "search_rank long, body string").filter("search_rank <> 5"))
+    facts = snapshots.publish(market.title_facts(found), str(tmp_path), "titles")
+    assert facts.count() == facts.select("_title").distinct().count() == 3
+    made = market.judged(found, facts)
+    assert "RLIKE" not in plan(made)
+    got = {r.itemId: (r.raw_name, r.condition, r.is_foil, r.skip_reason) for r in made.collect()}
+    assert got == {"a": ("Opt", "NM", True, None), "b": ("Opt", "NM", True, "price"), None: ("", None, False, "name"), "d": ("PSA 9 Opt", None, False, "title")}
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, market.judged(found).collect()))
