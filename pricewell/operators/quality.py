@@ -47,10 +47,13 @@ def feed_quality(listings: DataFrame) -> DataFrame:
 
 
 def run_statistics(found: DataFrame, judged: DataFrame, matched: DataFrame, searched: DataFrame) -> DataFrame:
-    """One row: fetched, duplicates, skipped, matched, unmatched, match_percent ('0' if none), searches, empty_searches."""
+    """One row: fetched, duplicates, skipped, matched, unmatched, match_percent ('0' if none), searches, empty_searches.
+
+    judged has one row for each item id of found, so that ids need not be told apart again.
+    """
     parts = [
-        found.agg(F.count("*").alias("fetched"), F.count_distinct("itemId").alias("_distinct")),
-        judged.agg(F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")),
+        found.agg(F.count("*").alias("fetched")),
+        judged.agg(F.count("itemId").alias("_distinct"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")),
         matched.agg(F.count_if(F.col("printing_id").isNotNull()).alias("matched"), F.count_if(F.col("printing_id").isNull()).alias("unmatched")),
         searched.agg(F.count("*").alias("searches"), F.count_if(F.col("n") == 0).alias("empty_searches")),
     ]

@@ -52,14 +52,15 @@ def refresh_market(pages: DataFrame, searched: DataFrame, tables: dict[str, Data
     Failed searches leave prices and log as they are. Unmatched listings are only added. Pages that don't parse are in
     `quarantine`, and their number is that table's.
     """
-    found = market.items(pages)
-    unique = market.first_seen(found, ["search_rank", "item_pos"])
-    judged = publish(market.judged(unique), "judged")
+    found = publish(market.items(pages), "found")
+    unique = publish(market.first_seen(found, ["search_rank", "item_pos"]), "items")
+    judged = market.judged(unique, publish(market.title_facts(unique), "titles"))
     kept = market.kept(judged).withColumn("store_id", F.lit(MARKET_STORE)).withColumn("listing_seq", F.col("search_rank") * 1_000_000 + F.col("item_pos"))
     matched = publish(matching.match_listings(kept, tables["printings"], tables["cards"], publish=publish), "matched")
     prices, history, unmatched = matching.split_matches(matched, day)
     ok = searched.filter("status = 'ok'")
-    counts = ok.join(found.select("card_name", "itemId"), "card_name", "left").groupBy("card_name").agg(F.count("itemId").cast("int").alias("n"))
+    per_card = found.groupBy("card_name").agg(F.count("itemId").alias("n"))  # before the join, as few cards can have most items
+    counts = ok.join(per_card, "card_name", "left").groupBy("card_name").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n"))
     log = counts.select("card_name", F.lit(day).cast("date").alias("last_searched_at"), F.col("n").alias("last_result_count"))
     cleared = snapshots.clear_cards(tables["store_prices"], tables["printings"], tables["cards"], ok, MARKET_STORE)
     return {
