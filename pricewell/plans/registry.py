@@ -885,12 +885,16 @@ def qry10_refreshed_printings(t):
 @query("market_finds", """ SELECT card_name, count(*) AS n, count(DISTINCT item_id) AS items FROM market_finds GROUP BY 1""")
 def src4_sound_and_broken_pages(t):
     """The market's pages twice, once cut off in the middle: each lands in the items or in quarantine, and none in both."""
-    pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
-    cut = pages.withColumn("body", F.expr("left(body, length(body) div 2)"))
-    both = pages.unionByName(cut)
-    found = market.items(both).groupBy("card_name").agg(F.count("*").alias("n"), F.count_distinct("itemId").alias("items"))
-    lost = tables.broken_pages(both, MARKET_PAGE).groupBy("card_name").agg(F.count("*").alias("broken"))
-    return found.join(lost, "card_name", "full_outer").filter("n = broken").select("card_name", "n", "items")
+    both = whole_and_cut(feeds.market_pages(t.spark, t.sf_dir, "market_finds"))
+    landed = market.items_and_broken(both).groupBy("card_name")
+    counts = landed.agg(F.count_if(F.col("reason").isNull()).alias("n"), F.count_distinct("itemId").alias("items"), F.count("reason").alias("broken"))
+    return counts.filter("n = broken").select("card_name", "n", "items")
+
+
+def whole_and_cut(pages: DataFrame) -> DataFrame:
+    """Each page twice, once cut off in the middle."""
+    bodies = F.array("body", F.expr("left(body, length(body) div 2)"))
+    return pages.select(*[F.explode(bodies).alias("body") if c == "body" else c for c in pages.columns])
 
 
 def by_card(t: Tables) -> clustered.Clustered:
