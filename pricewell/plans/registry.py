@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewell import storage
 from pricewell.functions import rules, text
 from pricewell.operators import clustered, matching, prices, published, quality, schedule, search, snapshots
 from pricewell.operators.published import Buckets, Months, Table
@@ -718,6 +719,26 @@ def qry9_market_statistics(t):
     return market_refresh(t)["statistics"]
 
 
+def in_runs(t: Tables, rows: DataFrame, by: str, runs: int) -> str:
+    """The folder of rows written once, in order of `by` (a line's number times 1000, and more) over as many runs.
+
+    Where one run ends and the next begins is taken from the lines themselves, so that the rows are worked out once.
+    """
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    low, high = t.base("lineitem").agg(F.min(line), F.max(line)).first()
+    width = ((high or 0) - (low or 0)) // runs + 1
+    run = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(runs - 1), F.expr(f"({by} div 1000 - {low or 0}) div {width}"))), F.lit(0))
+    path = fresh_path(t.spark, "staged")
+    rows.withColumn("_run", run.cast("int")).write.option("compression", "zstd").partitionBy("_run").parquet(path)
+    return path
+
+
+def land(spark: SparkSession, staged: str, run: int, path: str, schema) -> None:
+    """Moves a run's files to where a stream finds them; a run without rows lands as an empty file."""
+    if not storage.moved(spark, f"{staged}/_run={run}", path):
+        spark.createDataFrame([], schema).write.parquet(path)
+
+
 @query(MATCHING, MATCH + " " + FIRST_HIT)
 def str1_listing_history(t):
     """The listings as arriving items, matched and appended to a history that isn't there yet, in two runs.
@@ -741,13 +762,11 @@ def str1_listing_history(t):
 def market_stream_store(t: Tables) -> market_stream.Store:
     """The market's stored tables after its pages have come in three runs, by rank."""
     store, state = market_stream.Store(t.spark, fresh_path(t.spark, "market")), fresh_path(t.spark, "market-state")
-    pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
-    low, high = pages.agg(F.min("search_rank"), F.max("search_rank")).first()
-    landed, width = fresh_path(t.spark, "market-pages"), ((high or 0) - (low or 0)) // 3 + 1
-    part = F.expr(f"(search_rank - {low or 0}) div {width}")
+    pages, landed = feeds.market_pages(t.spark, t.sf_dir, "market_finds"), fresh_path(t.spark, "market-pages")
+    staged = in_runs(t, pages, "search_rank", 3)
     for k in range(3):
-        pages.filter(part == k).write.mode("append").parquet(landed)
-        stream = ingest.read_stream(t.spark, landed, pages.schema)
+        land(t.spark, staged, k, f"{landed}/{k}", pages.schema)
+        stream = ingest.read_stream(t.spark, f"{landed}/*", pages.schema)
         query, statistics = market_stream.ingest(stream, t.printings, t.cards, store, state, AS_OF)
         statistics.wait(query)
     return store
@@ -923,7 +942,7 @@ def str1_quarantined_pages(t):
     """The market's pages come in as a stream, each twice and once of these cut off in the middle: what each search found and lost."""
     store, landed = market_stream.Store(t.spark, fresh_path(t.spark, "market")), fresh_path(t.spark, "market-pages")
     pages = feeds.market_pages(t.spark, t.sf_dir, "market_finds")
-    pages.unionByName(pages.withColumn("body", F.expr("left(body, length(body) div 2)"))).write.parquet(landed)
+    whole_and_cut(pages).write.option("compression", "zstd").parquet(landed)
     stream = ingest.read_stream(t.spark, landed, pages.schema)
     query, statistics = market_stream.ingest(stream, t.printings, t.cards, store, fresh_path(t.spark, "market-state"), AS_OF)
     statistics.wait(query)

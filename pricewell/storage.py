@@ -50,6 +50,18 @@ def removed(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a folder to a place that nothing has yet; False if there is none."""
+    files, where = filed(spark, path)
+    _, there = filed(spark, to)
+    if not files.exists(where):
+        return False
+    files.mkdirs(there.getParent())
+    if not files.rename(where, there):
+        raise OSError(f"{path} can't be moved to {to}")
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     files, where = filed(spark, path)
     stream = files.open(where)

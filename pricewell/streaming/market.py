@@ -120,7 +120,7 @@ def ingest(pages: DataFrame, printings: DataFrame, cards: DataFrame, store: Stor
 
     def put(df: DataFrame, what: str) -> DataFrame:
         path = storage.fresh_path(spark, f"{name}-{what}")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
@@ -129,11 +129,11 @@ def ingest(pages: DataFrame, printings: DataFrame, cards: DataFrame, store: Stor
         found = landed.filter("reason is null").drop("broken_body", "reason")
         lost = landed.filter("reason is not null").withColumn("day", F.lit(day).cast("date"))
         seen = Observation()
-        fresh = market.judged(fresh_items(found, store.seen.read(), tag))
+        fresh = market.judged(fresh_items(found, store.seen.read(), tag), put(market.title_facts(found), "titles"))
         judged = put(fresh.observe(seen, F.count("*").alias("fresh"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")), "judged")
         kept = market.kept(judged).withColumns({"store_id": F.lit(MARKET_STORE), "listing_seq": F.col("search_rank") * 1_000_000 + F.col("item_pos")})
         hits = Observation()
-        match = matching.match_listings(kept, printings, cards)
+        match = matching.match_listings(kept, printings, cards, publish=put)
         matched = put(match.observe(hits, F.count("printing_id").alias("matched"), F.count_if(F.col("printing_id").isNull()).alias("unmatched")), "matched")
         _, history, unmatched = matching.split_matches(matched, day)
         store.history.append(snapshots.new_history(store.history.read({day[:7]}), history, (day, day)), name, number)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from pricewell.operators import matching, snapshots
+from pricewell.plans import registry
 from pricewell.sources import market
 
 LISTING = "listing_seq long, raw_name string, set_name string, collector_number string, is_foil boolean, price int, store_id string"
@@ -66,3 +67,16 @@ def test_titles_are_judged_once_each(spark, tmp_path):
     got = {r.itemId: (r.raw_name, r.condition, r.is_foil, r.skip_reason) for r in made.collect()}
     assert got == {"a": ("Opt", "NM", True, None), "b": ("Opt", "NM", True, "price"), None: ("", None, False, "name"), "d": ("PSA 9 Opt", None, False, "title")}
     assert sorted(map(repr, made.collect())) == sorted(map(repr, market.judged(found).collect()))
+
+
+def test_runs_are_written_once_in_order_and_whole(spark):
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    rows = t.listings.select("listing_seq")
+    odd = spark.createDataFrame([(None,), (-1,), (1 << 60,)], "listing_seq long")
+    path = registry.in_runs(t, rows.unionByName(odd), "listing_seq", 3)
+    ends = [spark.read.parquet(f"{path}/_run={k}").agg(F.count("*"), F.min("listing_seq"), F.max("listing_seq")).first() for k in range(3)]
+    assert sum(e[0] for e in ends) == rows.count() + 3
+    assert ends[0][2] < ends[1][1] and ends[1][2] < ends[2][1]
+    registry.land(spark, path, 0, f"{path}-landed/0", rows.schema)
+    registry.land(spark, path, 0, f"{path}-landed/none", rows.schema)
+    assert spark.read.schema("listing_seq long").parquet(f"{path}-landed/*").count() == ends[0][0]
