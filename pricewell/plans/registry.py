@@ -749,12 +749,13 @@ def str1_listing_history(t):
     d = t.listings
     item = F.md5(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}))
     items = arriving(t).withColumns({"item_id": item, "ts": F.lit(AS_OF).cast("timestamp")})
-    half = d.agg(F.median("listing_seq")).first()[0] or 0
-    early, late = items.filter(F.col("listing_seq") <= half), items.filter(F.col("listing_seq") > half)
-    again = early.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
-    for rows in (early, late.unionByName(again)):
-        rows.write.mode("append").parquet(landed)
-        stream = ingest.items_once(ingest.read_stream(t.spark, landed, rows.schema))
+    staged = in_runs(t, items, "listing_seq", 2)
+    for k in range(2):
+        land(t.spark, staged, k, f"{landed}/{k}", items.schema)
+        if k:
+            early = t.spark.read.schema(items.schema).parquet(f"{landed}/0")
+            early.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS")).write.parquet(f"{landed}/again")
+        stream = ingest.items_once(ingest.read_stream(t.spark, f"{landed}/*", items.schema))
         ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF).awaitTermination()
     return t.spark.read.schema(TABLES["price_history"]).parquet(out).select(*snapshots.HISTORY_KEY, "price_aud")
 

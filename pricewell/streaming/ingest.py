@@ -46,16 +46,20 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
 def ingest_history(stream: DataFrame, printings: DataFrame, cards: DataFrame, history_path: str, checkpoint: str, day: str) -> StreamingQuery:
     """Starts the query: each micro-batch is matched and its new history rows are appended by month.
 
-    A batch that is run again after a failure adds nothing, as its keys are there. Only the day's month is read back.
+    A batch that is run again after a failure adds nothing, as its keys are there. Only the day's month is read back. Each
+    batch is written once before it is matched, as the stream with its state runs again for each use of it.
     """
     spark = stream.sparkSession
     layout = HISTORY + ", recorded_month STRING"
 
-    def write(batch: DataFrame, _: int) -> None:
-        _, history, _ = matching.split_matches(matching.match_listings(batch, printings, cards), day)
+    def write(batch: DataFrame, number: int) -> None:
+        scratch = storage.fresh_path(spark, f"batch-{number}")
+        put = lambda df, name: snapshots.publish(df, scratch, name)
+        _, history, _ = matching.split_matches(matching.match_listings(put(batch, "listings"), printings, cards, publish=put), day)
         there = storage.listed(spark, history_path)
         old = spark.read.schema(layout).parquet(history_path) if there else spark.createDataFrame([], layout)
         snapshots.write_history(snapshots.new_history(old, history, (day, day)), history_path)
+        storage.removed(spark, scratch)
 
     with state_on_disk(spark):
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
