@@ -220,6 +220,10 @@ def split_matches(matched: DataFrame, day: str) -> tuple[DataFrame, DataFrame, D
     """(current price rows, history rows, unmatched rows) of matched listings with a store_id."""
     hit, miss = matched.filter("printing_id is not null"), matched.filter("printing_id is null")
     prices = hit.select("printing_id", "store_id", F.col("price").alias("price_aud"), "price_type", "condition", "in_stock", F.col("source_url").alias("url"))
-    history = hit.select("printing_id", "store_id", F.col("price").alias("price_aud"), "price_type", F.lit(day).cast("date").alias("recorded_at"), "listing_seq")
     unmatched = miss.select("store_id", "raw_name", F.col("set_name").alias("raw_set_name"), F.col("price").alias("raw_price"), "source_url")
-    return prices, history, unmatched
+    return prices, history_rows(matched, day), unmatched
+
+
+def history_rows(matched: DataFrame, day: str) -> DataFrame:
+    hit = matched.filter("printing_id is not null")
+    return hit.select("printing_id", "store_id", F.col("price").alias("price_aud"), "price_type", F.lit(day).cast("date").alias("recorded_at"), "listing_seq")

@@ -92,10 +92,10 @@ class Table:
         found = {r[0] for r in rows.select(self.layout.part(rows.columns).alias("p")).distinct().collect()}  # as many as parts
         return {p for p in version.parts if any(p == f or p.startswith(f + "-") for f in found)}
 
-    def _written(self, df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    def _written(self, df: DataFrame, columns: list[str], spread: bool = True) -> dict[str, list[str]]:
         name = uuid.uuid4().hex
-        d = df.select(*columns).withColumn("_part", self.layout.part(df.columns)).hint("rebalance", "_part")
-        d.write.partitionBy("_part").parquet(f"{self.path}/data/{name}")
+        d = df.select(*columns).withColumn("_part", self.layout.part(df.columns))
+        (d.hint("rebalance", "_part") if spread else d).write.partitionBy("_part").parquet(f"{self.path}/data/{name}")
         return {n.removeprefix("_part="): [f"{name}/{n}"] for n, _, folder in storage.listed(self.spark, f"{self.path}/data/{name}") if folder and n.startswith("_part=")}
 
     def _publish(self, base: Version, parts: dict[str, list[str]], marks: dict[str, int]) -> Version:
@@ -108,12 +108,15 @@ class Table:
     def columns(self) -> list[str]:
         return self.spark.createDataFrame([], self.schema).columns
 
-    def append(self, rows: DataFrame, source: str | None = None, number: int = 0) -> Version:
-        """Adds rows. What a source has added under a number, and under any before, is not added again."""
+    def append(self, rows: DataFrame, source: str | None = None, number: int = 0, spread: bool = True) -> Version:
+        """Adds rows. What a source has added under a number, and under any before, is not added again.
+
+        spread: False for rows of one part that are dealt evenly; they are written where they are, without a shuffle.
+        """
         base = self.version()
         if source is not None and base.marks.get(source, -1) >= number:
             return base
-        new = self._written(rows, self.columns())
+        new = self._written(rows, self.columns(), spread)
         parts = {p: base.parts.get(p, []) + new.get(p, []) for p in {*base.parts, *new}}
         return self._publish(base, parts, base.marks | ({source: number} if source is not None else {}))
 

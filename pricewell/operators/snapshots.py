@@ -81,15 +81,19 @@ def retained(history: DataFrame, as_of: str, years: int = 2) -> DataFrame:
     return d.filter((F.col("recorded_month") >= F.date_format(first, "yyyy-MM")) & (F.col("recorded_at") >= first))
 
 
-def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
-    """By month; a month of many rows is written by several tasks, small ones share a task (Spark splits by size at run time)."""
-    by_month(history).hint("rebalance", "recorded_month").write.mode(mode).partitionBy("recorded_month").parquet(path)
+def write_history(history: DataFrame, path: str, mode: str = "append", spread: bool = True) -> None:
+    """By month; a month of many rows is written by several tasks, small ones share a task (Spark splits by size at run time).
+
+    spread: False for rows of one month that are dealt evenly; they are written where they are, without another shuffle.
+    """
+    d = by_month(history)
+    (d.hint("rebalance", "recorded_month") if spread else d).write.mode(mode).partitionBy("recorded_month").parquet(path)
 
 
-def publish(df: DataFrame, root: str, name: str) -> DataFrame:
+def publish(df: DataFrame, root: str, name: str, compression: str = "snappy") -> DataFrame:
     """The table written to a snapshot folder of its own and read back; readers move to it once it is whole."""
     path = f"{root}/{name}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -745,18 +745,20 @@ def str1_listing_history(t):
 
     The second run brings the later half, and all of the first half once more with days before those of the first run.
     """
-    landed, out, state = (fresh_path(t.spark, f"str1-{k}") for k in ("listings", "history", "state"))
-    d = t.listings
-    item = F.md5(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}))
-    items = arriving(t).withColumns({"item_id": item, "ts": F.lit(AS_OF).cast("timestamp")})
-    staged = in_runs(t, items, "listing_seq", 2)
+    landed, out, state, seen = (fresh_path(t.spark, f"str1-{k}") for k in ("listings", "history", "state", "seen"))
+    seen = Table(t.spark, seen, ingest.SEEN, Months("first_seen"))
+    items = arriving(t).withColumn("ts", F.lit(AS_OF).cast("timestamp"))
+    with storage.shuffles_freed(t.spark):
+        staged = in_runs(t, items, "listing_seq", 2)
     for k in range(2):
         land(t.spark, staged, k, f"{landed}/{k}", items.schema)
         if k:
             early = t.spark.read.schema(items.schema).parquet(f"{landed}/0")
-            early.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS")).write.parquet(f"{landed}/again")
-        stream = ingest.items_once(ingest.read_stream(t.spark, f"{landed}/*", items.schema))
-        ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF).awaitTermination()
+            early = early.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+            early.write.option("compression", "zstd").parquet(f"{landed}/again")
+        # a run is one batch, as the first listing of a day is the first of its batch
+        stream = ingest.read_stream(t.spark, f"{landed}/*", items.schema, files_per_batch=(1 << 31) - 1)
+        ingest.ingest_history(stream, t.printings, t.cards, out, state, AS_OF, seen, t.listings.columns).awaitTermination()
     return t.spark.read.schema(TABLES["price_history"]).parquet(out).select(*snapshots.HISTORY_KEY, "price_aud")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs within, and streams that start within, deletes its shuffle files as soon as a table is written.
+
+    Else they stay until the driver drops what refers to them, at worst all to the end. A DataFrame that is run again works
+    its shuffles out again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def filed(spark: SparkSession, path: str):
     """(file system, path) as Hadoop's objects."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
